@@ -172,3 +172,38 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e, labels = rest, new
         if e.isEmpty():
             return labels
+
+
+FILTER_BITS = 1 << 26
+
+
+def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows whose id is in ids, and a few others: a Bloom filter of at most
+    FILTER_BITS goes to the tasks, so that texts which no later join wants aren't
+    shuffled. With more ids than the filter can hold, a semi-join does it exactly."""
+    n = ids.count()
+    bits = 1 << 14
+    while bits < 12 * n:
+        bits *= 2
+    if bits > FILTER_BITS:
+        return rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64(id_col, F.lit(k)), F.lit(bits)) for k in range(4)]))
+    words = ids.select(spots.alias("spot")).groupBy((F.col("spot") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(spot, 64) as int))")).alias("bits")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    for r in words:
+        table[r["w"]] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    names = rows.columns
+
+    def run(batches):
+        t = shared.value
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for k in range(4):
+                spot = b.column(f"_spot{k}").to_numpy()
+                ok &= (t[spot >> 6] >> (spot & 63)) & 1 == 1
+            if ok.any():
+                yield b.select(names).filter(pa.array(ok))
+
+    spotted = rows.select("*", *[F.pmod(F.xxhash64(id_col, F.lit(k)), F.lit(bits)).alias(f"_spot{k}") for k in range(4)])
+    return spotted.mapInArrow(run, rows.schema)
