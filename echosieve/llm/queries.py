@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from echosieve.llm.bpe import op5_bpe
+from echosieve.llm.hmm import op9_hmm
+from echosieve.llm.langid import op2_langid
 from echosieve.llm.minhash import op7_minhash
+from echosieve.llm.quality import op3_quality
+from echosieve.llm.suffix import op4_suffix
 
 QUERIES = {
+    "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
+    "op4_suffix": op4_suffix,
+    "op5_bpe": op5_bpe,
     "op7_minhash": op7_minhash,
+    "op9_hmm": op9_hmm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
