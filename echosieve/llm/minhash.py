@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Forest, Scratch, connected_components, grouped, list_views
+from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views
 
 BANDS, ROWS, BLOCK = 24, 4, 256
 COORDS = BANDS * ROWS
@@ -114,7 +114,7 @@ def _sign(batches, width: int):
 
 
 def _attach(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the wanted ids, from one more pass over the texts."""
+    """(id, shingles) of the wanted ids, and of a few others, from one more pass over the texts."""
 
     def run(batches):
         cache = WordHashes()
@@ -125,7 +125,7 @@ def _attach(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), _pieces(flat, [len(s) for s in sets], pa.int64())], names=["id", "shingles"])
 
-    return docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return keep_ids(docs, wanted).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
