@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views
 
-BANDS, ROWS, BLOCK = 24, 4, 256
+BANDS, ROWS, BLOCK, STAR = 24, 4, 1024, 256
 COORDS = BANDS * ROWS
 #: A pair whose signatures agree on fewer coordinates is 4.6 standard deviations below 0.8.
 AGREE = int(COORDS * (0.8 - 4.6 * (0.8 * 0.2 / COORDS) ** 0.5))
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = stars.select("id").union(stars.select(F.col("hub").alias("id"))).distinct()
     sets = scratch.save(_attach(base, wanted, width), "sets")
     # a hub's star is cut into parts of bounded size, each with a copy of the hub
-    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     hung = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
     hung = hung.union(parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("id")))
     edges = grouped(hung.join(sets, "id"), ["hub", "part"], _verify_stars(percent), "a long, b long")
