@@ -8,7 +8,8 @@ The search runs in four steps, none of which compares all texts with all texts.
    repeat is always seen at an anchor both of its places share. Around an anchor
    lies its context: all bytes that a string holding the anchor can reach.
 2. Contexts that occur twice as a whole are covered as a whole, by counting.
-3. Anchors with several different contexts go to shards of bounded size. Each shard
+3. Anchors with several different contexts go to shards of bounded size, as far as
+   two of their contexts agree on most of what a common string would hold. Each shard
    sorts the suffixes of its contexts by Larsson-Sadakane refinement, takes Kasai's
    common prefixes, and covers the strings that occur twice in it.
 4. An anchor with more contexts than a shard holds is spread over several; each
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Scratch, grouped, keep_ids, parallelism
 
-GRAM, SHARD_BYTES, PART = 128, 1_500_000, 1024
+GRAM, SHARD_BYTES, PART, QUARTERS = 128, 1_500_000, 1024, 4
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -115,8 +116,19 @@ def _scan(length: int, gram: int):
 
 
 def _cut(length: int, gram: int):
-    """The bytes of the wanted contexts of one text."""
+    """The bytes of the wanted contexts of one text, with a key for each quarter of the
+    places a string may start at: strings that start there hold all bytes the key hashes."""
     reach = length - gram
+    quarter = -(-(reach + 1) // QUARTERS)
+
+    def keys(piece: bytes, before: int) -> list[int]:
+        out = []
+        for q in range(QUARTERS):
+            left, right = quarter * q, max(0, reach - quarter * (q + 1) + 1)
+            if before >= left and len(piece) - before - gram >= right:
+                h = xxhash.xxh3_64_intdigest(piece[before - left : before + gram + right], seed=q + 1)
+                out.append(h - (1 << 64) if h >> 63 else h)
+        return out
 
     def run(batches):
         for batch in batches:
@@ -124,17 +136,18 @@ def _cut(length: int, gram: int):
                 raw = _raw(batch.column("text")[row])
                 wants = batch.column("wants")[row].as_py()
                 lo = [max(0, w["at"] - reach) for w in wants]
+                pieces = [raw[a : w["at"] + gram + reach] for w, a in zip(wants, lo)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([w["fp"] for w in wants], pa.int64()),
                         pa.array([w["ctx"] for w in wants], pa.int64()),
-                        pa.array([w["parts"] for w in wants], pa.int32()),
                         pa.array([w["at"] - a for w, a in zip(wants, lo)], pa.int32()),
-                        pa.array([raw[a : w["at"] + gram + reach] for w, a in zip(wants, lo)], pa.binary()),
+                        pa.array(pieces, pa.binary()),
                         pa.array([batch.column("id")[row].as_py()] * len(wants), pa.int64()),
                         pa.array(lo, pa.int64()),
+                        pa.array([keys(p, w["at"] - a) for p, w, a in zip(pieces, wants, lo)], pa.list_(pa.int64())),
                     ],
-                    names=["fp", "ctx", "parts", "before", "bytes", "id", "from"],
+                    names=["fp", "ctx", "before", "bytes", "id", "from", "keys"],
                 )
 
     return run
@@ -331,14 +344,15 @@ def _strip(batches):
             cuts = np.concatenate([[0], np.stack([s, e], 1).ravel(), [len(raw)]]).tolist()
             kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(row, 1), pa.array([int((e - s).sum())], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept], pa.binary()), pa.array([[{"lo": int(a), "hi": int(b)} for a, b in zip(s, e)]], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                names=["id", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
+                [batch.column("id").slice(row, 1), pa.array([int((e - s).sum())], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept], pa.binary()), pa.array([kept.decode("utf-8", "ignore")]), pa.array([[{"lo": int(a), "hi": int(b)} for a, b in zip(s, e)]], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+                names=["id", "n_removed", "n_spans", "kept_sha256", "kept", "text", "spans"],
             )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM, label: str = "suffix", shard_bytes: int = SHARD_BYTES, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(summary, changed): summary has (id, n_bytes, sha) for every row of docs; changed
-    has (id, n_removed, n_spans, kept_sha256, kept, spans) for the rows that lose bytes.
+    has (id, n_removed, n_spans, kept_sha256, kept, text, spans) for the rows that lose
+    bytes; text is kept without the halves of characters a cut may leave.
 
     Texts are UTF-8 bytes; null and empty ones have none and lose none. Equal texts
     of `length` bytes or more are removed whole, in every row. The id is a key; other
@@ -355,12 +369,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = scratch.save(contexts.join(per_anchor, "fp").select("fp", "ctx", "n", "kinds", "one.id", "one.at"), "contexts")
     # different contexts of one anchor: shards of suffix arrays
     mixed = contexts.where("kinds > 1")
-    n_mixed = mixed.count()
-    shards = max(parallelism(spark), n_mixed * (2 * length - gram) // shard_bytes + 1)
-    parts = F.ceil(F.col("kinds") / part).cast("int")
-    wants = mixed.groupBy("id").agg(F.collect_list(F.struct("fp", "ctx", "at", parts.alias("parts"))).alias("wants"))
-    wants = scratch.save(wants, "wants")
-    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(_cut(length, gram), "fp long, ctx long, parts int, before int, bytes binary, id long, from long")
+    wants = scratch.save(mixed.groupBy("id").agg(F.collect_list(F.struct("fp", "ctx", "at")).alias("wants")), "wants")
+    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(_cut(length, gram), "fp long, ctx long, before int, bytes binary, id long, from long, keys array<long>")
+    pieces = scratch.save(pieces, "pieces")
+    # a string two contexts share makes them share the key of its quarter
+    keyed = pieces.select("fp", "ctx", F.explode("keys").alias("key"))
+    alike = keyed.groupBy("fp", "key").agg(F.count("*").alias("n")).where("n > 1").select("fp", "key")
+    live = scratch.save(keyed.join(alike, ["fp", "key"]).select("fp", "ctx").distinct(), "live")
+    n_live = live.count()
+    shards = max(parallelism(spark), n_live * (2 * length - gram) // shard_bytes + 1)
+    parts = live.groupBy("fp").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    pieces = keep_ids(pieces.drop("keys"), live, "ctx").join(parts, "fp")
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("fp", F.pmod(F.col("ctx"), F.col("parts"))), F.lit(shards)))
     found = scratch.save(grouped(pieces, ["shard"], _shard(length), "kind int, fp long, ctx long, lo int, hi int, range int, digests binary, ctxs binary, starts binary, ids binary, places binary"), "found")
     across = grouped(found.where("kind = 1").select("fp", "range", "digests", "ctxs", "starts", "ids", "places"), ["fp", "range"], _merge(length), "fp long, ctx long, lo int, hi int")
@@ -373,7 +392,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = local.join(hits, "id", "left").where("spans is not null or length(inner) > 0")
     touched = touched.withColumn("spans", F.transform("spans", lambda x: F.struct(x["lo"].alias("lo"), F.least(x["hi"], F.col("n_bytes")).alias("hi"))))
     touched = scratch.save(touched.drop("n_bytes"), "touched")
-    changed = keep_ids(base, touched).join(touched, "id").mapInArrow(_strip, "id long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:long,hi:long>>")
+    changed = keep_ids(base, touched).join(touched, "id").mapInArrow(_strip, "id long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, spans array<struct<lo:long,hi:long>>")
     return scanned.select("id", "n_bytes", "sha"), changed
 
 
