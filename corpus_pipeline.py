@@ -1,15 +1,70 @@
-"""Corpus pipeline: STAGES of (name, function(spark, docs, sf_dir) -> DataFrame)."""
+"""Corpus pipeline: quality, near copies, repeated passages, benchmark leaks, tokens.
+
+STAGES lists (name, function(spark, docs, sf_dir) -> DataFrame). All but the last give
+back the columns of documents; rows that a stage rejects are gone, and the stage of
+repeated passages gives back texts without them. run() writes every stage's result as
+Parquet and rereads it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echosieve.llm import bpe, decontaminate, minhash, quality, suffix
+from echosieve.llm.common import Scratch, release
 
-from echosieve.llm.common import Scratch
+#: Bytes of a repeated passage, about 40 words, and of the grams that anchor it.
+PASSAGE, GRAM = 256, 64
 
-STAGES: list = []
+#: The stages in SQL: none of them can be expressed.
 ORACLE_SQL = None
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is a half or more."""
+    model = quality.train(quality.learnable(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep_good(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every group of near copies."""
+    judged = minhash.near_duplicates(docs, width=5, percent=80, label="pipeline-minhash")
+    return docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages that occur more than once; n_chars follows."""
+    release(spark, "pipeline-minhash")
+    _, changed = suffix.repeated_spans(docs, length=PASSAGE, gram=GRAM, label="pipeline-suffix")
+    changed = changed.select(F.col("id").alias("doc_id"), F.col("text").alias("cut"))
+    out = docs.join(changed, "doc_id", "left").withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("cut").cast("long")))
+    return out.withColumn("text", F.coalesce("cut", "text")).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    release(spark, "pipeline-suffix")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), label="pipeline-leaks")
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document left."""
+    import public_tokenizers
+
+    release(spark, "pipeline-leaks")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", tokenize),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each written as Parquet and reread."""
     scratch = Scratch(spark, "pipeline-run")
