@@ -8,8 +8,9 @@ The search runs in four steps, none of which compares all texts with all texts.
    repeat is always seen at an anchor both of its places share. Around an anchor
    lies its context: all bytes that a string holding the anchor can reach.
 2. Contexts that occur twice as a whole are covered as a whole, by counting.
-3. Anchors with several different contexts go to shards of bounded size, as far as
-   two of their contexts agree on most of what a common string would hold. Each shard
+3. Anchors with several different contexts are looked at by quarters, ranges of places
+   where strings start. Contexts alike around all strings of a quarter are counted
+   again; those that only share its core go to shards of bounded size. Each shard
    sorts the suffixes of its contexts by Larsson-Sadakane refinement, takes Kasai's
    common prefixes, and covers the strings that occur twice in it.
 4. An anchor with more contexts than a shard holds is spread over several; each
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Scratch, grouped, keep_ids, parallelism
 
-GRAM, SHARD_BYTES, PART, QUARTERS = 128, 1_500_000, 1024, 4
+GRAM, SHARD_BYTES, PART, QUARTERS = 128, 1_000_000, 4096, 4
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -115,19 +116,37 @@ def _scan(length: int, gram: int):
     return run
 
 
+def quarters(length: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """The places before an anchor where a string may start, in QUARTERS equally long
+    ranges: (first place, width, bytes before and after the anchor in all its strings)."""
+    reach = length - gram
+    width = -(-(reach + 1) // QUARTERS)
+    first = sorted({min(width * q, reach + 1 - width) for q in range(QUARTERS)})
+    return [(b, width, b, reach - (b + width - 1)) for b in first]
+
+
+def _quarter(piece: bytes, before: int, gram: int, part: tuple) -> tuple[bytes, bytes, bytes] | None:
+    """(bytes before, core, bytes after) of one quarter: strings that start in it hold the
+    core and width - 1 bytes around it. None where the text ends inside the core."""
+    _, width, left, right = part
+    a, b = before - left, before + gram + right
+    if a < 0 or b > len(piece):
+        return None
+    return piece[max(0, a - width + 1) : a], piece[a:b], piece[b : b + width - 1]
+
+
 def _cut(length: int, gram: int):
-    """The bytes of the wanted contexts of one text, with a key for each quarter of the
-    places a string may start at: strings that start there hold all bytes the key hashes."""
+    """The bytes of the wanted contexts of one text, and for every quarter hashes of its
+    core and of what is around it."""
     reach = length - gram
-    quarter = -(-(reach + 1) // QUARTERS)
+    ranges = quarters(length, gram)
 
-    def keys(piece: bytes, before: int) -> list[int]:
+    def hashes(piece: bytes, before: int) -> list[dict]:
         out = []
-        for q in range(QUARTERS):
-            left, right = quarter * q, max(0, reach - quarter * (q + 1) + 1)
-            if before >= left and len(piece) - before - gram >= right:
-                h = xxhash.xxh3_64_intdigest(piece[before - left : before + gram + right], seed=q + 1)
-                out.append(h - (1 << 64) if h >> 63 else h)
+        for q, part in enumerate(ranges):
+            if got := _quarter(piece, before, gram, part):
+                x, core, y = got
+                out.append({"q": q, "key": _signed(xxhash.xxh3_64_intdigest(core, seed=q + 1)), "ext": _signed(xxhash.xxh3_64_intdigest(x + y, seed=len(x) + 1))})
         return out
 
     def run(batches):
@@ -137,22 +156,27 @@ def _cut(length: int, gram: int):
                 wants = batch.column("wants")[row].as_py()
                 lo = [max(0, w["at"] - reach) for w in wants]
                 pieces = [raw[a : w["at"] + gram + reach] for w, a in zip(wants, lo)]
+                before = [w["at"] - a for w, a in zip(wants, lo)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([w["fp"] for w in wants], pa.int64()),
                         pa.array([w["ctx"] for w in wants], pa.int64()),
-                        pa.array([w["at"] - a for w, a in zip(wants, lo)], pa.int32()),
+                        pa.array(before, pa.int32()),
                         pa.array(pieces, pa.binary()),
                         pa.array([batch.column("id")[row].as_py()] * len(wants), pa.int64()),
                         pa.array(lo, pa.int64()),
-                        pa.array([keys(p, w["at"] - a) for p, w, a in zip(pieces, wants, lo)], pa.list_(pa.int64())),
+                        pa.array([hashes(p, b) for p, b in zip(pieces, before)], pa.list_(pa.struct([("q", pa.int32()), ("key", pa.int64()), ("ext", pa.int64())]))),
                     ],
-                    names=["fp", "ctx", "before", "bytes", "id", "from", "keys"],
+                    names=["fp", "ctx", "before", "bytes", "id", "from", "quarters"],
                 )
 
     return run
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, its inverse) by Larsson-Sadakane: groups of equal prefixes are
     refined by the ranks of the suffixes one prefix further on, and settled suffixes
@@ -241,65 +265,71 @@ def _several(run: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> n
     return np.bincount(r[new], minlength=n) > 1
 
 
-def _shard(length: int):
+def _shard(length: int, gram: int):
     """Cover what repeats among the contexts of a shard; publish the strings of the
-    anchors that other shards hold too."""
+    anchors that other shards hold too. A quarter's strings differ only around its core,
+    so its text has the core's 8-byte hash in the core's place."""
+    ranges = quarters(length, gram)
+    need = ranges[0][1] - 1 + 8
 
     def run(group: pa.Table):
-        fps = group.column("fp").to_numpy()
-        ctxs = group.column("ctx").to_numpy()
-        before = group.column("before").to_numpy()
-        parts = group.column("parts").to_numpy()
+        fps, ctxs = group.column("fp").to_numpy(), group.column("ctx").to_numpy()
+        parts, docs, origin, ahead = (group.column(k).to_numpy() for k in ("parts", "id", "from", "before"))
         shard = group.column("shard")[0].as_py()
-        pieces = [x.as_buffer() for x in group.column("bytes")]
-        sizes = np.array([len(p) for p in pieces], np.int64)
+        pieces = [x.as_buffer().to_pybytes() for x in group.column("bytes")]
+        segs, row, rel = [], [], []  # of every segment: its row, and its first byte's place from the anchor
+        for k, wanted in enumerate(group.column("wanted").to_pylist()):
+            for q in wanted:
+                x, core, y = _quarter(pieces[k], int(ahead[k]), gram, ranges[q])
+                segs.append(x + xxhash.xxh3_64_digest(core, seed=q + 1) + y)
+                row.append(k)
+                rel.append(-ranges[q][2] - len(x))
+        row, rel = np.array(row), np.array(rel)
+        sizes = np.array([len(x) for x in segs], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        text = np.frombuffer(b"".join(pieces), np.uint8)
+        text = np.frombuffer(b"".join(segs), np.uint8)
         sa, inverse = suffix_order(text)
-        lcp = common_prefixes(text, sa, inverse, offsets, length)
+        lcp = common_prefixes(text, sa, inverse, offsets, need)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        room = offsets[1:][owner] - np.arange(len(text))
-        run_id = np.cumsum(lcp < length)  # suffixes of a run share `length` bytes
-        valid = room[sa] >= length
-        # a place that two contexts show counts once
-        docs, origin = group.column("id").to_numpy(), group.column("from").to_numpy()
-        place = origin[owner] + np.arange(len(text)) - offsets[:-1][owner]
+        inside = np.arange(len(text)) - offsets[:-1][owner]
+        # a string starts at the core's hash at the latest
+        starts_ok = (offsets[1:][owner] - np.arange(len(text)) >= need) & (sizes[owner] - inside >= need) & (inside <= -(rel[owner] + np.array([ranges[q][2] for w in group.column("wanted").to_pylist() for q in w])[owner]))
+        at_text = origin[row][owner] + ahead[row][owner] + rel[owner] + inside
+        run_id = np.cumsum(lcp < need)
+        valid = starts_ok[sa]
         v = sa[valid]
-        several = _several(run_id[valid], docs[owner[v]], place[v], run_id[-1] + 1 if len(run_id) else 1)
-        repeated = valid & several[run_id]
-        at = np.sort(sa[repeated])
-        own = owner[at]
+        several = _several(run_id[valid], docs[row[owner[v]]], at_text[v], run_id[-1] + 1 if len(run_id) else 1)
+        at = np.sort(sa[valid & several[run_id]])
         names = ["kind", "fp", "ctx", "lo", "hi", "range", "digests", "ctxs", "starts", "ids", "places"]
         if len(at):
-            rel = at - offsets[own] - before[own]
-            # runs of successive starts become one interval
+            own = owner[at]
+            begin = rel[own] + inside[at]
             new = np.ones(len(at), bool)
             new[1:] = (own[1:] != own[:-1]) | (at[1:] - at[:-1] > length)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
             m = len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), pa.array(fps[own[first]]), pa.array(ctxs[own[first]]), pa.array(rel[first].astype(np.int32)), pa.array((rel[last] + length).astype(np.int32)), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 5],
+                [pa.array(np.zeros(m, np.int32)), pa.array(fps[row[own[first]]]), pa.array(ctxs[row[own[first]]]), pa.array(begin[first].astype(np.int32)), pa.array((begin[last] + length).astype(np.int32)), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 5],
                 names=names,
             )
         if (parts > 1).any():
-            starts = np.flatnonzero((room >= length) & (parts[owner] > 1))
+            starts = np.flatnonzero(starts_ok & (parts[row[owner]] > 1))
             raw = text.tobytes()
-            digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + length]) for a in starts.tolist()), np.uint64, len(starts))
-            own = owner[starts]
-            n_parts = parts[own].astype(np.uint64)
-            span = ((digest >> np.uint64(40)) % n_parts).astype(np.int32)
-            order = np.lexsort((digest, span, fps[own]))
-            starts, own, digest, span = starts[order], own[order], digest[order], span[order]
-            f = fps[own]
+            digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + need]) for a in starts.tolist()), np.uint64, len(starts))
+            k = row[owner[starts]]
+            span = ((digest >> np.uint64(40)) % parts[k].astype(np.uint64)).astype(np.int32)
+            order = np.lexsort((digest, span, fps[k]))
+            starts, k, digest, span = starts[order], k[order], digest[order], span[order]
+            f = fps[k]
             new = np.ones(len(f), bool)
             new[1:] = (f[1:] != f[:-1]) | (span[1:] != span[:-1])
             cuts = np.append(np.flatnonzero(new), len(f))
-            rel = (starts - offsets[own] - before[own]).astype(np.int32)
-            c, ids, places = ctxs[own], docs[own], place[starts]
+            begin = (rel[owner[starts]] + inside[starts]).astype(np.int32)
+            c, ids, places = ctxs[k], docs[k], at_text[starts]
             for a, b in zip(cuts, cuts[1:]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([1], pa.int32()), pa.array([f[a]], pa.int64()), pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([span[a]], pa.int32()), pa.array([digest[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary()), pa.array([rel[a:b].tobytes()], pa.binary()), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([places[a:b].tobytes()], pa.binary())],
+                    [pa.array([1], pa.int32()), pa.array([f[a]], pa.int64()), pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([span[a]], pa.int32()), *[pa.array([x[a:b].tobytes()], pa.binary()) for x in (digest, c, begin, ids, places)]],
                     names=names,
                 )
 
@@ -370,21 +400,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # different contexts of one anchor: shards of suffix arrays
     mixed = contexts.where("kinds > 1")
     wants = scratch.save(mixed.groupBy("id").agg(F.collect_list(F.struct("fp", "ctx", "at")).alias("wants")), "wants")
-    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(_cut(length, gram), "fp long, ctx long, before int, bytes binary, id long, from long, keys array<long>")
+    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(_cut(length, gram), "fp long, ctx long, before int, bytes binary, id long, from long, quarters array<struct<q:int,key:long,ext:long>>")
     pieces = scratch.save(pieces, "pieces")
-    # a string two contexts share makes them share the key of its quarter
-    keyed = pieces.select("fp", "ctx", F.explode("keys").alias("key"))
-    alike = keyed.groupBy("fp", "key").agg(F.count("*").alias("n")).where("n > 1").select("fp", "key")
-    live = scratch.save(keyed.join(alike, ["fp", "key"]).select("fp", "ctx").distinct(), "live")
-    n_live = live.count()
-    shards = max(parallelism(spark), n_live * (2 * length - gram) // shard_bytes + 1)
+    # contexts alike around a quarter's core repeat all its strings; others that share
+    # the core may repeat some, which their suffixes tell
+    keyed = pieces.select("fp", "ctx", F.explode("quarters").alias("x")).select("fp", "ctx", "x.q", "x.key", "x.ext")
+    kinds = scratch.save(keyed.groupBy("fp", "q", "key", "ext").agg(F.count("*").alias("n"), F.min("ctx").alias("ctx")), "kinds")
+    shared = kinds.groupBy("fp", "q", "key").agg(F.count("*").alias("k")).where("k > 1").select("fp", "q", "key")
+    live = kinds.join(shared, ["fp", "q", "key"]).groupBy("fp", "ctx").agg(F.array_sort(F.collect_set("q")).alias("wanted"))
+    live = scratch.save(live, "live")
+    ranges = quarters(length, gram)
+    table = F.array(*[F.struct(F.lit(-(b + w - 1)).alias("lo"), F.lit(length - b).alias("hi")) for b, w, _, _ in ranges])
+    alike = keyed.join(kinds.where("n > 1").select("fp", "q", "key", "ext"), ["fp", "q", "key", "ext"]).select("fp", "ctx", F.element_at(table, F.col("q") + 1).alias("s")).select("fp", "ctx", "s.lo", "s.hi")
+    size = live.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    shards = max(parallelism(spark), size * (2 * ranges[0][1] + 6) // shard_bytes + 1)
     parts = live.groupBy("fp").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    pieces = keep_ids(pieces.drop("keys"), live, "ctx").join(parts, "fp")
+    pieces = keep_ids(pieces.drop("quarters"), live, "ctx").join(live.join(parts, "fp"), ["fp", "ctx"])
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("fp", F.pmod(F.col("ctx"), F.col("parts"))), F.lit(shards)))
-    found = scratch.save(grouped(pieces, ["shard"], _shard(length), "kind int, fp long, ctx long, lo int, hi int, range int, digests binary, ctxs binary, starts binary, ids binary, places binary"), "found")
+    found = scratch.save(grouped(pieces, ["shard"], _shard(length, gram), "kind int, fp long, ctx long, lo int, hi int, range int, digests binary, ctxs binary, starts binary, ids binary, places binary"), "found")
     across = grouped(found.where("kind = 1").select("fp", "range", "digests", "ctxs", "starts", "ids", "places"), ["fp", "range"], _merge(length), "fp long, ctx long, lo int, hi int")
     whole = contexts.where("n > 1").select("fp", "ctx", F.lit(-(length - gram)).alias("lo"), F.lit(length).alias("hi"))
-    verdicts = whole.union(found.where("kind = 0").select("fp", "ctx", "lo", "hi")).union(across)
+    verdicts = whole.union(alike).union(found.where("kind = 0").select("fp", "ctx", "lo", "hi")).union(across)
     verdicts = verdicts.groupBy("fp", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("cover"))
     hits = seen.where("many = 0").select("id", "fp", "ctx", "at").join(verdicts, ["fp", "ctx"]).select("id", F.explode("cover").alias("c"), "at")
     hits = hits.groupBy("id").agg(F.collect_list(F.struct(F.greatest(F.col("at") + F.col("c.lo"), F.lit(0)).alias("lo"), (F.col("at") + F.col("c.hi")).alias("hi"))).alias("spans"))
