@@ -11,7 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("ECHOSIEVE_TEST_MASTER", "local[8]"))
         .appName("echosieve-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
