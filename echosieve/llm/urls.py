@@ -10,11 +10,11 @@ over all tasks."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import Scratch
+
 #: A literal needs this many urls and share of its parent; a rejection this many labels.
 SUPPORT, SHARE, LABELS, SMOOTHING, LEVELS = 20, 0.01, 5, 10.0, 6
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -51,7 +51,7 @@ def _class(bad: Column, good: Column) -> Column:
     return F.when(n == 0, 0).when(mid - half > 0.5, 1).when(mid + half < 0.5, -1).otherwise(0)
 
 
-def grow_templates(shapes: DataFrame) -> DataFrame:
+def grow_templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """shapes(host, shape, n, bad, good), one row per pair; adds template. A template
     has a token per level: a literal, `*`, or `{}` for merged siblings; what lies deeper
     than LEVELS is one token `**`, `$` ends a shorter path."""
@@ -62,12 +62,12 @@ def grow_templates(shapes: DataFrame) -> DataFrame:
         t = t.withColumn("here", here).withColumn("deeper", F.coalesce(deeper, F.lit("")))
         node = ["host", "template", "here"]
         kids = t.groupBy(*node, "deeper").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        kids = kids.groupBy(*node).agg(
+        kids = scratch.save(kids.groupBy(*node).agg(
             *[F.sum(c).alias(c) for c in ("n", "bad", "good")],
             # continuations as quarters of the branch, the profile siblings are compared by
             F.max_by("deeper", F.struct("n", "deeper")).alias("main"),
             F.round(F.max("n") / F.sum("n") * 4).cast("int").alias("quarter"),
-        )
+        ), "kids")
         total = kids.groupBy("host", "template").agg(F.sum("n").alias("total"))
         kids = kids.join(total, ["host", "template"]).withColumn("literal", (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("total")) | (F.col("here") == "$"))
         kids = kids.withColumn("kind", _class(F.col("bad"), F.col("good"))).withColumn("labelled", F.col("bad") + F.col("good") > 0)
@@ -76,18 +76,20 @@ def grow_templates(shapes: DataFrame) -> DataFrame:
         kids = kids.join(twins, alike, "left")
         token = F.when(~F.col("literal"), "*").when((F.col("twins") > 1) & (F.col("here") != "$"), F.concat(F.lit("{"), "main", F.lit(":"), "quarter", F.lit(":"), "kind", F.lit(":"), "labelled", F.lit("}"))).otherwise(F.col("here"))
         t = t.join(kids.select(*node, token.alias("token")), node).withColumn("template", F.concat("template", F.lit("/"), "token")).drop("here", "deeper", "token")
+        t = scratch.save(t, "level")  # each level is read several times by the next
     return t.withColumn("template", F.when(F.size("seg") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("seg")
 
 
-def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_col: str = "url", label: str = "urls") -> DataFrame:
     """(id_col, host, path, template, purity, rejected) of every row; `labels` is a column
     over (host, path): 1 bad, 0 good, null unknown. Null urls and urls without :// have an
     empty host and path and share a template. Repeated rows give repeated rows; other
     columns are ignored."""
     rows = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("label", labels).withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
-    shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
-    grown = grow_templates(shapes)
+    scratch = Scratch(pages.sparkSession, label)
+    shapes = scratch.save(rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")), "shapes")
+    grown = grow_templates(shapes, scratch)
     prior = shapes.agg(((F.sum("bad") + 1) / (F.sum("bad") + F.sum("good") + 2)).alias("prior"))
     sums = grown.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
     sums = sums.join(F.broadcast(prior))  # one row
@@ -100,7 +102,7 @@ def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_co
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' verdicts are the labels that templates are judged by."""
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
-    label = F.when(verdict == "block", 1).when(verdict == "allow", 0)
-    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), label)
+    bad = F.when(verdict == "block", 1).when(verdict == "allow", 0)
+    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad, label="op6")
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "purity")
