@@ -145,8 +145,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     sample = labelled.where(keep).select("lang", "text").mapInArrow(_sparse, "lang string, idx binary, tf binary").collect()
     code = {x: k for k, x in enumerate(languages)}
     sample = [(np.frombuffer(r["idx"], np.uint16).astype(np.int64), np.frombuffer(r["tf"], np.float32).astype(np.float64), code[r["lang"]]) for r in sample]
-    fit, back = [s for k, s in enumerate(sample) if k % 5], sample[::5]
-    weights, bias = ftrl(fit or sample, idf, len(languages))
+    # a fifth is held back for the temperature, unless there is too little to learn from
+    fit, back = ([s for k, s in enumerate(sample) if k % 5], sample[::5]) if len(sample) >= 50 else (sample, sample)
+    weights, bias = ftrl(fit, idf, len(languages))
     z = np.array([bias + (tf * idf[idx]) @ weights[idx] for idx, tf, _ in back])
     y = np.array([s[2] for s in back])
 
