@@ -108,7 +108,8 @@ def list_views(column) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()  # of a slice they don't begin at 0
+    return offsets - offsets[0], column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
 
 
 class Forest:
