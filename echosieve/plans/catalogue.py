@@ -5,6 +5,7 @@ are sections, so that paragraph distances count."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def talks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def _kept(df: DataFrame, name: str = "") -> DataFrame:
+    """Rows that several branches of one query read; spilled to disk, recomputed if lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
@@ -162,14 +168,14 @@ _SIM = [f"round({c}, 9) AS {c}" for c in ("overlap", "seq", "bigram", "trigram",
 
 @add("pair_similarity", O.query(O.TALKS, O.similar(12), f"SELECT doc_id, {_ints('a', 'b', 'shared')}, {', '.join(_SIM)}, exchange FROM scored"))
 def pair_similarity(s, d):
-    frags = fragments(talks(s, d))
+    frags = _kept(fragments(talks(s, d)))
     rows = S.pair_similarity(frags, S.candidate_pairs(frags), WEB)
     return _long(rows, "a", "b", "shared").select("doc_id", "a", "b", "shared", *[F.round(c, 9).alias(c) for c in ("overlap", "seq", "bigram", "trigram", "size", "score")], "exchange")
 
 
 @add("matches", O.query(O.TALKS, O.matched(), f"SELECT doc_id, {_ints('idx', 'other', 'distance', 'shared')}, round(score, 9) AS score, round(weighted, 9) AS weighted FROM matches"))
 def matches(s, d):
-    rows = _long(S.matches(fragments(talks(s, d))), "idx", "other", "distance", "shared")
+    rows = _long(S.matches(_kept(fragments(talks(s, d)))), "idx", "other", "distance", "shared")
     return rows.select("doc_id", "idx", "other", "distance", "shared", F.round("score", 9).alias("score"), F.round("weighted", 9).alias("weighted"))
 
 
@@ -177,7 +183,7 @@ _HOT = f"SELECT doc_id, {_ints('idx', 'match_count', 'reusable', 'unique')}, rou
 
 
 def _hotspots(s, d, docs, rounds=0):
-    rows = _long(H.hotspots(fragments(docs(s, d)), WEB, rounds), "idx", "match_count", "reusable", "unique")
+    rows = _long(H.hotspots(_kept(fragments(docs(s, d))), WEB, rounds), "idx", "match_count", "reusable", "unique")
     return rows.select("doc_id", "idx", "match_count", "reusable", "unique", F.round("density", 6).alias("density"), F.round("badness", 6).alias("badness"), F.round("reusable_ratio", 9).alias("reusable_ratio"), "hint")
 
 
@@ -205,7 +211,7 @@ for _p in ("low", "med", "high"):
 
     @add(f"profile_selection_{_p}", O.query(O.TALKS, O.selection(_p), f"SELECT doc_id, {_ints('idx', 'rank', 'pick')} FROM selected"))
     def _selection(s, d, p=_p):
-        frags = fragments(talks(s, d))
+        frags = _kept(fragments(talks(s, d)))
         return _long(H.selected_rows(H.hotspots(frags), frags, p), "idx", "rank", "pick").select("doc_id", "idx", "rank", "pick")
 
 
@@ -215,8 +221,8 @@ def wildcard_masks(s, d):
 
 
 def _counts(s, d):
-    frags = fragments(talks(s, d))
-    occ = P.occurrences(frags, [])
+    frags = _kept(fragments(talks(s, d)))
+    occ = _kept(P.occurrences(frags, []))
     return frags, occ, P.template_counts(occ, [])
 
 
@@ -285,9 +291,9 @@ def cascade_selection(s, d):
 
 
 def _local(s, d):
-    docs = talks(s, d)
-    frags = fragments(docs)
-    hot = H.hotspots(frags)
+    docs = _kept(talks(s, d))
+    frags = _kept(fragments(docs))
+    hot = _kept(H.hotspots(frags))
     rows = H.selected_rows(hot, frags).join(frags.select("doc_id", "idx", "source_start", "source_end"), ["doc_id", "idx"])
     return docs, frags, hot, E.removal_spans(rows.join(docs, "doc_id"))
 
@@ -295,7 +301,7 @@ def _local(s, d):
 def _merged(s, d):
     docs, frags, hot, spans = _local(s, d)
     graded = E.severity(spans.withColumn("method", F.lit("local")), "badness")
-    return docs, frags, hot, E.merged_spans(graded.select("doc_id", "left", "right", "method", "severity"))
+    return docs, frags, hot, _kept(E.merged_spans(graded.select("doc_id", "left", "right", "method", "severity")))
 
 
 @add("removal_spans", O.query(O.TALKS, O.SPANS, f"SELECT doc_id, {_ints('idx', 'left', 'right')} FROM spans"))
@@ -364,22 +370,22 @@ def batch_jobs(s, d):
 
 @add("ablation_frontmatter")
 def ablation_frontmatter(s, d):
-    return sinks.with_frontmatter(analyze(talks(s, d)), talks(s, d), WEB)
+    return sinks.with_frontmatter(analyze(_kept(talks(s, d)), table=_kept), talks(s, d), WEB)
 
 
 @add("analyze_own_models")
 def analyze_own_models(s, d):
-    return analyze(talks(s, d)).metrics
+    return analyze(_kept(talks(s, d)), table=_kept).metrics
 
 
 @add("batch_shared_models")
 def batch_shared_models(s, d):
-    return batch(talks(s, d)).metrics
+    return batch(_kept(talks(s, d)), table=_kept).metrics
 
 
 @add("batch_split_models")
 def batch_split_models(s, d):
-    return split_models(fragments(talks(s, d)), 3, crossover=True)
+    return split_models(_kept(fragments(talks(s, d))), 3, crossover=True, table=_kept)
 
 
 @add("bakeoff")

@@ -222,7 +222,7 @@ probs AS (SELECT *, n / source_count::DOUBLE AS prob FROM (SELECT model_rank, le
 
 CANDIDATES = f"""{MODELS},
 words AS (SELECT doc_id, idx, para_index, len(tokens) AS n_tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS spot FROM fragments),
-wins AS (SELECT doc_id, model_rank, idx, para_index, spot - pos AS start, length, round(sum(prob) / length, 9) AS score, count(*) AS matched, max(prob) AS peak FROM words JOIN probs USING (token) WHERE spot - pos >= 0 AND spot - pos + length <= n_tokens GROUP BY ALL),
+wins AS (SELECT * EXCLUDE (total), round(total / length, 9) AS score FROM (SELECT doc_id, model_rank, idx, para_index, spot - pos AS start, length, sum(prob) AS total, count(*) AS matched, max(prob) AS peak FROM words JOIN probs USING (token) WHERE spot - pos >= 0 AND spot - pos + length <= n_tokens GROUP BY ALL)),
 cands AS (SELECT * EXCLUDE (b, length) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank, idx ORDER BY score DESC, matched DESC, start) AS b FROM wins WHERE matched >= greatest(3, floor(length * 0.68e0)) AND score >= 0.52e0) WHERE b = 1)"""
 
 
