@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _CLITICS = re.compile(r"(?i)([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(?= |$)")
 _JOINED = re.compile(r"(?i)\b(can)(not)\b|\b(d)('ye)\b|\b(gim|lem)(me)\b|\b(gon|wan)(na)\b|\b(got)(ta)\b|\b(more)('n)\b|(?<= )('t)(is|was)\b")
@@ -36,7 +37,7 @@ def cli_words(text: str, excluded=()) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _cli_tokens(text: pd.Series, excluded: pd.Series) -> pd.Series:
     return pd.Series([cli_words(t, set(x) if x is not None else ()) for t, x in zip(text, excluded)])
 

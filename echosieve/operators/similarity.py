@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from echosieve.config import WEIGHTS, Settings
 from echosieve.functions import text as T
@@ -40,7 +41,7 @@ def candidate_pairs(frags: DataFrame, settings: Settings = Settings(), radius: i
     return a.join(b, ["doc_id", "token"]).where(near).select("doc_id", "a", "b", F.abs(F.col("pa") - F.col("pb")).alias("distance")).distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (len a + len b), by bit-parallel rows, so long fragments cost words of bits."""
 
@@ -62,7 +63,7 @@ def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio without junk; not symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if len(x) and len(y) else 0.0 for x, y in zip(a, b)], dtype=float)
