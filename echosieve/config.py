@@ -16,7 +16,7 @@ CLI_STOPWORDS = WEB_STOPWORDS + (
     "one two three as here"
 ).split()
 SCAFFOLDS = {"off": "off", "light": "threshold-dedup", "medium": "keep-2", "hard": "keep-1"}
-TOOL, MODE, HISTORY_LIMIT = "ablation-lab.v1", "generative-prior ablation", 250
+TOOL, MODE, HISTORY_LIMIT = "echosieve.v1", "repetition removal", 250
 WEIGHTS = {"web": (0.38, 0.20, 0.16, 0.08, 0.18), "cli": (0.38, 0.30, 0.16, 0.08, 0.08)}  # raw, sequence, bigram, trigram, size
 
 

@@ -91,20 +91,20 @@ def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def apply_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, refloored): every span becomes ' @ ', then markers and blanks are
+    """(doc_id, text, rewritten): every span becomes ' @ ', then markers and blanks are
     tidied. Documents without spans are tidied too."""
     rows = docs.select("doc_id", "text").join(span_lists(spans), "doc_id", "left")
     pieces = F.transform("spans", lambda s, i: F.substring("text", F.coalesce(F.get("spans", i - 1)["right"], F.lit(0)) + 1, s["left"] - F.coalesce(F.get("spans", i - 1)["right"], F.lit(0))))
     tail = F.expr("substring(text, try_element_at(spans, -1).right + 1, length(text))")
     cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.concat(pieces, F.array(tail)), " @ "))
-    return rows.withColumn("cut", cut).select("doc_id", "text", T.cleanup(T.edit_markers("cut")).alias("refloored"))
+    return rows.withColumn("cut", cut).select("doc_id", "text", T.cleanup(T.edit_markers("cut")).alias("rewritten"))
 
 
 def document_metrics(applied: DataFrame, spans: DataFrame, frags: DataFrame, hot: DataFrame, dialect: str = "web") -> DataFrame:
     """One row per document: words, kept percentage, fragments, hotspots and removals."""
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").cast("long").alias(name))
     removed = spans.groupBy("doc_id").agg(F.count("*").cast("long").alias("removed_fragments"), F.count_if(F.col("method") == "local").cast("long").alias("local_removed"), F.count_if(F.col("method") == "scaffold").cast("long").alias("scaffold_removed"))
-    rows = applied.select("doc_id", T.word_count("text", dialect).alias("original_words"), T.word_count("refloored", dialect).alias("kept_words"))
+    rows = applied.select("doc_id", T.word_count("text", dialect).alias("original_words"), T.word_count("rewritten", dialect).alias("kept_words"))
     rows = rows.join(count(frags, "fragments"), "doc_id", "left").join(count(hot, "near_matched"), "doc_id", "left").join(removed, "doc_id", "left")
     rows = rows.fillna(0)
     rows = rows.withColumn("stripped_words", F.greatest(F.lit(0), F.col("original_words") - F.col("kept_words")))

@@ -314,10 +314,10 @@ def merged_spans(s, d):
     return _long(_merged(s, d)[3], "left", "right").select("doc_id", "left", "right", "method", F.round("severity", 6).alias("severity"))
 
 
-@add("applied_text", O.query(O.TALKS, O.APPLIED, "SELECT doc_id, refloored FROM applied"))
+@add("applied_text", O.query(O.TALKS, O.APPLIED, "SELECT doc_id, rewritten FROM applied"))
 def applied_text(s, d):
     docs, _, _, spans = _merged(s, d)
-    return E.apply_spans(docs, spans).select("doc_id", "refloored")
+    return E.apply_spans(docs, spans).select("doc_id", "rewritten")
 
 
 @add(
@@ -368,8 +368,8 @@ def batch_jobs(s, d):
     return sinks.batch_jobs(documents(s, d).withColumn("name", F.col("doc_id").cast("string"))).select("doc_id", "hash", "size", "status")
 
 
-@add("ablation_frontmatter")
-def ablation_frontmatter(s, d):
+@add("result_frontmatter")
+def result_frontmatter(s, d):
     return sinks.with_frontmatter(analyze(_kept(talks(s, d)), table=_kept), talks(s, d), WEB)
 
 

@@ -190,10 +190,10 @@ kept AS (SELECT doc_id, "left", substring(text, prev + 1, "left" - prev) AS piec
 tails AS (SELECT doc_id, max("right") AS cut FROM merged GROUP BY doc_id),
 joined AS (SELECT doc_id, string_agg(piece, ' @ ' ORDER BY "left") AS body FROM kept GROUP BY doc_id),
 rough AS (SELECT d.doc_id, d.text, CASE WHEN t.cut IS NULL THEN d.text ELSE j.body || ' @ ' || substring(d.text, t.cut + 1) END AS cut_text FROM docs d LEFT JOIN tails t ON t.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id),
-applied AS (SELECT doc_id, text, {cleanup(markers("cut_text"))} AS refloored FROM rough)"""
+applied AS (SELECT doc_id, text, {cleanup(markers("cut_text"))} AS rewritten FROM rough)"""
 
 METRICS = f"""{APPLIED},
-metrics AS (SELECT a.doc_id, {words("a.text")} AS original_words, {words("a.refloored")} AS kept_words, coalesce(f.n, 0) AS fragments, coalesce(h.n, 0) AS near_matched, coalesce(m.n, 0) AS removed_fragments
+metrics AS (SELECT a.doc_id, {words("a.text")} AS original_words, {words("a.rewritten")} AS kept_words, coalesce(f.n, 0) AS fragments, coalesce(h.n, 0) AS near_matched, coalesce(m.n, 0) AS removed_fragments
   FROM applied a LEFT JOIN (SELECT doc_id, count(*) AS n FROM fragments GROUP BY 1) f ON f.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM hot GROUP BY 1) h ON h.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM merged GROUP BY 1) m ON m.doc_id = a.doc_id),
 doc_metrics AS (SELECT *, removed_fragments AS local_removed, 0 AS scaffold_removed, greatest(0, original_words - kept_words) AS stripped_words, round(kept_words / greatest(1, original_words)::DOUBLE * 100, 6) AS kept_pct FROM metrics)"""
 

@@ -24,7 +24,7 @@ def batch_jobs(docs: DataFrame) -> DataFrame:
 
 
 def history_rows(jobs: DataFrame) -> DataFrame:
-    return jobs.drop("text", "refloored", "result")
+    return jobs.drop("text", "rewritten", "result")
 
 
 def write_history(jobs: DataFrame, path: str) -> None:
@@ -53,7 +53,7 @@ def with_frontmatter(analysis, docs: DataFrame, settings: Settings) -> DataFrame
         F.struct(F.col("original_words").alias("original"), F.col("kept_words").alias("kept"), F.col("stripped_words").alias("stripped")).alias("words"),
         F.struct(F.col("local_removed").alias("local"), F.col("scaffold_removed").alias("scaffold"), F.col("removed_fragments").alias("total")).alias("removals"),
     )
-    return rows.select("doc_id", F.concat(F.lit("---\nablation_lab: "), F.to_json(payload), F.lit("\n---\n\n"), "refloored").alias("output"))
+    return rows.select("doc_id", F.concat(F.lit("---\nechosieve: "), F.to_json(payload), F.lit("\n---\n\n"), "rewritten").alias("output"))
 
 
 def write_texts(rows: DataFrame, path: str, text_col: str = "output") -> None:
@@ -101,7 +101,7 @@ def bakeoff(docs: DataFrame, settings: Settings) -> DataFrame:
         spans = spans_of(docs, frags, none, picked)
         done = edits.apply_spans(docs, spans)
         n = picked.groupBy("doc_id").agg(F.count("*").alias("removed"))
-        rows = done.join(n, "doc_id", "left").select("doc_id", F.lit(policy).alias("policy"), F.coalesce("removed", F.lit(0)).alias("removed"), F.regexp_count("refloored", F.lit("@")).alias("markers"), word_count("refloored").alias("kept_words"))
+        rows = done.join(n, "doc_id", "left").select("doc_id", F.lit(policy).alias("policy"), F.coalesce("removed", F.lit(0)).alias("removed"), F.regexp_count("rewritten", F.lit("@")).alias("markers"), word_count("rewritten").alias("kept_words"))
         out = rows if out is None else out.union(rows)
     return out
 

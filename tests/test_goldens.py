@@ -64,7 +64,7 @@ def test_cuts_g4_to_g7(spark, text, cut, want):
     at = text.index(cut)
     row = spark.createDataFrame([(1, text, at, at + len(cut))], "doc_id long, text string, source_start int, source_end int")
     spans = edits.removal_spans(row).select("doc_id", "left", "right", F.lit("local").alias("method"), F.lit(1.0).alias("severity"))
-    assert one(edits.apply_spans(row.select("doc_id", "text"), edits.merged_spans(spans)))["refloored"] == want
+    assert one(edits.apply_spans(row.select("doc_id", "text"), edits.merged_spans(spans)))["rewritten"] == want
 
 
 def test_merge_g8_and_random(spark):
@@ -150,7 +150,7 @@ def test_whole_pass(spark):
             last = spans.get(r["doc_id"], -1)
             assert r["left"] > last and r["right"] > r["left"] and 0.22 <= r["severity"] <= 1
             spans[r["doc_id"]] = r["right"]
-        assert " @ " in a.applied.where("doc_id = 0").collect()[0]["refloored"]
+        assert " @ " in a.applied.where("doc_id = 0").collect()[0]["rewritten"]
     n = {r["doc_id"]: r["count"] for r in a.fragments.groupBy("doc_id").count().collect()}
     for p in ("low", "med", "high"):
         s = hotspots.selected_rows(a.hotspots, a.fragments, p).groupBy("doc_id").count().collect()
@@ -225,7 +225,7 @@ def test_sources_and_sinks(spark, tmp_path):
             readers.read_book(spark, **kw)
     a = analyze(d, Settings(scaffold="off"))
     out = sinks.with_frontmatter(a, d, Settings())
-    assert all(r["output"].startswith('---\nablation_lab: {"tool":"ablation-lab.v1"') for r in out.collect())
+    assert all(r["output"].startswith('---\nechosieve: {"tool":"echosieve.v1"') for r in out.collect())
     sinks.write_metrics(a.metrics, str(tmp_path / "m"), "med")
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 2
     assert sinks.metrics_report(a.metrics).count() == 3
