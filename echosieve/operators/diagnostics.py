@@ -30,31 +30,22 @@ def repeated_phrases(frags: DataFrame, dialect: str = "web", least: int = 4, top
     return counts.orderBy(*ranked).limit(top or 30).where(F.col("n") >= least)
 
 
-def _runs(values) -> F.Column:
-    """struct(repeats, repeated, top): of an array how many values repeat an earlier one,
-    which values those are, and the largest count; one pass over the sorted array."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"), F.lit(0).alias("repeats"), F.array().cast("array<string>").alias("repeated"))
-
-    def step(acc, x):
-        run = F.when(x.eqNullSafe(acc["last"]), acc["run"] + 1).otherwise(1)
-        return F.struct(
-            x.alias("last"),
-            run.alias("run"),
-            F.greatest(acc["top"], run).alias("top"),
-            (acc["repeats"] + F.when(run > 1, 1).otherwise(0)).alias("repeats"),
-            F.when(run == 2, F.array_append(acc["repeated"], x)).otherwise(acc["repeated"]).alias("repeated"),
-        )
-
-    return F.aggregate(F.array_sort(values), start, step, lambda acc: F.struct(acc["repeats"].alias("repeats"), acc["repeated"].alias("repeated"), acc["top"].alias("top")))
-
-
 def pattern_metrics(frags: DataFrame) -> DataFrame:
     """Adds repeated_windows, signatures (sorted), repeated_mass, dominant_share,
     unique_ratio, repeat_density, reasons and the web score."""
-    size = F.size("tokens")
-    rows = frags.withColumn("_g", _runs(phrases("tokens"))).withColumn("_t", _runs("tokens"))
-    rows = rows.withColumns({"repeated_windows": F.col("_g.repeats"), "signatures": F.col("_g.repeated")})
-    distinct, dominant = F.size("tokens") - F.col("_t.repeats"), F.col("_t.top")
+    # one pass counts tokens and phrases; grouping by fragment keeps the documents' partitioning
+    item = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
+    items = frags.select("doc_id", "idx", F.explode(F.concat(item(0, "tokens"), item(1, phrases("tokens")))).alias("x"))
+    counts = items.groupBy("doc_id", "idx", "x.kind", "x.item").agg(F.count("*").alias("c"))
+    token, again = F.col("kind") == 0, (F.col("kind") == 1) & (F.col("c") > 1)
+    sums = counts.groupBy("doc_id", "idx").agg(
+        F.coalesce(F.sum(F.when(again, F.col("c") - 1)), F.lit(0)).cast("int").alias("repeated_windows"),
+        F.array_sort(F.collect_list(F.when(again, F.col("item")))).alias("signatures"),
+        F.max(F.when(token, F.col("c"))).alias("_top"),
+        F.count_if(token).alias("_distinct"),
+    )
+    rows = frags.join(sums, ["doc_id", "idx"])
+    size, distinct, dominant = F.size("tokens"), F.col("_distinct"), F.col("_top")
     rows = rows.withColumns(
         {
             "repeated_mass": size - distinct,
@@ -62,7 +53,7 @@ def pattern_metrics(frags: DataFrame) -> DataFrame:
             "unique_ratio": distinct / F.greatest(F.lit(1), size),
             "repeat_density": F.col("repeated_windows") / F.greatest(F.lit(1), size - 1),
         }
-    ).drop("_g", "_t")
+    ).drop("_top", "_distinct")
     tests = (F.size("signatures") > 0, F.col("repeated_mass") >= 2, F.col("repeat_density") >= 0.12, (F.col("unique_ratio") <= 0.72) & (size >= 6), (F.col("dominant_share") >= 0.22) & (size >= 8))
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS)]))
     score = F.col("repeated_mass") * 0.7 + F.col("repeat_density") * 2.3 + (F.lit(1.0) - F.col("unique_ratio")) * 1.3 + F.col("dominant_share") * 0.8
