@@ -1,13 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of words over the benchmark's own vocabulary, up to RARE of
-each item's rarest words in the corpus, weighted by idf / sqrt(df), so that a word's weight over the corpus is even and
-what stands out is words that occur together. A randomised block-Krylov step gives the
-latent space: the starting block S holds the benchmark's passages and Gaussian probes,
-every partition adds up A'(A S) for its passages A, and the space is spanned by the
-benchmark's passages and the leading singular directions of the sum. Cosines there find
-candidates; the longest common subsequence with the item, over a span little longer
-than it, and the item's last words (its answer) decide.
+Candidates come from a bound that loses nothing: where SHARE of an item's n words occur
+in order, at least SHARE n words of the span are the item's, and so many of any part of
+its words as the rest can't make up for. The part is the item's rarest words in the
+corpus, so that few places have enough of them. The longest common subsequence with the
+item, over a span little longer than it, and the item's last words (its answer) decide.
+
+What is found is scored by its cosine in a latent space over all the benchmark's words,
+weighted by idf / sqrt(df), so that a word's weight over the corpus is even and what
+stands out is words that occur together. A randomised block-Krylov step gives the
+space: the starting block S holds the benchmark's passages and Gaussian probes, every
+partition adds up A'(A S) for its passages A, and the space is spanned by the
+benchmark's passages and the leading singular directions of the sum.
 
 Texts are read twice, and once more where candidates are. All that is broadcast has
 the size of a block of ITEMS benchmark rows, whatever the corpus; larger benchmarks
@@ -16,6 +20,7 @@ take several blocks."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from echosieve.llm.common import Scratch, grouped, keep_ids, list_views
 
 WINDOW, STRIDE, ITEMS, PROBES, LATENT = 80, 16, 256, 32, 64
-COSINE, SHARE, ANSWER, RARE, FEW, COMMON = 0.45, 0.6, 0.5, 16, 6, 0.002
+SHARE, ANSWER = 0.6, 0.5
+#: An item's rarest words are searched for, so many that SPARE of its words must be among them; pairs of a word and an item are held PAIRS at once.
+SPARE, PAIRS = 0.15, 1 << 22
 #: ASCII other than letters and digits ends words; other characters belong to them.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -83,39 +90,38 @@ def windows(batch: pa.RecordBatch, stride: int, width: int):
     x = np.repeat(words, span)
     ok = w >= 0 if span > 1 else np.ones(len(w), bool)
     # windows begin at 0, so places before the first full one belong to window 0 anyway
-    key = np.unique(np.stack([r[ok], w[ok], x[ok]]), axis=1) if ok.any() else np.empty((3, 0), np.int64)
-    r, w, x = key
-    if not len(r):
-        return r, w, x
+    wide, many = int(last.max(initial=0)) + 1, int(words.max(initial=0)) + 1
+    key = np.unique((r[ok] * wide + w[ok]) * many + x[ok])
+    if not len(key):
+        return key, key, key
+    key, x = np.divmod(key, many)
+    r, w = np.divmod(key, wide)
     new = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1
     return r[many], w[many], x[many]
 
 
-def _project(weights: np.ndarray, basis: np.ndarray, r, w, x):
-    """(first index of every window, its weighted sum of basis rows)."""
-    first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
-    return first, np.add.reduceat(basis[x] * weights[x][:, None], first, axis=0)
-
-
 def _krylov(model):
-    """A'(A S) of a task's passages, in blocks of words."""
+    """A'(A S) of a task's passages, a few of them at a time as a dense matrix."""
 
     def run(batches):
         weights, start = model.value
+        scaled = start * weights[:, None]
         total = np.zeros(start.shape, np.float64)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 r, w, x = windows(batch.slice(a, 256), WINDOW, WINDOW)  # passages side by side
                 if not len(r):
                     continue
-                first, y = _project(weights, start, r, w, x)
-                which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r))))
-                order = np.argsort(x, kind="stable")
-                xs = x[order]
-                cut = np.flatnonzero(np.append(True, xs[1:] != xs[:-1]))
-                total[xs[cut]] += np.add.reduceat(y[which[order]] * weights[xs][:, None], cut, axis=0)
+                passage = np.cumsum(np.append(False, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
+                cuts = np.searchsorted(passage, np.arange(0, passage[-1] + 65, 64))
+                for b, e in zip(cuts, cuts[1:]):
+                    at, k = np.unique(x[b:e], return_inverse=True)
+                    has = np.zeros((64, len(at)), np.float32)
+                    has[passage[b:e] - passage[b], k] = 1
+                    total[at] += has.T @ (has @ scaled[at])
+        total *= weights[:, None]
         step = 64
         blocks = [(a // step, total[a : a + step]) for a in range(0, len(total), step)]
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([t.tobytes() for _, t in blocks], pa.binary())], names=["block", "sums"])
@@ -128,38 +134,90 @@ def _sum(group: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
 
+def bound(items: list[list[bytes]], index: dict, df: np.ndarray):
+    """(starts, items by word, need, reach): verify() can only accept item k where at least
+    need[k] words of a span of reach[k] are among those that list k."""
+    lists: list[list[int]] = [[] for _ in index]
+    need = np.zeros(len(items), np.int64)
+    for k, x in enumerate(items):
+        n, count = len(x), Counter(x)
+        least = next(j for j in range(1, n + 1) if j / n >= SHARE)
+        held = 0
+        for w in sorted(count, key=lambda w: (df[index[w]], w)):
+            if held - (n - least) >= SPARE * n and held > n - least:
+                break
+            lists[index[w]].append(k)
+            held += count[w]
+        need[k] = least - (n - held)
+    starts = np.cumsum([0, *map(len, lists)])
+    return starts, np.array([k for v in lists for k in v], np.uint16), need, np.array([reach_of(len(x)) for x in items])
+
+
+def _anchors(limits, at, words):
+    """(item, place) of every place from which on an item's reach has the words it needs."""
+    starts, lists, need, reach = limits
+    size = np.diff(starts)[words]
+    n = int(size.sum())
+    of = lists[np.arange(n) + np.repeat(starts[words] - (np.cumsum(size) - size), size)]
+    order = np.argsort(of, kind="stable")
+    item, place = of[order].astype(np.int64), np.repeat(at, size)[order]
+    end = np.arange(n) + need[item] - 1
+    ok = end < n
+    end = np.minimum(end, n - 1)
+    ok &= (item[end] == item) & (place[end] - place < reach[item])
+    return item[ok], place[ok]
+
+
 def _search(model):
-    """(id, item, lo, hi, cosine): where windows come near an item, by words."""
+    """(id, item, lo, hi): where a text has the words that an item needs, by words."""
 
     def run(batches):
-        weights, basis, queries, owner = model.value
+        limits, owner = model.value
+        size, reach = np.diff(limits[0]), limits[3]
+        far = int(reach.max())
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                r, w, x = windows(part, STRIDE, WINDOW)
-                if not len(r):
-                    continue
-                first, z = _project(weights, basis, r, w, x)
-                z /= np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-12)[:, None]
-                cos = z @ queries.T
-                k, q = np.nonzero(cos >= COSINE)
-                if not len(k):
+                off, places = list_views(part.column("places"))
+                _, words = list_views(part.column("words"))
+                # texts one after another, further apart than any reach
+                base = np.cumsum(np.append(0, places[off[1:] - 1].astype(np.int64) + 1 + far))
+                at = np.repeat(base[:-1], np.diff(off)) + places
+                rare = size[words] > 0
+                at, words = at[rare], words[rare]
+                pairs = np.cumsum(size[words])
+                items, found, first = [], [], 0
+                while first < len(at):
+                    last = np.searchsorted(pairs, (pairs[first - 1] if first else 0) + PAIRS, "right")
+                    last = max(last, np.searchsorted(at, at[first] + 2 * far, "right"))
+                    item, place = _anchors(limits, at[first:last], words[first:last])
+                    items.append(item), found.append(place)
+                    if last >= len(at):
+                        break
+                    first = np.searchsorted(at, at[last] - far)  # a reach over the cut is whole in the next part
+                if not sum(map(len, found)):
                     continue
-                row, win, item, c = r[first[k]], w[first[k]], owner[q], cos[k, q]
-                order = np.lexsort((win, item, row))
-                row, win, item, c = row[order], win[order], item[order], c[order]
-                # windows that overlap or touch are one region
-                new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (win[1:] - win[:-1] > WINDOW // STRIDE))
+                item, place = np.concatenate(items), np.concatenate(found)
+                row = np.searchsorted(base, place, "right") - 1
+                order = np.lexsort((place, item, row))
+                row, item, place = row[order], item[order], place[order]
+                # places within a reach of each other are one region
+                new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[item[1:]]))
                 at = np.flatnonzero(new)
                 end = np.append(at[1:], len(row)) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row[at])), pa.array(item[at].astype(np.int64)), pa.array(win[at].astype(np.int64) * STRIDE), pa.array(win[end].astype(np.int64) * STRIDE + WINDOW), pa.array(np.maximum.reduceat(c, at).astype(np.float64))],
-                    names=["id", "item", "lo", "hi", "cosine"],
+                    [part.column("id").take(pa.array(row[at])), pa.array(owner[item[at]]), pa.array(place[at] - base[row[at]]), pa.array(place[end] - base[row[at]] + 1)],
+                    names=["id", "item", "lo", "hi"],
                 )
 
     return run
 
 
+def reach_of(n: int) -> int:
+    """Words of the span in which an item of n words is looked for."""
+    return n + n // 2 + 2
+
+
 def common_subsequence(item: list[bytes], span: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     mask: dict[bytes, int] = {}
@@ -174,26 +232,39 @@ def common_subsequence(item: list[bytes], span: list[bytes]) -> int:
 
 
 def verify(item: list[bytes], words: list[bytes], lo: int, hi: int) -> tuple[float, int]:
-    """(best share of the item's words found in order in a span half as long again, its place);
-    share 0 unless the answer, the item's last quarter, is there too."""
+    """(best share of the item's words found in order in a span half as long again, its place)
+    over all spans that have the answer, the item's last quarter, too; share 0 if none has
+    SHARE and the answer."""
     n = len(item)
-    reach = n + n // 2 + 2
-    best, at = 0, 0
-    step = max(1, n // 4)
-    begin = max(0, lo - reach)
-    for a in range(begin, max(begin + 1, min(hi + reach, len(words)) - n // 2), step):
-        got = common_subsequence(item, words[a : a + reach])
-        if got > best:
-            best, at = got, a
+    reach = reach_of(n)
     answer = item[-max(1, n // 4) :]
-    if common_subsequence(answer, words[at : at + reach]) < ANSWER * len(answer):
-        return 0.0, at
+    begin = max(0, lo - reach)
+    stop = max(begin + 1, min(hi + reach, len(words)) - n // 2)
+    own = set(item)
+    held = np.array([w in own for w in words[begin : stop + reach]], bool)
+    # a span that begins with a foreign word has no more than the next one
+    starts = np.flatnonzero(held[: stop - begin])
+    sums = np.append(0, np.cumsum(held))
+    most = sums[np.minimum(starts + reach, len(held))] - sums[starts]
+    best, at = 0, 0
+    for a, m in zip((starts + begin).tolist(), most.tolist()):
+        if m > best and m / n >= SHARE:
+            span = words[a : a + reach]
+            got = common_subsequence(item, span)
+            if got > best and got / n >= SHARE and common_subsequence(answer, span) >= ANSWER * len(answer):
+                best, at = got, a
     return best / n, at
 
 
-def _decide(items):
+def _decide(items, model):
     def run(batches):
-        known = items.value
+        known, (index, weights, basis, queries, owner) = items.value, model.value
+
+        def cosine(item: int, span: list[bytes]) -> float:
+            at = sorted({index[w] for w in span if w in index})
+            z = weights[at] @ basis[at]
+            return float((queries[owner == item] @ z).max() / max(np.sqrt(z @ z), 1e-12))
+
         for batch in batches:
             out = []
             for i, x, regions in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("regions").to_pylist()):
@@ -201,9 +272,9 @@ def _decide(items):
                 best: dict[int, tuple] = {}
                 for g in regions:
                     share, at = verify(known[g["item"]], words, g["lo"], g["hi"])
-                    if share >= SHARE and share > best.get(g["item"], (0,))[0]:
-                        best[g["item"]] = (share, at, g["cosine"])
-                out += [(i, item, *v) for item, v in best.items()]
+                    if share >= SHARE and (-share, at) < best.get(g["item"], (0,)):
+                        best[g["item"]] = (-share, at)
+                out += [(i, item, -share, at, cosine(item, words[at : at + WINDOW])) for item, (share, at) in best.items()]
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()))], names=["id", "item_id", "share", "first_word", "cosine"])
 
@@ -258,28 +329,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n = r["df"]
             else:
                 df[r["word"]] = r["df"]
-        # an item is looked for by its rarest words, which weigh most; the check of its text uses all
-        rarest = set()
-        for x in items.values():
-            order = sorted(set(x), key=lambda w: (df[vocabulary[w]], w))[:RARE]
-            rarest |= {w for k, w in enumerate(order) if k < FEW or df[vocabulary[w]] <= COMMON * n}
-        index = {w: k for k, w in enumerate(sorted(rarest))}
-        d = np.array([df[vocabulary[w]] for w in index])
-        weights = (np.log((n + 1.0) / (d + 1.0)) + 1.0) / np.sqrt(d + 1.0)
-        known = spark.sparkContext.broadcast(index)
-        hits = scratch.save(base.mapInArrow(_hits(known), "id long, places array<int>, words array<int>"), "hits")
+        weights = (np.log((n + 1.0) / (df + 1.0)) + 1.0) / np.sqrt(df + 1.0)
+        hits = scratch.save(base.mapInArrow(_hits(shared), "id long, places array<int>, words array<int>"), "hits")
         owner, chunks = [], []
         for i, x in items.items():
             for a in range(0, len(x), WINDOW - STRIDE):
                 part = x[a : a + WINDOW - STRIDE]
                 if a == 0 or len(part) > 16:
                     owner.append(i), chunks.append(part)
-        basis, queries = _space(spark, hits, index, weights, chunks)
-        model = spark.sparkContext.broadcast((weights.astype(np.float32), basis, queries, np.array(owner)))
-        near = scratch.save(hits.mapInArrow(_search(model), "id long, item long, lo long, hi long, cosine double"), "near")
-        regions = scratch.save(near.groupBy("id").agg(F.collect_list(F.struct("item", "lo", "hi", "cosine")).alias("regions")), "regions")
+        basis, queries = _space(spark, hits, vocabulary, weights, chunks)
+        model = spark.sparkContext.broadcast((vocabulary, weights.astype(np.float32), basis, queries, np.array(owner)))
+        limits = spark.sparkContext.broadcast((bound(list(items.values()), vocabulary, df), np.array(list(items), np.int64)))
+        near = scratch.save(hits.mapInArrow(_search(limits), "id long, item long, lo long, hi long"), "near")
+        regions = scratch.save(near.groupBy("id").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")
         texts = spark.sparkContext.broadcast(items)
-        got = keep_ids(base, regions).join(regions, "id").mapInArrow(_decide(texts), schema)
+        got = keep_ids(base, regions).join(regions.hint("merge"), "id").mapInArrow(_decide(texts, model), schema)
         got = scratch.save(got, "found")
         scratch.drop(hits)
         found = got if found is None else found.union(got)

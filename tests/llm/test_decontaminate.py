@@ -54,3 +54,34 @@ def test_paraphrases_and_edges(spark):
     assert {a for a, b in got if b == 92} == {a for a, b in want if b == 0}
     assert contaminated(df.where("false"), bench).count() == 0
     assert contaminated(df, bench.where("false")).count() == 0
+
+
+def accepted(docs, items):
+    """Every (doc, item) that verify() accepts somewhere in the whole text."""
+    out = set()
+    for i, t in docs:
+        words = words_of(t)
+        out |= {(i, j) for j, x in items if words and verify(x, words, 0, len(words))[0] >= 0.6}
+    return out
+
+
+def test_all_that_verify_accepts_on_table(spark):
+    d = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    items = [(r["item_id"], words_of(r["text"])) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    assert {(r["doc_id"], r["item_id"]) for r in op10_decontaminate(spark, d).collect()} == accepted(docs, items)
+
+
+def test_paraphrases_without_the_rarest_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(9))
+    common = [word() for _ in range(200)]
+    own = [rng.sample(range(22), 10) for _ in range(20)]  # the answer, the last words, stays
+    items = [(k, [word() if p in own[k] else rng.choice(common) for p in range(30)]) for k in range(20)]
+    text = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    docs = [(k, text(90) + " " + " ".join(word() if p in own[k % 20] else w for p, w in enumerate(items[k % 20][1])) + " " + text(90)) for k in range(60)]
+    docs += [(k, text(250)) for k in range(100, 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, bench).collect()}
+    assert got == accepted(docs, [(k, words_of(" ".join(x))) for k, x in items]) and {(k, k % 20) for k in range(60)} <= got
