@@ -6,7 +6,7 @@ its words as the rest can't make up for. The part is the item's rarest words in
 corpus, so that few places have enough of them. The longest common subsequence with the
 item, over a span little longer than it, and the item's last words (its answer) decide.
 
-What is found is scored by its cosine in a latent space over all the benchmark's words,
+What is found is scored by the cosine of its span with the item in a latent space over all the benchmark's words,
 weighted by idf / sqrt(df), so that a word's weight over the corpus is even and what
 stands out is words that occur together. A randomised block-Krylov step gives the
 space: the starting block S holds the benchmark's passages and Gaussian probes, every
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Scratch, grouped, keep_ids, list_views
 
-WINDOW, STRIDE, ITEMS, PROBES, LATENT = 80, 16, 256, 32, 64
+WINDOW, ITEMS, PROBES, LATENT = 80, 256, 32, 64
 SHARE, ANSWER = 0.6, 0.5
 #: An item's rarest words are searched for, so many that SPARE of its words must be among them; pairs of a word and an item are held PAIRS at once.
 SPARE, PAIRS = 0.15, 1 << 22
@@ -78,20 +78,14 @@ def _hits(vocabulary):
     return run
 
 
-def windows(batch: pa.RecordBatch, stride: int, width: int):
+def windows(batch: pa.RecordBatch, width: int):
     """(row, window, word) of every distinct word of every window with two at least."""
     off, places = list_views(batch.column("places"))
-    _, words = list_views(batch.column("words"))
-    row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-    span = width // stride
-    last = places // stride
-    r = np.repeat(row, span)
-    w = (last[:, None] - np.arange(span)[None, :]).ravel()
-    x = np.repeat(words, span)
-    ok = w >= 0 if span > 1 else np.ones(len(w), bool)
-    # windows begin at 0, so places before the first full one belong to window 0 anyway
-    wide, many = int(last.max(initial=0)) + 1, int(words.max(initial=0)) + 1
-    key = np.unique((r[ok] * wide + w[ok]) * many + x[ok])
+    _, x = list_views(batch.column("words"))
+    r = np.repeat(np.arange(batch.num_rows), np.diff(off))
+    w = places // width
+    wide, many = int(w.max(initial=0)) + 1, int(x.max(initial=0)) + 1
+    key = np.unique((r * wide + w) * many + x)
     if not len(key):
         return key, key, key
     key, x = np.divmod(key, many)
@@ -111,7 +105,7 @@ def _krylov(model):
         total = np.zeros(start.shape, np.float64)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                r, w, x = windows(batch.slice(a, 256), WINDOW, WINDOW)  # passages side by side
+                r, w, x = windows(batch.slice(a, 256), WINDOW)
                 if not len(r):
                     continue
                 passage = np.cumsum(np.append(False, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
@@ -263,7 +257,7 @@ def _decide(items, model):
         def cosine(item: int, span: list[bytes]) -> float:
             at = sorted({index[w] for w in span if w in index})
             z = weights[at] @ basis[at]
-            return float((queries[owner == item] @ z).max() / max(np.sqrt(z @ z), 1e-12))
+            return float(queries[owner[item]] @ z / max(np.sqrt(z @ z), 1e-12))
 
         for batch in batches:
             out = []
@@ -274,17 +268,17 @@ def _decide(items, model):
                     share, at = verify(known[g["item"]], words, g["lo"], g["hi"])
                     if share >= SHARE and (-share, at) < best.get(g["item"], (0,)):
                         best[g["item"]] = (-share, at)
-                out += [(i, item, -share, at, cosine(item, words[at : at + WINDOW])) for item, (share, at) in best.items()]
+                out += [(i, item, -share, at, cosine(item, words[at : at + reach_of(len(known[item]))])) for item, (share, at) in best.items()]
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()))], names=["id", "item_id", "share", "first_word", "cosine"])
 
     return run
 
 
-def _space(spark: SparkSession, hits: DataFrame, index: dict, weights: np.ndarray, chunks: list[list[bytes]]):
+def _space(spark: SparkSession, hits: DataFrame, index: dict, weights: np.ndarray, passages: list[list[bytes]]):
     """(basis, query vectors) of one block of the benchmark."""
-    q = np.zeros((len(index), len(chunks)))
-    for k, words in enumerate(chunks):
+    q = np.zeros((len(index), len(passages)))
+    for k, words in enumerate(passages):
         at = sorted({index[w] for w in words if w in index})
         q[at, k] = weights[at]
     q /= np.maximum(np.sqrt((q * q).sum(axis=0)), 1e-12)
@@ -331,14 +325,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 df[r["word"]] = r["df"]
         weights = (np.log((n + 1.0) / (df + 1.0)) + 1.0) / np.sqrt(df + 1.0)
         hits = scratch.save(base.mapInArrow(_hits(shared), "id long, places array<int>, words array<int>"), "hits")
-        owner, chunks = [], []
-        for i, x in items.items():
-            for a in range(0, len(x), WINDOW - STRIDE):
-                part = x[a : a + WINDOW - STRIDE]
-                if a == 0 or len(part) > 16:
-                    owner.append(i), chunks.append(part)
-        basis, queries = _space(spark, hits, vocabulary, weights, chunks)
-        model = spark.sparkContext.broadcast((vocabulary, weights.astype(np.float32), basis, queries, np.array(owner)))
+        basis, queries = _space(spark, hits, vocabulary, weights, list(items.values()))
+        model = spark.sparkContext.broadcast((vocabulary, weights.astype(np.float32), basis, queries, {i: k for k, i in enumerate(items)}))
         limits = spark.sparkContext.broadcast((bound(list(items.values()), vocabulary, df), np.array(list(items), np.int64)))
         near = scratch.save(hits.mapInArrow(_search(limits), "id long, item long, lo long, hi long"), "near")
         regions = scratch.save(near.groupBy("id").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")

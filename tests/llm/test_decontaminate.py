@@ -85,3 +85,15 @@ def test_paraphrases_without_the_rarest_words(spark):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, bench).collect()}
     assert got == accepted(docs, [(k, words_of(" ".join(x))) for k, x in items]) and {(k, k % 20) for k in range(60)} <= got
+
+
+def test_items_listed_one_after_another(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    rows = sorted(((r["item_id"], r["text"]) for r in bench.collect()), key=lambda r: len(words_of(r[1])))[:60]
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    dump = spark.createDataFrame([(10**6, " ".join(t for _, t in rows)), (10**6 + 1, " ".join(t for _, t in random.Random(3).sample(rows, 60)))], "doc_id long, text string")
+    found = contaminated(clean.union(dump), bench).where("doc_id >= 1000000").collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in found}
+    want = {(d, i) for d in (10**6, 10**6 + 1) for i, _ in rows}
+    assert want <= set(got)
+    assert all(got[k]["share"] == 1 for k in want)
