@@ -6,12 +6,12 @@ its words as the rest can't make up for. The part is the item's rarest words in
 corpus, so that few places have enough of them. The longest common subsequence with the
 item, over a span little longer than it, and the item's last words (its answer) decide.
 
-What is found is scored by the cosine of its span with the item in a latent space over all the benchmark's words,
-weighted by idf / sqrt(df), so that a word's weight over the corpus is even and what
-stands out is words that occur together. A randomised block-Krylov step gives the
-space: the starting block S holds the benchmark's passages and Gaussian probes, every
-partition adds up A'(A S) for its passages A, and the space is spanned by the
-benchmark's passages and the leading singular directions of the sum.
+What is found is scored by the cosine of its span with the item in a latent space over
+all the benchmark's words, weighted by idf, which an item's own copies hardly lower. A
+randomised block-Krylov step gives the space: the starting block S holds the benchmark's
+passages and Gaussian probes, every partition adds up A'(A S) for its passages A, and
+the space is spanned by the benchmark's passages and the leading singular directions of
+the sum.
 
 Texts are read twice, and once more where candidates are. All that is broadcast has
 the size of a block of ITEMS benchmark rows, whatever the corpus; larger benchmarks
@@ -323,7 +323,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n = r["df"]
             else:
                 df[r["word"]] = r["df"]
-        weights = (np.log((n + 1.0) / (df + 1.0)) + 1.0) / np.sqrt(df + 1.0)
+        weights = np.log((n + 1.0) / (df + 1.0)) + 1.0
         hits = scratch.save(base.mapInArrow(_hits(shared), "id long, places array<int>, words array<int>"), "hits")
         basis, queries = _space(spark, hits, vocabulary, weights, list(items.values()))
         model = spark.sparkContext.broadcast((vocabulary, weights.astype(np.float32), basis, queries, {i: k for k, i in enumerate(items)}))

@@ -97,3 +97,22 @@ def test_items_listed_one_after_another(spark):
     want = {(d, i) for d in (10**6, 10**6 + 1) for i, _ in rows}
     assert want <= set(got)
     assert all(got[k]["share"] == 1 for k in want)
+
+
+def test_item_in_a_third_of_the_documents(spark):
+    d = "/root/testdata/sf0.01"
+    rng = random.Random(6)
+    docs = [(r["doc_id"], (r["text"] or "").split(" ")) for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()]
+    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    hot = bench.orderBy("item_id").first()
+    rows, want = [], set()
+    for k, (i, w) in enumerate(docs):
+        if k % 3 == 0:
+            at = rng.randrange(len(w) + 1)
+            w = [*w[:at], hot["text"], *w[at:]]
+            want.add(i)
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).where(f"item_id = {hot['item_id']}").collect()}
+    assert want <= set(got)
+    assert all(got[i]["share"] == 1 for i in want)
+    assert min(got[i]["cosine"] for i in want) > 0.45  # below this, items were once given up
