@@ -58,7 +58,7 @@ def _frequency(vocabulary):
 
 
 def _hits(vocabulary):
-    """Places and numbers of a text's vocabulary words; texts with fewer than two have none."""
+    """Places and numbers of a text's vocabulary words; texts without any are left out."""
 
     def run(batches):
         get = vocabulary.value.get
@@ -69,7 +69,7 @@ def _hits(vocabulary):
                 for i, x in zip(part.column(0).to_pylist(), part.column(1)):
                     w = np.fromiter((get(v, -1) for v in words_of(x.as_py())), np.int32)
                     at = np.flatnonzero(w >= 0)
-                    if len(at) > 1:
+                    if len(at):
                         ids.append(i), places.append(at.astype(np.int32)), words.append(w[at]), sizes.append(len(at))
                 off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 flat = [np.concatenate(v) if v else np.empty(0, np.int32) for v in (places, words)]
@@ -79,21 +79,15 @@ def _hits(vocabulary):
 
 
 def windows(batch: pa.RecordBatch, width: int):
-    """(row, window, word) of every distinct word of every window with two at least."""
+    """(row, window, word) of every distinct word of every window."""
     off, places = list_views(batch.column("places"))
     _, x = list_views(batch.column("words"))
     r = np.repeat(np.arange(batch.num_rows), np.diff(off))
     w = places // width
     wide, many = int(w.max(initial=0)) + 1, int(x.max(initial=0)) + 1
     key = np.unique((r * wide + w) * many + x)
-    if not len(key):
-        return key, key, key
     key, x = np.divmod(key, many)
-    r, w = np.divmod(key, wide)
-    new = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1
-    return r[many], w[many], x[many]
+    return *np.divmod(key, wide), x
 
 
 def _krylov(model):
@@ -300,8 +294,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item's words found in order, first_word the place of the span (0-based, in words).
 
     Words are lower-cased runs of letters and digits. Null and empty texts and items
-    give nothing; equal items under several ids are all reported. The ids are keys;
-    other columns are ignored."""
+    give nothing, an item of one word is found wherever the word is; equal items under
+    several ids are all reported. The ids are keys; other columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -116,3 +116,10 @@ def test_item_in_a_third_of_the_documents(spark):
     assert want <= set(got)
     assert all(got[i]["share"] == 1 for i in want)
     assert min(got[i]["cosine"] for i in want) > 0.45  # below this, items were once given up
+
+
+def test_items_of_one_word(spark):
+    docs = spark.createDataFrame([(1, "alpha"), (2, "some text with Alpha, and more"), (3, "alphabet"), (4, "beta beta beta"), (5, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "alpha"), (8, "Beta beta"), (9, "gamma")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["share"], r["first_word"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 7, 1.0, 0), (2, 7, 1.0, 3), (4, 8, 1.0, 0)}
