@@ -35,8 +35,9 @@ def line_features(line: bytes, repeats: float) -> list[float]:
     words = line.split()
     w = len(words)
     distinct = set(words)
-    common = max((rest.count(bytes([c])) for c in set(rest[:4096])), default=0)
-    doubled = sum(rest.count(bytes([c, c])) for c in set(rest[:4096]))
+    symbols = set(rest)
+    common = max((rest.count(bytes([c])) for c in symbols), default=0)
+    doubled = sum(rest.count(bytes([c, c])) for c in symbols)
     ends = sum(line.count(bytes([c])) for c in _ENDS)
     long_words = sum(len(x) > 20 for x in distinct)
     capital = sum(x[:1].isupper() for x in distinct)

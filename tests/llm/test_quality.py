@@ -1,6 +1,6 @@
 import numpy as np
 
-from echosieve.llm.quality import _marginals, fit, features, op3_quality, score_quality
+from echosieve.llm.quality import FEATURES, _marginals, fit, features, line_features, op3_quality, score_quality
 
 
 def test_marginals_match_enumeration():
@@ -42,3 +42,10 @@ def test_edges(spark):
     assert {r["score"] for r in score_quality(df, None).collect()} == {0.5}
     assert score_quality(df.where("false"), model).count() == 0
     assert fit([]) is None
+
+
+def test_symbols_count_wherever_they_are():
+    few, many = b"., " * 3000, b"## " * 5000
+    late, early = (dict(zip(FEATURES, line_features(x, 0.0))) for x in (few + many, many + few))
+    assert late["commonest symbol"] == early["commonest symbol"] == 10000 / 24000
+    assert late["doubled symbols"] == early["doubled symbols"] > 0
