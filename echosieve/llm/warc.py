@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Scratch, iter_groups
 
-RECORDS_PER_FILE, CHUNK, MAX_HEADER = 1000, 1 << 20, 1 << 20
+RECORDS_PER_FILE, CHUNK = 1000, 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
@@ -74,7 +74,7 @@ def write_archives(rows: DataFrame, path: str, records_per_file: int = RECORDS_P
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     """(fields, start of the block, successor) of a candidate, or None if it has no whole header."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     raw = data[at : end + 2]

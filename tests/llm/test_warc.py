@@ -49,3 +49,9 @@ def test_foreign_archive_in_small_chunks(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data + record(500, b"x")[:-2]))  # the last one is cut short
     rows = read_archives(spark, str(tmp_path), Scratch(spark, "t"), chunk=700).collect()
     assert collections.Counter(r["page"] for r in rows) == {i: 2 for i in range(200)}
+
+
+def test_header_of_any_length(spark):
+    rows = [(k, f"<p>{k}</p>", "http://x/" + "a" * (3 << 20 if k == 4 else 5)) for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1)
+    assert got(archive_pages(df)) == brute([r[:2] for r in rows])
