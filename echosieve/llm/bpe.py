@@ -16,42 +16,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts encoded at a time, and words remembered by each of two generations.
-SLICE, GENERATION = 1024, 120_000
-
-# A round contracts every word once. All of a word's pairs of the minimum rank may
-# contract together, leftmost first and never overlapping, when their token is
-# `settled`: no longer token that starts or ends with it has a smaller rank, so
-# contracting one can't make a pair that would have gone first. Else the leftmost only.
+#: Texts and bytes of text answered at a time, and words remembered by each of two generations.
+SLICE, SLICE_BYTES, GENERATION = 1024, 1_000_000, 120_000
+#: Bytes of the words contracted at a time; longer words than LONG go alone, STEPS rows at a time.
+FRESH, LONG, STEPS = 250_000, 64, 1_000_000
+
+# A row is a token, its place in its word, and the token that follows it (-1 at the end).
+# A round contracts every word's leftmost pair of minimum rank: the pair's second row
+# becomes the merged token, its first row goes, and the row before it learns its new
+# neighbour. Words without a pair are settled and don't go on.
 _CONTRACT = """
-WITH RECURSIVE step(word, pos, tok, live) AS (
-    SELECT word, pos, tok, true FROM fresh
+WITH RECURSIVE step(word, pos, tok, nxt, live) AS (
+    SELECT word, pos, tok, nxt, true FROM fresh
+    UNION ALL
+    (WITH best AS (
+        SELECT word, min((merged << 20) | pos) AS b
+        FROM step JOIN merges ON pair = ((tok << 32) | nxt) WHERE live GROUP BY word
+    ), chosen AS (
+        SELECT word, b >> 20 AS merged, b & 1048575 AS at FROM best
+    )
+    SELECT s.word, CASE WHEN s.pos > c.at THEN s.pos - 1 ELSE s.pos END,
+           CASE WHEN s.pos = c.at + 1 THEN c.merged ELSE s.tok END,
+           CASE WHEN s.pos = c.at - 1 THEN c.merged ELSE s.nxt END, c.at IS NOT NULL
+    FROM step s LEFT JOIN chosen c USING (word)
+    WHERE s.live AND (c.at IS NULL OR s.pos <> c.at))
+)
+SELECT word, array_to_string(list_transform(toks, lambda x: x.id), ' ') AS ids,
+       array_to_string(list_transform(toks, lambda x: x.hex), '') AS decoded
+FROM (SELECT s.word, list({'id': s.tok, 'hex': v.hex} ORDER BY s.pos) AS toks
+      FROM step s JOIN vocabulary v ON v.id = s.tok WHERE NOT s.live GROUP BY s.word)
+"""
+
+# One long word. All its pairs of the minimum rank contract in a round, leftmost first
+# and never overlapping, up to the first whose merged token makes a pair of a smaller
+# rank with a neighbour, which would have to go before the next.
+_CONTRACT_LONG = """
+WITH RECURSIVE step(round, pos, tok, live) AS (
+    SELECT 0, pos, tok, true FROM fresh
     UNION ALL
     (WITH p AS (
-        SELECT word, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS k
-        FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
+        SELECT round, tok, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS after, row_number() OVER w AS k
+        FROM step WHERE live AND round < $rounds WINDOW w AS (ORDER BY pos)
     ), c AS (
-        SELECT p.word, p.k, m.merged, m.settled, min(m.merged) OVER (PARTITION BY p.word) AS best
-        FROM p JOIN merges m ON p.tok = m.l AND p.nxt = m.r
+        SELECT p.*, m.merged, min(m.merged) OVER () AS best FROM p JOIN merges m ON m.pair = ((p.tok << 32) | p.nxt)
     ), b AS (
-        SELECT word, k, merged, settled, k - row_number() OVER (PARTITION BY word ORDER BY k) AS island
-        FROM c WHERE merged = best
+        SELECT *, k - row_number() OVER (ORDER BY k) AS island FROM c WHERE merged = best
     ), q AS (
-        SELECT word, k, merged, settled, row_number() OVER (PARTITION BY word, island ORDER BY k) AS nth,
-               min(k) OVER (PARTITION BY word) AS leftmost
-        FROM b
+        SELECT *, row_number() OVER (PARTITION BY island ORDER BY k) AS nth FROM b
+    ), apart AS (
+        SELECT *, lag(k) OVER (ORDER BY k) AS last FROM q WHERE nth % 2 = 1
+    ), o AS (
+        SELECT k, a.merged, l.merged < a.merged OR r.merged < a.merged AS stirs
+        FROM apart a LEFT JOIN merges l ON l.pair = ((CASE WHEN last = k - 2 THEN a.merged ELSE prev END << 32) | a.merged)
+               LEFT JOIN merges r ON r.pair = ((a.merged << 32) | after)
     ), chosen AS (
-        SELECT word, k, merged FROM q WHERE k = leftmost OR (settled AND nth % 2 = 1)
+        SELECT k, merged FROM o WHERE k <= coalesce((SELECT min(k) FROM o WHERE stirs), k)
     )
-    SELECT p.word, p.pos, coalesce(h.merged, p.tok), a.word IS NOT NULL
-    FROM p LEFT JOIN chosen h ON h.word = p.word AND h.k = p.k
-           LEFT JOIN chosen g ON g.word = p.word AND g.k = p.k - 1
-           LEFT JOIN (SELECT DISTINCT word FROM chosen) a ON a.word = p.word
-    WHERE g.word IS NULL)
+    SELECT p.round + 1, p.k, coalesce(h.merged, p.tok), (SELECT count(*) > 0 FROM chosen)
+    FROM p LEFT JOIN chosen h ON h.k = p.k LEFT JOIN chosen g ON g.k = p.k - 1
+    WHERE g.k IS NULL)
 )
-SELECT s.word, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.pos) AS ids,
-       string_agg(v.hex, '' ORDER BY s.pos) AS decoded
-FROM step s JOIN vocabulary v ON v.id = s.tok WHERE NOT s.live GROUP BY s.word
+SELECT s.pos, s.tok, s.live, v.hex FROM step s JOIN vocabulary v ON v.id = s.tok
+WHERE NOT s.live OR s.round = $rounds ORDER BY s.pos
 """
 
 
@@ -66,58 +92,75 @@ class Coder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}
         self.generation = generation
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        left, right, merged = [], [], []
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), merged.append(rank)
-        unsettled = {p for x, m in ((left, merged), (right, merged)) for p, r in zip(x, m) if r < p}
-        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32()), "settled": [m not in unsettled for m in merged]})
-        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+                    pairs.append(a << 32 | b), merged.append(rank)
+        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())})
+        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})
+        # in memory only: what a query holds is bounded by FRESH and STEPS
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.ids: dict[str, str] = {}
-        self.old_ids: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.old_bytes: dict[str, bytes] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def _learn(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        # a bounded number of bytes at a time; a single longer word goes alone
-        start = 0
-        while start < len(words):
-            end, size = start, 0
-            while end < len(words) and (end == start or size + len(raw[end]) <= 1_000_000):
-                size += len(raw[end])
-                end += 1
-            part = raw[start:end]
-            lengths = np.array([len(x) for x in part])
-            begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            fresh = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "pos": (np.arange(size) - begin).astype(np.int32), "tok": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]})
-            self.db.register("fresh", fresh)
-            out = self.db.execute(_CONTRACT).to_arrow_table()
-            self.db.unregister("fresh")
-            for k, ids, decoded in zip(out.column("word").to_pylist(), out.column("ids").to_pylist(), out.column("decoded").to_pylist()):
-                w = words[start + k]
-                self.ids[w] = ids
-                self.bytes[w] = bytes.fromhex(decoded)
-            start = end
+        raw, size = [], 0
+        for w in words:
+            x = w.encode()
+            if len(x) > LONG:
+                self.known[w] = self._long(x)
+                continue
+            raw.append((w, x))
+            size += len(x)
+            if size >= FRESH:
+                self._short(raw)
+                raw, size = [], 0
+        if raw:
+            self._short(raw)
+
+    def _short(self, words: list[tuple[str, bytes]]) -> None:
+        lengths = np.array([len(x) for _, x in words])
+        ends = np.cumsum(lengths)
+        tok = self.byte_ids[np.frombuffer(b"".join(x for _, x in words), np.uint8)]
+        nxt = np.append(tok[1:], -1)
+        nxt[ends - 1] = -1
+        fresh = pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(tok)) - np.repeat(ends - lengths, lengths), "tok": tok, "nxt": nxt})
+        out = self._run(_CONTRACT, fresh)
+        for k, ids, decoded in zip(*(out.column(c).to_pylist() for c in ("word", "ids", "decoded"))):
+            self.known[words[k][0]] = (ids, bytes.fromhex(decoded))
+
+    def _long(self, raw: bytes) -> tuple[str, bytes]:
+        tok = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        while True:
+            fresh = pa.table({"pos": np.arange(len(tok)), "tok": tok})
+            out = self._run(_CONTRACT_LONG, fresh, {"rounds": max(1, STEPS // len(tok))})
+            tok = out.column("tok").to_numpy()
+            if not out.column("live")[0].as_py():
+                return " ".join(map(str, tok.tolist())), bytes.fromhex("".join(out.column("hex").to_pylist()))
+
+    def _run(self, sql: str, fresh: pa.Table, values: dict | None = None) -> pa.Table:
+        self.db.register("fresh", fresh)
+        out = self.db.execute(sql, values).to_arrow_table()
+        self.db.unregister("fresh")
+        return out
 
     def know(self, words: set[str]) -> None:
         """Make every word known; words not seen for two generations are forgotten."""
-        if len(self.ids) > self.generation:
-            self.old_ids, self.old_bytes, self.ids, self.bytes = self.ids, self.bytes, {}, {}
+        if len(self.known) > self.generation:
+            self.old, self.known = self.known, {}
         missing = []
         for w in words:
-            if w not in self.ids:
-                if w in self.old_ids:
-                    self.ids[w], self.bytes[w] = self.old_ids[w], self.old_bytes[w]
+            if w not in self.known:
+                if w in self.old:
+                    self.known[w] = self.old[w]
                 else:
                     missing.append(w)
         if missing:
@@ -142,31 +185,32 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Repeated rows give repeated rows; other columns are ignored. The file must be
     readable under the same path by every executor, as an installed package is."""
 
+    def answer(c: Coder, ids: list, split: list[list[str]]) -> pa.RecordBatch:
+        c.know(set().union(*split))
+        out = []
+        for words in split:
+            got = [c.known[w] for w in words]
+            tokens = " ".join([x for x, _ in got])
+            decoded = b"".join([x for _, x in got])
+            sha = (hashlib.sha256(tokens.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            out.append((tokens.count(" ") + 1 if tokens else 0, tokens if keep else None, decoded if keep else None, *sha))
+        types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out), types))], names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+
     def run(batches):
         c = coder(ranks_path, pattern)
         for batch in batches:
-            for a in range(0, batch.num_rows, SLICE):
-                part = batch.slice(a, SLICE)
-                texts = part.column(1).to_pylist()
-                n, ids_out, dec_out, ids_sha, dec_sha = [], [], [], [], []
-                begin = 0
-                while begin < len(texts):
-                    split, size, end = [], 0, begin
-                    while end < len(texts) and (end == begin or size < 4_000_000):
-                        split.append(c.split(texts[end] or ""))
-                        size += len(texts[end] or "")
-                        end += 1
-                    c.know(set().union(*split))
-                    for words in split:
-                        ids = " ".join(map(c.ids.__getitem__, words))
-                        decoded = b"".join(map(c.bytes.__getitem__, words))
-                        n.append(ids.count(" ") + 1 if ids else 0)
-                        ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                        dec_sha.append(hashlib.sha256(decoded).hexdigest())
-                        ids_out.append(ids if keep else None)
-                        dec_out.append(decoded if keep else None)
-                    begin = end
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_out, pa.string()), pa.array(dec_out, pa.binary()), pa.array(ids_sha), pa.array(dec_sha)], names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+            ids, split, size = [], [], 0
+            for i, x in zip(batch.column(0), batch.column(1)):
+                text = x.as_py() or ""
+                ids.append(i.as_py())
+                split.append(c.split(text))
+                size += len(text)
+                if size >= SLICE_BYTES or len(ids) == SLICE:
+                    yield answer(c, ids, split)
+                    ids, split, size = [], [], 0
+            if ids:
+                yield answer(c, ids, split)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids string, decoded binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -20,6 +20,8 @@ def texts():
     rng = random.Random(5)
     out = [None, "", " ", "\n\n  \t x", "it's we'll I'd", "a" * 5000, "ab" * 3000, "é日本 123456 !!!???", "<|endoftext|>", "x\x1cy\x85z w", "Straße\r\n ", "😀😀 ok"]
     out += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    out += ["".join(rng.choice("aab") for _ in range(rng.randrange(60, 900))) for _ in range(20)]  # long words with runs
+    out += ["".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "".join(rng.choice("ethe ") for _ in range(300_000))]
     out += ["".join(chr(rng.randrange(32, 0x2FF)) for _ in range(200)) for _ in range(20)]
     return out
 
@@ -49,4 +51,23 @@ def test_forgotten_words_come_back():
     c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, generation=3)
     for words in ({"hello", " world"}, {"abc", " def", " xyz"}, {"hello", "q"}, {" world"}):
         c.know(words)
-        assert all(c.bytes[w] == w.encode() for w in words)
+        assert all(c.known[w][1] == w.encode() for w in words)
+
+
+def test_long_words_in_several_queries(reference, monkeypatch):
+    from echosieve.llm import bpe
+
+    monkeypatch.setattr(bpe, "STEPS", 2000)
+    c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    word = "".join(random.Random(3).choice("abcdefghtheing") for _ in range(700))
+    c.know({word, "x" * 65, "y" * 64})
+    for w, (ids, decoded) in c.known.items():
+        assert ids == " ".join(map(str, reference.encode_ordinary(w))) and decoded == w.encode()
+
+
+def test_repeated_rows_and_other_columns(spark):
+    """Repeated rows give repeated rows; columns named like the operator's own don't disturb it."""
+    df = spark.createDataFrame([(1, "a b", "q", 5), (1, "a b", "q", 5), (None, "a b", None, 6)], "doc_id long, text string, ids string, n_tokens int")
+    rows = encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert [r["n_tokens"] for r in rows] == [2, 2, 2] and sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+    assert len({r["ids"] for r in rows}) == 1 and "q" not in rows[0]["ids"]
