@@ -4,22 +4,25 @@ Texts are cut by the vocabulary's pattern. Of the words of a slice of texts thos
 not yet known go to DuckDB as token-position rows; a recursive query joins neighbours
 with the merge table and contracts each word's leftmost pair of minimum rank until
 none is left; ordered aggregation gives the ids and, joined with the vocabulary, the
-decoded bytes. A text's ids are its words' ids one after another."""
+decoded bytes. A text's ids are its words' ids one after another, and so its bytes; of
+words that decode to themselves only the ids are remembered."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts and bytes of text answered at a time, and words remembered by each of two generations.
-SLICE, SLICE_BYTES, GENERATION = 1024, 1_000_000, 120_000
+SLICE, SLICE_BYTES, GENERATION = 2048, 2_000_000, 150_000
 #: Bytes of the words contracted at a time; longer words than LONG go alone, STEPS rows at a time.
-FRESH, LONG, STEPS = 250_000, 64, 1_000_000
+FRESH, LONG, STEPS = 500_000, 64, 1_000_000
 
 # A row is a token, its place in its word, and the token that follows it (-1 at the end).
 # A round contracts every word's leftmost pair of minimum rank: the pair's second row
@@ -30,10 +33,10 @@ WITH RECURSIVE step(word, pos, tok, nxt, live) AS (
     SELECT word, pos, tok, nxt, true FROM fresh
     UNION ALL
     (WITH best AS (
-        SELECT word, min((merged << 20) | pos) AS b
-        FROM step JOIN merges ON pair = ((tok << 32) | nxt) WHERE live GROUP BY word
+        SELECT word, min((merged::BIGINT << 20) | pos) AS b
+        FROM step JOIN merges ON pair = ((tok::BIGINT << 32) | nxt) WHERE live GROUP BY word
     ), chosen AS (
-        SELECT word, b >> 20 AS merged, b & 1048575 AS at FROM best
+        SELECT word, (b >> 20)::INTEGER AS merged, (b & 1048575)::INTEGER AS at FROM best
     )
     SELECT s.word, CASE WHEN s.pos > c.at THEN s.pos - 1 ELSE s.pos END,
            CASE WHEN s.pos = c.at + 1 THEN c.merged ELSE s.tok END,
@@ -41,10 +44,8 @@ WITH RECURSIVE step(word, pos, tok, nxt, live) AS (
     FROM step s LEFT JOIN chosen c USING (word)
     WHERE s.live AND (c.at IS NULL OR s.pos <> c.at))
 )
-SELECT word, array_to_string(list_transform(toks, lambda x: x.id), ' ') AS ids,
-       array_to_string(list_transform(toks, lambda x: x.hex), '') AS decoded
-FROM (SELECT s.word, list({'id': s.tok, 'hex': v.hex} ORDER BY s.pos) AS toks
-      FROM step s JOIN vocabulary v ON v.id = s.tok WHERE NOT s.live GROUP BY s.word)
+SELECT list({'word': s.word, 'id': s.tok, 'piece': v.piece} ORDER BY (s.word::BIGINT << 20) | s.pos) AS toks
+FROM step s JOIN vocabulary v ON v.id = s.tok WHERE NOT s.live
 """
 
 # One long word. All its pairs of the minimum rank contract in a round, leftmost first
@@ -58,7 +59,7 @@ WITH RECURSIVE step(round, pos, tok, live) AS (
         SELECT round, tok, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS after, row_number() OVER w AS k
         FROM step WHERE live AND round < $rounds WINDOW w AS (ORDER BY pos)
     ), c AS (
-        SELECT p.*, m.merged, min(m.merged) OVER () AS best FROM p JOIN merges m ON m.pair = ((p.tok << 32) | p.nxt)
+        SELECT p.*, m.merged, min(m.merged) OVER () AS best FROM p JOIN merges m ON m.pair = ((p.tok::BIGINT << 32) | p.nxt)
     ), b AS (
         SELECT *, k - row_number() OVER (ORDER BY k) AS island FROM c WHERE merged = best
     ), q AS (
@@ -67,16 +68,16 @@ WITH RECURSIVE step(round, pos, tok, live) AS (
         SELECT *, lag(k) OVER (ORDER BY k) AS last FROM q WHERE nth % 2 = 1
     ), o AS (
         SELECT k, a.merged, l.merged < a.merged OR r.merged < a.merged AS stirs
-        FROM apart a LEFT JOIN merges l ON l.pair = ((CASE WHEN last = k - 2 THEN a.merged ELSE prev END << 32) | a.merged)
-               LEFT JOIN merges r ON r.pair = ((a.merged << 32) | after)
+        FROM apart a LEFT JOIN merges l ON l.pair = ((CASE WHEN last = k - 2 THEN a.merged ELSE prev END::BIGINT << 32) | a.merged)
+               LEFT JOIN merges r ON r.pair = ((a.merged::BIGINT << 32) | after)
     ), chosen AS (
         SELECT k, merged FROM o WHERE k <= coalesce((SELECT min(k) FROM o WHERE stirs), k)
     )
-    SELECT p.round + 1, p.k, coalesce(h.merged, p.tok), (SELECT count(*) > 0 FROM chosen)
+    SELECT p.round + 1, p.k::INTEGER, coalesce(h.merged, p.tok), (SELECT count(*) > 0 FROM chosen)
     FROM p LEFT JOIN chosen h ON h.k = p.k LEFT JOIN chosen g ON g.k = p.k - 1
     WHERE g.k IS NULL)
 )
-SELECT s.pos, s.tok, s.live, v.hex FROM step s JOIN vocabulary v ON v.id = s.tok
+SELECT s.pos, s.tok, s.live, v.piece FROM step s JOIN vocabulary v ON v.id = s.tok
 WHERE NOT s.live OR s.round = $rounds ORDER BY s.pos
 """
 
@@ -86,21 +87,20 @@ class Coder:
 
     def __init__(self, ranks_path: str, pattern: str, generation: int = GENERATION):
         import duckdb
-        import regex
 
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}
         self.generation = generation
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b), merged.append(rank)
-        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())})
-        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})
+        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())})
+        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
         # in memory only: what a query holds is bounded by FRESH and STEPS
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
@@ -108,63 +108,111 @@ class Coder:
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # what words decode to that don't decode to themselves
 
     def _learn(self, words: list[str]) -> None:
-        raw, size = [], 0
+        part, size = [], 0
         for w in words:
-            x = w.encode()
-            if len(x) > LONG:
-                self.known[w] = self._long(x)
+            if len(w) * 4 > LONG and len(w.encode()) > LONG:
+                self.known[w], decoded = self._long(w.encode())
+                if decoded != w.encode():
+                    self.odd[w] = decoded
                 continue
-            raw.append((w, x))
-            size += len(x)
+            part.append(w)
+            size += len(w)
             if size >= FRESH:
-                self._short(raw)
-                raw, size = [], 0
-        if raw:
-            self._short(raw)
-
-    def _short(self, words: list[tuple[str, bytes]]) -> None:
-        lengths = np.array([len(x) for _, x in words])
-        ends = np.cumsum(lengths)
-        tok = self.byte_ids[np.frombuffer(b"".join(x for _, x in words), np.uint8)]
-        nxt = np.append(tok[1:], -1)
-        nxt[ends - 1] = -1
-        fresh = pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(tok)) - np.repeat(ends - lengths, lengths), "tok": tok, "nxt": nxt})
-        out = self._run(_CONTRACT, fresh)
-        for k, ids, decoded in zip(*(out.column(c).to_pylist() for c in ("word", "ids", "decoded"))):
-            self.known[words[k][0]] = (ids, bytes.fromhex(decoded))
+                self._short(part)
+                part, size = [], 0
+        if part:
+            self._short(part)
+
+    def _short(self, words: list[str]) -> None:
+        raw = pa.array(words, pa.string())
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[: len(words) + 1]
+        tok = self.byte_ids[np.frombuffer(raw.buffers()[2], np.uint8)[: offsets[-1]]]
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[offsets[1:] - 1] = -1
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets))
+        out = self._run(_CONTRACT, pa.table({"word": word, "pos": np.arange(len(tok), dtype=np.int32) - offsets[word], "tok": tok, "nxt": nxt}))
+        toks = out.column("toks").combine_chunks()
+        toks = (toks.chunk(0) if isinstance(toks, pa.ChunkedArray) else toks).flatten()
+        of = np.cumsum(np.bincount(toks.field(0).to_numpy(), minlength=len(words)))
+        of = pa.array(np.append(0, of).astype(np.int32))
+        self.known.update(zip(words, pc.binary_join(pa.ListArray.from_arrays(of, toks.field(1).cast(pa.string())), " ").to_pylist()))
+        decoded = pc.binary_join(pa.ListArray.from_arrays(of, toks.field(2)), b"")
+        for k in np.flatnonzero(pc.not_equal(decoded, raw.cast(pa.binary())).to_numpy(zero_copy_only=False)).tolist():
+            self.odd[words[k]] = decoded[k].as_py()
 
     def _long(self, raw: bytes) -> tuple[str, bytes]:
         tok = self.byte_ids[np.frombuffer(raw, np.uint8)]
         while True:
-            fresh = pa.table({"pos": np.arange(len(tok)), "tok": tok})
+            fresh = pa.table({"pos": np.arange(len(tok), dtype=np.int32), "tok": tok})
             out = self._run(_CONTRACT_LONG, fresh, {"rounds": max(1, STEPS // len(tok))})
             tok = out.column("tok").to_numpy()
             if not out.column("live")[0].as_py():
-                return " ".join(map(str, tok.tolist())), bytes.fromhex("".join(out.column("hex").to_pylist()))
+                return " ".join(map(str, tok.tolist())), b"".join(out.column("piece").to_pylist())
 
     def _run(self, sql: str, fresh: pa.Table, values: dict | None = None) -> pa.Table:
         self.db.register("fresh", fresh)
-        out = self.db.execute(sql, values).to_arrow_table()
+        out = self.db.execute(sql, values).to_arrow_table() if values else self.db.sql(sql).to_arrow_table()
         self.db.unregister("fresh")
         return out
 
-    def know(self, words: set[str]) -> None:
-        """Make every word known; words not seen for two generations are forgotten."""
+    def encode(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.BinaryArray]:
+        """The ids of every word and what they decode to; words not seen for two
+        generations are forgotten."""
         if len(self.known) > self.generation:
             self.old, self.known = self.known, {}
-        missing = []
-        for w in words:
+        distinct = words.dictionary_encode()
+        kinds = distinct.dictionary.to_pylist()
+        fresh = []
+        for w in kinds:
             if w not in self.known:
-                if w in self.old:
-                    self.known[w] = self.old[w]
+                ids = self.old.get(w)
+                if ids is None:
+                    fresh.append(w)
                 else:
-                    missing.append(w)
-        if missing:
-            self._learn(missing)
+                    self.known[w] = ids
+        if fresh:
+            self._learn(fresh)
+        ids = pa.array([self.known[w] for w in kinds], pa.string()).take(distinct.indices)
+        if not self.odd:
+            return ids, words.cast(pa.binary())
+        return ids, pa.array([self.odd.get(w) or w.encode() for w in kinds], pa.binary()).take(distinct.indices)
+
+
+def splitter(pattern: str):
+    """findall of the pattern. Latin-1 texts take the standard library's engine, which is
+    faster, with the Unicode classes spelled out, if the pattern has no other escapes."""
+    import regex
+
+    every = regex.compile(pattern).findall
+    escapes = re.findall(r"\\(?:p\{\w+\}|.)", pattern, re.S)
+    if set(escapes) - {r"\p{L}", r"\p{N}", r"\s", r"\S"} or re.search(r"\(\?[^!=]", pattern):
+        return every
+    spelled = {e: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(e.lower() if e == r"\S" else e, chr(c))) for e in set(escapes)}
+    parts, inside = [], False
+    for x in re.findall(r"\\(?:p\{\w+\}|.)|.", pattern, re.S):
+        if x in spelled:
+            if inside and x == r"\S":
+                return every
+            parts.append(spelled[x] if inside else f"[{'^' if x == r'\S' else ''}{spelled[x]}]")
+        else:
+            inside = x == "[" or inside and x != "]"
+            parts.append(x)
+    latin = re.compile("".join(parts)).findall
+
+    def split(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return every(text)
+        return latin(text)
+
+    return split
 
 
 _coders: dict[tuple, Coder] = {}
@@ -185,32 +233,31 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Repeated rows give repeated rows; other columns are ignored. The file must be
     readable under the same path by every executor, as an installed package is."""
 
-    def answer(c: Coder, ids: list, split: list[list[str]]) -> pa.RecordBatch:
-        c.know(set().union(*split))
-        out = []
-        for words in split:
-            got = [c.known[w] for w in words]
-            tokens = " ".join([x for x, _ in got])
-            decoded = b"".join([x for _, x in got])
-            sha = (hashlib.sha256(tokens.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-            out.append((tokens.count(" ") + 1 if tokens else 0, tokens if keep else None, decoded if keep else None, *sha))
-        types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out), types))], names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+    def answer(c: Coder, ids: list, words: list[str], ends: list[int]) -> pa.RecordBatch:
+        offsets = pa.array([0, *ends], pa.int32())
+        tokens, decoded = c.encode(pa.array(words, pa.string()))
+        tokens = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+        decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, decoded), b"")
+        n = pc.if_else(pc.equal(tokens, ""), 0, pc.add(pc.count_substring(tokens, " "), 1)).cast(pa.int64())
+        shas = (pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column]) for column in (tokens, decoded))
+        gone = pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), n, *((tokens, decoded) if keep else gone), *shas], names=["id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     def run(batches):
         c = coder(ranks_path, pattern)
         for batch in batches:
-            ids, split, size = [], [], 0
+            ids, words, ends, size = [], [], [], 0
             for i, x in zip(batch.column(0), batch.column(1)):
                 text = x.as_py() or ""
                 ids.append(i.as_py())
-                split.append(c.split(text))
+                words += c.split(text)
+                ends.append(len(words))
                 size += len(text)
                 if size >= SLICE_BYTES or len(ids) == SLICE:
-                    yield answer(c, ids, split)
-                    ids, split, size = [], [], 0
+                    yield answer(c, ids, words, ends)
+                    ids, words, ends, size = [], [], [], 0
             if ids:
-                yield answer(c, ids, split)
+                yield answer(c, ids, words, ends)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids string, decoded binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

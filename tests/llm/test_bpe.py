@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -19,6 +20,7 @@ def reference():
 def texts():
     rng = random.Random(5)
     out = [None, "", " ", "\n\n  \t x", "it's we'll I'd", "a" * 5000, "ab" * 3000, "é日本 123456 !!!???", "<|endoftext|>", "x\x1cy\x85z w", "Straße\r\n ", "😀😀 ok"]
+    out += ["".join(chr(rng.choice([*range(256)] * 3 + [0x152, 0x2014, 0x2019])) for _ in range(300)) for _ in range(30)]
     out += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
     out += ["".join(rng.choice("aab") for _ in range(rng.randrange(60, 900))) for _ in range(20)]  # long words with runs
     out += ["".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "".join(rng.choice("ethe ") for _ in range(300_000))]
@@ -49,9 +51,9 @@ def test_documents(spark, reference):
 
 def test_forgotten_words_come_back():
     c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, generation=3)
-    for words in ({"hello", " world"}, {"abc", " def", " xyz"}, {"hello", "q"}, {" world"}):
-        c.know(words)
-        assert all(c.known[w][1] == w.encode() for w in words)
+    for words in (["hello", " world", "hello"], ["abc", " def", " xyz", "hello"], ["hello", "q"], [" world"]):
+        ids, decoded = c.encode(pa.array(words))
+        assert ids.to_pylist() == [c.known[w] for w in words] and decoded.to_pylist() == [w.encode() for w in words]
 
 
 def test_long_words_in_several_queries(reference, monkeypatch):
@@ -60,9 +62,10 @@ def test_long_words_in_several_queries(reference, monkeypatch):
     monkeypatch.setattr(bpe, "STEPS", 2000)
     c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     word = "".join(random.Random(3).choice("abcdefghtheing") for _ in range(700))
-    c.know({word, "x" * 65, "y" * 64})
-    for w, (ids, decoded) in c.known.items():
-        assert ids == " ".join(map(str, reference.encode_ordinary(w))) and decoded == w.encode()
+    c.encode(pa.array([word, "x" * 65, "y" * 64]))
+    assert not c.odd
+    for w, ids in c.known.items():
+        assert ids == " ".join(map(str, reference.encode_ordinary(w)))
 
 
 def test_repeated_rows_and_other_columns(spark):
@@ -71,3 +74,17 @@ def test_repeated_rows_and_other_columns(spark):
     rows = encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert [r["n_tokens"] for r in rows] == [2, 2, 2] and sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
     assert len({r["ids"] for r in rows}) == 1 and "q" not in rows[0]["ids"]
+
+
+def test_latin_split_equals_the_pattern():
+    import regex
+
+    from echosieve.llm.bpe import splitter
+
+    every, rng = regex.compile(P.PATTERN).findall, random.Random(9)
+    split = splitter(P.PATTERN)
+    for n in range(3000):
+        text = "".join(chr(rng.randrange(256)) if rng.random() < 0.5 else rng.choice(" '\tsdlva1\n") for _ in range(rng.randrange(30)))
+        assert split(text) == every(text)
+    for pattern in (r"\d+|\D", r"(?i:a)|[^a]", r"[\S]"):
+        assert splitter(pattern)("aA 1") == regex.compile(pattern).findall("aA 1")
