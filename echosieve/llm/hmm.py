@@ -13,7 +13,9 @@ words meet their counts in a join."""
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,13 @@ from pyspark.sql import functions as F
 from echosieve.llm.common import Scratch, grouped
 from echosieve.llm.minhash import words_of
 
-LEXICON, SYMBOLS, CLASSES, STATES, ROUNDS, PIECE, BLOCK = 200_000, 16_384, 256, 8, 5, 256, 512
+LEXICON, SYMBOLS, CLASSES, STATES, BLOCK = 200_000, 16_384, 256, 8, 512
+#: Rounds of Baum-Welch at most, and the gain in log10 likelihood a token that ends them.
+ROUNDS, GAIN = 8, 1e-4
+#: Tokens of the unigram that every state has emitted beforehand.
+PRIOR = 2000.0
+#: Tokens a task sorts by text length, and tokens whose messages it holds at once.
+HELD, CELLS = 4_000_000, 400_000
 END = b""  # no word is empty
 
 
@@ -34,7 +42,7 @@ def _class(word: bytes) -> int:
 
 def _count(batches):
     """Token counts of a task's texts, sent on whenever many words are held."""
-    held: dict[bytes, int] = {}
+    held: Counter[bytes] = Counter()
 
     def flush():
         out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
@@ -43,13 +51,12 @@ def _count(batches):
 
     for batch in batches:
         for x in batch.column(0):
-            words = words_of(x.as_buffer().to_pybytes() if x.is_valid else None)
-            words.append(END)
-            for w in words:
-                held[w] = held.get(w, 0) + 1
+            held.update(words_of(x.as_buffer().to_pybytes() if x.is_valid else None))
             if len(held) > 400_000:
                 yield flush()
-    yield flush()
+        held[END] += batch.num_rows
+    if held:
+        yield flush()
 
 
 @dataclass
@@ -62,6 +69,10 @@ class Lexicon:
     within: np.ndarray  # log10 of the share in the symbol
     class_size: np.ndarray  # log10 of tokens + kinds + 1 of a class's words
 
+    def __post_init__(self):
+        # with a last entry for words outside, whose place is -1
+        self.symbol_or_0, self.base_or_0, self.within_or_0 = (np.append(x, x.dtype.type(0)) for x in (self.symbol, self.base, self.within))
+
     @property
     def symbols(self) -> int:
         return CLASSES + SYMBOLS
@@ -103,32 +114,32 @@ def _encode(lexicon):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                n, known, base, within, syms, rest_words, rest_n, rest_at = [], [], [], [], [], [], [], [0]
+                words, sizes = [], []
                 for x in part.column(1):
-                    words = words_of(x.as_buffer().to_pybytes() if x.is_valid else None)
+                    own = words_of(x.as_buffer().to_pybytes() if x.is_valid else None)
+                    words += own
                     words.append(END)
-                    idx = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    missing = np.flatnonzero(idx < 0)
-                    here = idx[idx >= 0]
-                    s = np.empty(len(words), np.int64)
-                    s[idx >= 0] = lex.symbol[here]
-                    rest: dict[bytes, int] = {}
-                    for k in missing.tolist():
-                        w = words[k]
-                        s[k] = _class(w)
-                        rest[w] = rest.get(w, 0) + 1
-                    n.append(len(words))
-                    known.append(len(here))
-                    base.append(float(lex.base[here].sum()))
-                    within.append(float(lex.within[here].sum()))
-                    syms.append(s.astype(np.uint16).tobytes())
-                    rest_words += rest.keys()
-                    rest_n += rest.values()
-                    rest_at.append(len(rest_words))
-                rest_list = pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], ["token", "n"]))
+                    sizes.append(len(own) + 1)
+                sizes = np.array(sizes)
+                first = np.cumsum(sizes) - sizes
+                idx = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
+                known = idx >= 0
+                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), lex.base_or_0[idx], lex.within_or_0[idx])]
+                s = lex.symbol_or_0[idx]
+                rest: list[dict[bytes, int]] = [{} for _ in sizes]
+                missing = np.flatnonzero(~known)
+                for k, i in zip(missing.tolist(), (np.searchsorted(first, missing, "right") - 1).tolist()):
+                    w = words[k]
+                    s[k] = _class(w)
+                    rest[i][w] = rest[i].get(w, 0) + 1
+                raw = s.astype(np.uint16)
+                syms = [raw[a:b].tobytes() for a, b in zip(first.tolist(), (first + sizes).tolist())]
+                rest_at = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+                flat = [pa.array([w for r in rest for w in r], pa.binary()), pa.array([c for r in rest for c in r.values()], pa.int64())]
+                rest_list = pa.ListArray.from_arrays(pa.array(rest_at), pa.StructArray.from_arrays(flat, ["token", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(within), pa.array(syms, pa.binary()), rest_list],
-                    names=["id", "train", "n_tokens", "known", "base", "within", "syms", "rest"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), *map(pa.array, sums), pa.array(syms, pa.binary()), rest_list],
+                    names=["id", "train", "row", "n_tokens", "known", "base", "within", "syms", "rest"],
                 )
 
     return run
@@ -165,47 +176,77 @@ class Hmm:
         out[order] = total
         return out
 
-    def expect(self, pieces: np.ndarray, lengths: np.ndarray, emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray, heads: np.ndarray) -> float:
-        """Add the expected counts of padded pieces (rows, longest first); heads marks text starts."""
-        rows, width = pieces.shape
-        alive = np.searchsorted(-lengths, -np.arange(width), "left")
-        fwd = np.zeros((width, rows, STATES), np.float64)
-        scale = np.ones((width, rows))
-        e = self.emit[pieces]  # rows x width x states
-        rest = self.stationary()
-        v = np.where(heads[:, None], self.start[None, :], rest[None, :]) * e[:, 0]
-        for k in range(width):
-            m = alive[k]
-            if k:
-                v = (v[:m] @ self.move) * e[:m, k]
-            t = v.sum(axis=1)
-            v = v / t[:, None]
-            fwd[k, :m] = v
-            scale[k, :m] = t
-        b = np.ones((rows, STATES))
-        post = np.zeros((rows, width, STATES))
-        pairs = np.zeros((STATES, STATES))
-        for k in range(width - 1, -1, -1):
-            m = alive[k]
-            post[:m, k] = fwd[k, :m] * b[:m]
-            if k:
-                x = b[:m] * e[:m, k] / scale[k, :m, None]
-                pairs += fwd[k - 1, :m].T @ x
-                b[:m] = x @ self.move.T
+    def _forward(self, flat, first, alive, a: int, b: int, before, back_move, emit):
+        """Messages of the steps a to b as columns, lane after lane and step after step:
+        (symbols, emissions, messages, where each step's begin, the last messages, log10 of
+        what was scaled away)."""
+        steps = alive[a:b]
+        at = np.concatenate([[0], np.cumsum(steps)])
+        lane = np.arange(at[-1]) - np.repeat(at[:-1], steps)
+        symbols = flat[first[lane] + np.repeat(np.arange(a, b), steps)]
+        e = np.stack([row[symbols] for row in emit])
+        fwd, v, scales = e.copy(), before, []
+        ends = np.append(alive, 0)[a + 1 : b + 1].tolist()
+        start = self.start.astype(np.float32)[:, None]
+        places = at.tolist()
+        for k, stay in enumerate(ends):
+            p, q = places[k], places[k + 1]
+            x = fwd[:, p:q]
+            x *= start if v is None else back_move @ v[:, : q - p]
+            if k % 2:  # two steps stay far within single precision
+                t = x.sum(axis=0)
+                x /= t
+                scales.append(t)
+            elif stay < q - p:
+                scales.append(x[:, stay:].sum(axis=0))
+            v = x
+        gain = float(np.log10(np.concatenate(scales)).sum(dtype=np.float64)) if scales else 0.0
+        return symbols, e, fwd, at, v, gain
+
+    def expect(self, sequences: list[np.ndarray], emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray) -> float:
+        """Add the expected counts of whole sequences, longest first, and give their log10
+        likelihood. Time runs in blocks of about CELLS tokens: a forward pass keeps the
+        messages between them, then every block is redone from the last to the first."""
+        sizes = np.array([len(x) for x in sequences])
+        first = np.cumsum(sizes) - sizes
+        flat = np.concatenate(sequences)
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        block = np.cumsum(alive) // CELLS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(alive)]
+        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T.astype(np.float32))
+        back_move = np.ascontiguousarray(move.T)
+        blocks, enters = list(zip(cuts, cuts[1:])), [None]
+        for a, b in blocks[:-1]:
+            enters.append(self._forward(flat, first, alive, a, b, enters[-1], back_move, emit)[4].copy())
+        back, pairs, total = np.ones((STATES, len(sizes)), np.float32), np.zeros((STATES, STATES)), 0.0
+        while blocks:
+            (a, b), enter = blocks.pop(), enters.pop()
+            symbols, e, fwd, at, _, gain = self._forward(flat, first, alive, a, b, enter, back_move, emit)
+            total += gain
+            steps, places = alive[a:b], at.tolist()
+            bwd = np.empty_like(fwd)
+            for k in range(b - a - 1, -1, -1):
+                p, q = places[k], places[k + 1]
+                x = back[:, : q - p]
+                bwd[:, p:q] = x
+                x = move @ (x * e[:, p:q])
+                if k % 2:
+                    x /= x.sum(axis=0)
+                back[:, : q - p] = x
+            # pairs of states: the message that left the step before, and this step's emission and future
+            e *= bwd
+            before = fwd[:, np.arange(at[1], at[-1]) - np.repeat(steps[:-1], steps[1:])]
+            for left, right in ((before, e[:, at[1] :]), *([(enter[:, : steps[0]], e[:, : steps[0]])] if enter is not None else [])):
+                norm = ((back_move @ left) * right).sum(axis=0)
+                pairs += (left / norm) @ right.T
+            bwd *= fwd
+            bwd /= bwd.sum(axis=0)
+            for k in range(STATES):
+                emit_counts[:, k] += np.bincount(symbols, bwd[k], len(emit_counts))
+            if enter is None:
+                start_counts += bwd[:, : steps[0]].sum(axis=1)
         move_counts += pairs * self.move
-        start_counts += post[heads, 0].sum(axis=0)
-        real = np.arange(width)[None, :] < lengths[:, None]
-        ids = pieces[real]
-        post = post[real]
-        for s in range(STATES):
-            emit_counts[:, s] += np.bincount(ids, post[:, s], len(emit_counts))
-        return float(np.log10(scale).sum())
-
-    def stationary(self) -> np.ndarray:
-        p = np.full(STATES, 1.0 / STATES)
-        for _ in range(64):
-            p = p @ self.move
-        return p / p.sum()
+        return total
 
 
 def first_guess(unigram: np.ndarray, seed: int = 11) -> Hmm:
@@ -216,36 +257,41 @@ def first_guess(unigram: np.ndarray, seed: int = 11) -> Hmm:
 
 
 def _expectation(model):
-    """Expected counts of a task's training texts, cut into pieces of PIECE tokens that
-    start from the stationary distribution; blocks of symbols, and -1 for the rest."""
+    """Expected counts of a task's training texts, whole and side by side with others of
+    about their length: blocks of symbols, and -1 for the rest with the log10 likelihood."""
 
     def run(batches):
         hmm = model.value
         symbols = len(hmm.emit)
-        emit, move, start = np.zeros((symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-        held: list[tuple[np.ndarray, bool]] = []
-
-        def work():
-            held.sort(key=lambda x: -len(x[0]))
-            lengths = np.array([len(x) for x, _ in held])
-            rows = np.zeros((len(held), lengths[0]), np.int64)
-            for k, (x, _) in enumerate(held):
-                rows[k, : len(x)] = x
-            hmm.expect(rows, lengths, emit, move, start, np.array([h for _, h in held]))
+        emit, move, start, total = np.zeros((symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), 0.0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def work() -> float:
+            held.sort(key=len, reverse=True)
+            gain, a = 0.0, 0
+            while a < len(held):
+                b, cells = a + 1, len(held[a])
+                while b < len(held) and cells + len(held[b]) <= CELLS:
+                    cells += len(held[b])
+                    b += 1
+                gain += hmm.expect(held[a:b], emit, move, start)
+                a = b
             held.clear()
+            return gain
 
         for batch in batches:
             for x in batch.column(0):
-                s = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
-                for a in range(0, len(s), PIECE):
-                    held.append((s[a : a + PIECE], a == 0))
-                if len(held) >= 768:
-                    work()
+                held.append(np.frombuffer(x.as_buffer().to_pybytes(), np.uint16))
+                size += len(held[-1])
+                if size >= HELD:
+                    total += work()
+                    size = 0
         if held:
-            work()
+            total += work()
         blocks = range(0, symbols, BLOCK)
         keys = [a // BLOCK for a in blocks] + [-1]
-        data = [emit[a : a + BLOCK].tobytes() for a in blocks] + [np.concatenate([move.ravel(), start]).tobytes()]
+        data = [emit[a : a + BLOCK].tobytes() for a in blocks] + [np.concatenate([move.ravel(), start, [total]]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
 
     return run
@@ -256,9 +302,11 @@ def _add(group: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def baum_welch(spark: SparkSession, encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Hmm:
-    """Expectation over all training rows of encoded, maximisation on the driver."""
-    hmm = first_guess(unigram)
+def baum_welch(spark: SparkSession, encoded: DataFrame, unigram: np.ndarray, tokens: int, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
+    """The model, and the training texts' log10 likelihood under the model that every round
+    began with. Expectation runs over all training rows of encoded, maximisation on the
+    driver; rounds end when a token's likelihood gains less than GAIN."""
+    hmm, path = first_guess(unigram), []
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(hmm)  # symbols x states doubles, whatever the corpus
         parts = encoded.where("train").select("syms").mapInArrow(_expectation(shared), "block int, counts binary")
@@ -267,11 +315,14 @@ def baum_welch(spark: SparkSession, encoded: DataFrame, unigram: np.ndarray, rou
         if not rows:
             break
         rest = rows.pop(-1)
+        path.append(float(rest[-1]))
+        if len(path) > 1 and path[-1] - path[-2] < GAIN * max(1, tokens):
+            break  # the round's counts would hardly move the model
         emit = np.concatenate([rows[k] for k in sorted(rows)]).reshape(-1, STATES)
-        move, start = rest[: STATES**2].reshape(STATES, STATES), rest[STATES**2 :]
-        emit = emit + 2000.0 * unigram[:, None]
+        move, start = rest[: STATES**2].reshape(STATES, STATES), rest[STATES**2 : -1]
+        emit = emit + PRIOR * unigram[:, None]
         hmm = Hmm((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return hmm
+    return hmm, path
 
 
 def _score(model):
@@ -281,7 +332,7 @@ def _score(model):
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 got = hmm.forward([np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in part.column("syms")])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got)], names=["id", "hmm"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(got)], names=["row", "hmm"])
 
     return run
 
@@ -293,7 +344,8 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     Words are runs of other than ASCII white space after A-Z are lower-cased, then one
     end, so null and empty texts are one token. The scores are log10 probabilities:
     base_score of the add-one unigram, score of the hidden Markov model. With nothing
-    to learn from, every token is unknown. The id is a key; other columns are ignored."""
+    to learn from, every token is unknown. Repeated rows give repeated rows, a null id is
+    kept, and other columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -302,7 +354,9 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     counts = scratch.save(counts.withColumn("class", F.pmod(ending, F.lit(CLASSES)).cast("int")), "counts")
     lex = build_lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)  # LEXICON words at most
-    encoded = rows.mapInArrow(_encode(shared), "id long, train boolean, n_tokens long, known long, base double, within double, syms binary, rest array<struct<token:binary,n:long>>")
+    # `row` tells rows of one id apart; it is fixed once the table is written
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    encoded = rows.mapInArrow(_encode(shared), "id long, train boolean, row long, n_tokens long, known long, base double, within double, syms binary, rest array<struct<token:binary,n:long>>")
     encoded = scratch.save(encoded, "encoded")
     unigram = np.zeros(lex.symbols)
     unigram[:CLASSES] = 10.0**lex.class_size
@@ -310,20 +364,20 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     own = lex.symbol >= CLASSES
     unigram[lex.symbol[own]] = c[own]
     unigram = np.maximum(unigram, 1e-3)
-    model = spark.sparkContext.broadcast(baum_welch(spark, encoded, unigram / unigram.sum()))
-    hmm = encoded.select("id", "syms").mapInArrow(_score(model), "id long, hmm double")
+    model = spark.sparkContext.broadcast(baum_welch(spark, encoded, unigram / unigram.sum(), lex.total)[0])
+    hmm = encoded.select("row", "syms").mapInArrow(_score(model), "row long, hmm double")
     # words outside the lexicon meet their counts
-    rest = encoded.select("id", F.explode("rest").alias("r")).select("id", "r.token", "r.n").join(counts.select("token", "c", "class"), "token", "left")
+    rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.token", "r.n").join(counts.select("token", "c", "class"), "token", "left")
     sizes = F.array(*[F.lit(float(x)) for x in lex.class_size])
     kind = F.coalesce("class", F.pmod(ending, F.lit(CLASSES)).cast("int"))
     more = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
-    rest = rest.groupBy("id").agg(
+    rest = rest.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rest_known"),
         F.sum(F.col("n") * (more - float(np.log10(lex.total + lex.distinct + 1)))).alias("rest_base"),
         F.sum(F.col("n") * (more - F.element_at(sizes, kind + 1))).alias("rest_within"),
     )
-    sums = encoded.select("id", "n_tokens", "known", "base", "within")
-    out = sums.join(hmm, "id").join(rest, "id", "left")
+    sums = encoded.select("row", "id", "n_tokens", "known", "base", "within")
+    out = sums.join(hmm, "row").join(rest, "row", "left")
     zero = F.lit(0)
     return out.select(
         F.col("id").alias(id_col),

@@ -57,3 +57,55 @@ def test_small_lexicon_edges_and_total_probability(spark, monkeypatch):
         assert -1e9 < got[i]["score"] < 0
     assert score_texts(df.where("false"), F.col("learn")).count() == 0
     assert score_texts(df, F.lit(False)).count() == len(rows)
+
+
+def enumerated(m, s):
+    """Expected counts of one sequence by summing over all state paths."""
+    k = len(m.start)
+    emit, move, start, total = np.zeros_like(m.emit), np.zeros((k, k)), np.zeros(k), 0.0
+    for p in itertools.product(range(k), repeat=len(s)):
+        w = m.start[p[0]] * m.emit[s[0], p[0]] * np.prod([m.move[a, b] * m.emit[x, b] for a, b, x in zip(p, p[1:], s[1:])])
+        total += w
+        start[p[0]] += w
+        for x, a in zip(s, p):
+            emit[x, a] += w
+        for a, b in zip(p, p[1:]):
+            move[a, b] += w
+    return emit / total, move / total, start / total, math.log10(total)
+
+
+def test_expected_counts_across_blocks(monkeypatch):
+    """Messages are carried over blocks: counts of whole sequences equal enumeration."""
+    monkeypatch.setattr(hmm, "STATES", 3)
+    rng = np.random.default_rng(1)
+    m = Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    seqs = sorted([rng.integers(0, 5, n).astype(np.uint16) for n in (1, 7, 6, 2, 6, 1)], key=len, reverse=True)
+    want = [sum(x) for x in zip(*(enumerated(m, s) for s in seqs))]
+    for cells in (1, 4, 9, 1000):
+        monkeypatch.setattr(hmm, "CELLS", cells)
+        emit, move, start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
+        total = m.expect(seqs, emit, move, start)
+        for got, w in zip((emit, move, start, total), want):
+            assert np.allclose(got, w, rtol=1e-4, atol=1e-5), cells
+
+
+def test_training_raises_the_likelihood(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):  # two regimes that last
+        state, out = 0, []
+        for _ in range(200):
+            state = state if rng.random() < 0.95 else 1 - state
+            out.append(int(rng.integers(0, 6) + 6 * state))
+        rows.append((bytes(np.array(out, np.uint16).tobytes()), True))
+    unigram = np.bincount(np.concatenate([np.frombuffer(r[0], np.uint16) for r in rows]), minlength=12) / 12_000
+    df = spark.createDataFrame(rows, "syms binary, train boolean").repartition(3)
+    model, path = hmm.baum_welch(spark, df, unigram, 12_000, rounds=12)
+    assert len(path) > 3 and all(b > a - 1e-3 * abs(a) for a, b in zip(path, path[1:])) and path[-1] > path[0] + 0.05 * 12_000
+    assert model.forward([np.frombuffer(rows[0][0], np.uint16).astype(np.int64)])[0] > 200 * np.log10(1 / 12) + 5
+
+
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b", 3), (1, "a b", 3), (None, "a c", 4), (None, None, 5)], "doc_id long, text string, row int")
+    got = score_texts(df, F.lit(True)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(0, 1, 1, 10), (0, 3, 3, 10), (1, 3, 3, 10), (1, 3, 3, 10)]
