@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from echosieve.llm.common import Scratch, grouped, keep_ids, parallelism
 
-GRAM, SHARD_BYTES, PART, QUARTERS = 128, 1_000_000, 4096, 4
+GRAM, SHARD_BYTES, PART, QUARTERS, SALTS = 128, 1_000_000, 4096, 4, 64
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -177,6 +177,17 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _order(first: np.ndarray, second: np.ndarray, most: int) -> np.ndarray:
+    """Order of the pairs, both below `most`; packed with their places where 64 bits hold
+    them, as numbers are sorted several times faster than indexes."""
+    bits, places = (most - 1).bit_length(), (len(first) - 1).bit_length()
+    if 2 * bits + places > 63:
+        return np.argsort(first * np.int64(most) + second)
+    packed = (first << (bits + places)) | (second << places) | np.arange(len(first))
+    packed.sort()
+    return packed & ((1 << places) - 1)
+
+
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, its inverse) by Larsson-Sadakane: groups of equal prefixes are
     refined by the ranks of the suffixes one prefix further on, and settled suffixes
@@ -186,13 +197,14 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
+    sa = np.argsort(key)
+    k_sorted = key[sa]
     # a suffix that ends inside the key ranks before those that go on with zeros
-    sa = np.argsort(key, kind="stable")
+    for k in range(max(0, n - 7), n):
+        a, b = np.searchsorted(k_sorted, key[k], "left"), np.searchsorted(k_sorted, key[k], "right")
+        if b - a > 1:
+            sa[a:b] = sa[a:b][np.argsort(np.minimum(n - sa[a:b], 8), kind="stable")]
     tail = np.minimum(n - sa, 8)
-    k_sorted = key[sa]
-    if n > 1:
-        order = np.lexsort((tail, k_sorted)) if (k_sorted[1:] == k_sorted[:-1]).any() and (tail < 8).any() else np.arange(n)
-        sa, k_sorted, tail = sa[order], k_sorted[order], tail[order]
     new = np.ones(n, bool)
     new[1:] = (k_sorted[1:] != k_sorted[:-1]) | (tail[1:] != tail[:-1])
     rank = np.empty(n, np.int64)
@@ -208,7 +220,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead = s + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         group = rank[s]
-        order = np.argsort(group * np.int64(n + 1) + second, kind="stable")
+        order = _order(group, second, n + 1)
         s, group, second = s[order], group[order], second[order]
         sa[loose] = s
         fresh = np.ones(len(loose), bool)
@@ -258,11 +270,16 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, inverse: np.ndarray, offse
 
 def _several(run: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
     """For each of n runs whether it holds more than one place of the texts."""
-    order = np.lexsort((places, docs, run))
-    r, d, p = run[order], docs[order], places[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-    return np.bincount(r[new], minlength=n) > 1
+    out = np.zeros(n, bool)
+    if not len(run):
+        return out
+    if (run[1:] < run[:-1]).any():
+        order = np.argsort(run)
+        run, docs, places = run[order], docs[order], places[order]
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    for x in (docs, places):
+        out[run[first]] |= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
+    return out
 
 
 def _shard(length: int, gram: int):
@@ -395,8 +412,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = scratch.save(scanned, "scanned")
     seen = scanned.select("id", F.explode(F.arrays_zip("fp", "ctx", "at", "many")).alias("x")).select("id", "x.fp", "x.ctx", "x.at", "x.many")
     contexts = seen.groupBy("fp", "ctx").agg(F.sum(F.col("many") + 1).alias("n"), F.min(F.struct("id", "at")).alias("one"))
-    per_anchor = contexts.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    contexts = scratch.save(contexts.join(per_anchor, "fp").select("fp", "ctx", "n", "kinds", "one.id", "one.at"), "contexts")
+    contexts = contexts.withColumn("salt", F.pmod("ctx", F.lit(SALTS)).cast("int"))
+    # an anchor's totals go back to its contexts salt by salt, as one anchor may have any number of them
+    by_salt = contexts.groupBy("fp", "salt").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    per_anchor = by_salt.groupBy("fp").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"), F.collect_list("salt").alias("salts")).where("total > 1")
+    per_anchor = per_anchor.select("fp", "kinds", F.explode("salts").alias("salt"))
+    contexts = scratch.save(contexts.join(per_anchor, ["fp", "salt"]).select("fp", "ctx", "n", "kinds", "one.id", "one.at"), "contexts")
     # different contexts of one anchor: shards of suffix arrays
     mixed = contexts.where("kinds > 1")
     wants = scratch.save(mixed.groupBy("id").agg(F.collect_list(F.struct("fp", "ctx", "at")).alias("wants")), "wants")
@@ -414,8 +435,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = keyed.join(kinds.where("n > 1").select("fp", "q", "key", "ext"), ["fp", "q", "key", "ext"]).select("fp", "ctx", F.element_at(table, F.col("q") + 1).alias("s")).select("fp", "ctx", "s.lo", "s.hi")
     size = live.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
     shards = max(parallelism(spark), size * (2 * ranges[0][1] + 6) // shard_bytes + 1)
-    parts = live.groupBy("fp").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    pieces = keep_ids(pieces.drop("quarters"), live, "ctx").join(live.join(parts, "fp"), ["fp", "ctx"])
+    live = live.withColumn("salt", F.pmod("ctx", F.lit(SALTS)).cast("int"))
+    parts = live.groupBy("fp", "salt").agg(F.count("*").alias("n")).groupBy("fp").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.collect_list("salt").alias("salts"))
+    live = live.join(parts.select("fp", "parts", F.explode("salts").alias("salt")), ["fp", "salt"]).drop("salt")
+    pieces = keep_ids(pieces.drop("quarters"), live, "ctx").join(live, ["fp", "ctx"])
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("fp", F.pmod(F.col("ctx"), F.col("parts"))), F.lit(shards)))
     found = scratch.save(grouped(pieces, ["shard"], _shard(length, gram), "kind int, fp long, ctx long, lo int, hi int, range int, digests binary, ctxs binary, starts binary, ids binary, places binary"), "found")
     across = grouped(found.where("kind = 1").select("fp", "range", "digests", "ctxs", "starts", "ids", "places"), ["fp", "range"], _merge(length), "fp long, ctx long, lo int, hi int")
