@@ -37,9 +37,9 @@ def score_rows(frags: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("badness", F.round(badness, PLACES)).withColumn("hint", hint).drop("seen", "first", "first_capital")
 
 
-def hotspots(frags: DataFrame, settings: Settings = Settings(), expansion_rounds: int | None = 0) -> DataFrame:
-    """Hotspot rows. expansion_rounds=0 matches within the base radius, one plan of joins;
-    None also follows the frontier to its end, document by document."""
+def hotspots(frags: DataFrame, settings: Settings = Settings(), expansion_rounds: int | None = None) -> DataFrame:
+    """Hotspot rows. The frontier is followed to its end; expansion_rounds=0 matches within
+    the base radius only, one plan of joins."""
     found = matches(frags, settings) if expansion_rounds == 0 else frontier_matches(frags, settings)
     return score_rows(frags, found)
 

@@ -35,6 +35,13 @@ def talks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """Eight conversations in a row as one document, long enough for distances to count."""
+    turn = F.concat(F.lit("# "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.expr("conv_id div 8").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", turn.alias("t")))).alias("t"))
+    return rows.select("doc_id", F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("text"))
+
+
 def _kept(df: DataFrame, name: str = "") -> DataFrame:
     """Rows that several branches of one query read; spilled to disk, recomputed if lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -173,7 +180,7 @@ def pair_similarity(s, d):
     return _long(rows, "a", "b", "shared").select("doc_id", "a", "b", "shared", *[F.round(c, 9).alias(c) for c in ("overlap", "seq", "bigram", "trigram", "size", "score")], "exchange")
 
 
-@add("matches", O.query(O.TALKS, O.matched(), f"SELECT doc_id, {_ints('idx', 'other', 'distance', 'shared')}, round(score, 9) AS score, round(weighted, 9) AS weighted FROM matches"))
+@add("matches", O.query(O.TALKS, O.base_matched(), f"SELECT doc_id, {_ints('idx', 'other', 'distance', 'shared')}, round(score, 9) AS score, round(weighted, 9) AS weighted FROM matches"))
 def matches(s, d):
     rows = _long(S.matches(_kept(fragments(talks(s, d)))), "idx", "other", "distance", "shared")
     return rows.select("doc_id", "idx", "other", "distance", "shared", F.round("score", 9).alias("score"), F.round("weighted", 9).alias("weighted"))
@@ -182,7 +189,7 @@ def matches(s, d):
 _HOT = f"SELECT doc_id, {_ints('idx', 'match_count', 'reusable', 'unique')}, round(density, 6) AS density, round(badness, 6) AS badness, round(reusable_ratio, 9) AS reusable_ratio, hint FROM hot"
 
 
-def _hotspots(s, d, docs, rounds=0):
+def _hotspots(s, d, docs, rounds=None):
     rows = _long(H.hotspots(_kept(fragments(docs(s, d))), WEB, rounds), "idx", "match_count", "reusable", "unique")
     return rows.select("doc_id", "idx", "match_count", "reusable", "unique", F.round("density", 6).alias("density"), F.round("badness", 6).alias("badness"), F.round("reusable_ratio", 9).alias("reusable_ratio"), "hint")
 
@@ -192,14 +199,21 @@ def hotspots(s, d):
     return _hotspots(s, d, talks)
 
 
-@add("hotspots_documents", O.query(O.DOCS, O.HOT, _HOT))
+@add("hotspots_documents", O.query(O.DOCS, O.hot(O.base_matched()), _HOT))
 def hotspots_documents(s, d):
-    return _hotspots(s, d, documents)
+    """Documents are one paragraph, and the base radius alone is asked for."""
+    return _hotspots(s, d, documents, 0)
 
 
-@add("hotspots_frontier")
+@add("hotspots_frontier", O.query(O.BOOKS, O.HOT, _HOT))
 def hotspots_frontier(s, d):
-    return _hotspots(s, d, talks, None)
+    return _hotspots(s, d, books)
+
+
+@add("frontier_matches", O.query(O.BOOKS, O.matched(), f"SELECT doc_id, {_ints('idx', 'other', 'distance', 'shared')}, round(score, 9) AS score, round(weighted, 9) AS weighted FROM matches"))
+def frontier_matches(s, d):
+    rows = _long(H.frontier_matches(_kept(fragments(books(s, d))), WEB), "idx", "other", "distance", "shared")
+    return rows.select("doc_id", "idx", "other", "distance", "shared", F.round("score", 9).alias("score"), F.round("weighted", 9).alias("weighted"))
 
 
 @add("keep_hints", O.query(O.TALKS, O.HOT, "SELECT hint, count(*) AS n FROM hot GROUP BY hint"))

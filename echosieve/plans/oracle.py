@@ -11,6 +11,8 @@ NL = "chr(10)"
 DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 TALKS = f"docs AS (SELECT conv_id AS doc_id, string_agg('# ' || role || {NL} || {NL} || coalesce(text, ''), {NL} || {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
+BOOKS = f"docs AS (SELECT (conv_id // 8)::BIGINT AS doc_id, string_agg('# ' || role || {NL} || {NL} || coalesce(text, ''), {NL} || {NL} ORDER BY conv_id, turn) AS text FROM conversations GROUP BY ALL)"
+
 
 def sub(x, pattern, to=""):
     return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
@@ -101,9 +103,7 @@ LCS = """list_last(list_reduce(x.tokens, lambda row, t: list_reduce(list_transfo
   lambda acc, c: list_append(acc, greatest(c, list_last(acc))), [0::BIGINT]), list_transform(range(0, len(y.tokens) + 1), lambda k: 0::BIGINT)))"""
 
 
-def similar(radius):
-    return f"""{pairs(radius)},
-sets AS (SELECT doc_id, idx, tokens, list_distinct(tokens) AS s, list_distinct({grams("tokens", 2)}) AS two, list_distinct({grams("tokens", 3)}) AS three FROM fragments),
+SCORED = f"""sets AS (SELECT doc_id, idx, tokens, list_distinct(tokens) AS s, list_distinct({grams("tokens", 2)}) AS two, list_distinct({grams("tokens", 3)}) AS three FROM fragments),
 compared AS (SELECT p.*, len(list_intersect(x.s, y.s)) AS shared, {jaccard("x.s", "y.s")} AS overlap, {jaccard("x.two", "y.two")} AS bigram, {jaccard("x.three", "y.three")} AS trigram,
   1.0e0 - abs(len(x.tokens) - len(y.tokens)) / greatest(len(x.tokens), len(y.tokens))::DOUBLE AS size, 2 * {LCS} / (len(x.tokens) + len(y.tokens))::DOUBLE AS seq,
   (list_contains(x.s, 'i') AND list_contains(y.s, 'you')) OR (list_contains(x.s, 'you') AND list_contains(y.s, 'i')) AS swap, x.s AS set_a, y.s AS set_b
@@ -111,13 +111,49 @@ compared AS (SELECT p.*, len(list_intersect(x.s, y.s)) AS shared, {jaccard("x.s"
 scored AS (SELECT *, swap AND overlap >= 0.35e0 AS exchange, 0.38e0 * overlap + 0.20e0 * seq + 0.16e0 * bigram + 0.08e0 * trigram + 0.18e0 * size AS score FROM compared)"""
 
 
-def matched(radius=12, least=0.2):
+def similar(radius):
+    return f"{pairs(radius)},\n{SCORED}"
+
+
+def base_matched(radius=12, least=0.2):
     return f"""{similar(radius)},
 good AS (SELECT *, greatest(0.0e0, score - CASE WHEN exchange THEN 0.12e0 ELSE 0.0e0 END) / (1 + distance) AS weighted FROM scored WHERE (shared >= 1 OR bigram > 0) AND score >= {least}e0),
 matches AS (SELECT doc_id, a AS idx, b AS other, distance, shared, score, weighted, set_b AS other_tokens FROM good UNION ALL SELECT doc_id, b, a, distance, shared, score, weighted, set_a FROM good)"""
 
 
-HOT = f"""{matched()},
+def matched(radius=12, growth=3, least=0.2, cap=180):
+    """Matches after the frontier walk: a step of `walk` is a fragment's state before a round
+    (what it found, the tokens it knows); it goes on while its best matches bring in tokens
+    whose fragments it hasn't found. Whatever is accepted shares a token, so `good` holds
+    every pair that the walk may find."""
+    return f"""{FRAGMENTS},
+token_rows AS MATERIALIZED (SELECT doc_id, idx, para_index, unnest(list_distinct(tokens)) AS token FROM fragments),
+pairs AS (SELECT DISTINCT x.doc_id, x.idx AS a, y.idx AS b, abs(x.para_index - y.para_index) AS distance FROM token_rows x JOIN token_rows y ON x.doc_id = y.doc_id AND x.token = y.token AND x.idx < y.idx WHERE abs(x.para_index - y.para_index) <= {radius * max(1, growth)}),
+{SCORED},
+both_ways AS (SELECT *, greatest(0.0e0, score - CASE WHEN exchange THEN 0.12e0 ELSE 0.0e0 END) / (1 + distance) AS weighted FROM scored WHERE (shared >= 1 OR bigram > 0) AND score >= {least}e0),
+good AS MATERIALIZED (SELECT doc_id, a AS idx, b AS other, distance, shared, score, weighted, set_b AS other_tokens FROM both_ways UNION ALL SELECT doc_id, b, a, distance, shared, score, weighted, set_a FROM both_ways),
+usable AS MATERIALIZED (SELECT t.* FROM token_rows t JOIN (SELECT doc_id, token FROM token_rows GROUP BY ALL HAVING count(*) <= {cap}) p USING (doc_id, token)),
+first_found AS (SELECT g.doc_id, g.idx, list(DISTINCT g.other) AS found FROM good g JOIN usable x ON x.doc_id = g.doc_id AND x.idx = g.idx JOIN usable y ON y.doc_id = g.doc_id AND y.idx = g.other AND y.token = x.token WHERE g.distance <= {radius} GROUP BY ALL),
+walk(doc_id, idx, para_index, boost, found, known) AS (
+  SELECT f.doc_id, f.idx, f.para_index, 1, o.found, list_distinct(f.tokens) FROM fragments f JOIN first_found o USING (doc_id, idx)
+  UNION ALL
+  (WITH lead_rows AS (SELECT w.doc_id, w.idx, w.boost, w.known, g.other, row_number() OVER (PARTITION BY w.doc_id, w.idx ORDER BY g.weighted DESC, g.distance, g.other) AS r
+      FROM (SELECT doc_id, idx, boost, known, unnest(found) AS other FROM walk) w JOIN good g USING (doc_id, idx, other) QUALIFY r <= 4 * w.boost),
+    fresh AS (SELECT l.doc_id, l.idx, l.boost, t.token, min(l.r) AS r FROM lead_rows l JOIN token_rows t ON t.doc_id = l.doc_id AND t.idx = l.other WHERE NOT list_contains(l.known, t.token) GROUP BY ALL),
+    counted AS (SELECT doc_id, idx, boost, r, list(token) AS tokens, count(*) AS c FROM fresh GROUP BY doc_id, idx, boost, r),
+    steps AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY doc_id, idx ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counted),
+    bridge AS (SELECT doc_id, idx, boost, unnest(tokens) AS token FROM steps WHERE before < 4 * boost),
+    reached AS (SELECT DISTINCT w.doc_id, w.idx, u.idx AS other FROM walk w JOIN bridge b ON b.doc_id = w.doc_id AND b.idx = w.idx JOIN usable u ON u.doc_id = b.doc_id AND u.token = b.token
+      WHERE u.idx <> w.idx AND abs(u.para_index - w.para_index) <= {radius} * least(w.boost, {growth}) AND NOT list_contains(w.found, u.idx)),
+    added AS (SELECT r.doc_id, r.idx, list(g.other) FILTER (g.other IS NOT NULL) AS others FROM reached r LEFT JOIN good g ON g.doc_id = r.doc_id AND g.idx = r.idx AND g.other = r.other GROUP BY ALL)
+   SELECT w.doc_id, w.idx, w.para_index, w.boost * 2, list_concat(w.found, coalesce(a.others, [])), list_concat(w.known, b.tokens)
+   FROM walk w JOIN added a USING (doc_id, idx) JOIN (SELECT doc_id, idx, list(token) AS tokens FROM bridge GROUP BY ALL) b USING (doc_id, idx))),
+ended AS (SELECT doc_id, idx, unnest(max_by(found, boost)) AS other FROM walk GROUP BY doc_id, idx),
+matches AS (SELECT g.* FROM good g JOIN ended e USING (doc_id, idx, other))"""
+
+
+def hot(matches):
+    return f"""{matches},
 summed AS (SELECT m.doc_id, m.idx, count(*) AS match_count, round(sum(weighted), 9) AS density, list_distinct(flatten(list(other_tokens))) AS seen, min(other) AS first,
   min(CASE WHEN f.starts_capitalized THEN other END) AS first_capital FROM matches m JOIN fragments f ON f.doc_id = m.doc_id AND f.idx = m.other GROUP BY m.doc_id, m.idx),
 reused AS (SELECT f.*, s.* EXCLUDE (doc_id, idx), len(list_intersect(list_distinct(f.tokens), seen)) AS reusable, len(list_distinct(f.tokens)) AS own FROM fragments f JOIN summed s ON s.doc_id = f.doc_id AND s.idx = f.idx),
@@ -125,6 +161,9 @@ hot AS (SELECT *, own - reusable AS "unique", reusable / greatest(1, own)::DOUBL
   round(density * (1 + least(match_count, 8) / 4.0e0) * (0.5e0 + reusable / greatest(1, own)::DOUBLE), 9) AS badness,
   CASE WHEN idx < first THEN 'earliest' WHEN starts_capitalized AND (first_capital IS NULL OR idx < first_capital) THEN 'earliest-capitalized' ELSE 'redundant-candidate' END AS hint FROM reused)"""
 
+
+HOT = hot(matched())
+
 _PROFILES = {"low": (2.8, 0.5, 2, 0.65, 2, 0.08, False), "med": (1.8, 0.2, 1, 0.5, 4, 0.18, True), "high": (1.0, 0.1, 1, 0.4, 6, 0.35, True)}
 
 
@@ -235,4 +274,4 @@ picked AS (SELECT * EXCLUDE (k, o, c, t) FROM (SELECT *, row_number() OVER (PART
 
 
 def query(docs, ctes, select):
-    return f"WITH {docs}, {ctes.strip()} {select}"
+    return f"WITH RECURSIVE {docs}, {ctes.strip()} {select}"

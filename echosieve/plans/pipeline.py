@@ -58,7 +58,7 @@ def spans_of(docs: DataFrame, frags: DataFrame, local: DataFrame, scaffold: Data
     return edits.merged_spans(spans.select("doc_id", "left", "right", "method", "severity"))
 
 
-def analyze(docs: DataFrame, settings: Settings = Settings(), expansion_rounds: int | None = 0, models: DataFrame | None = None, table: Callable = lambda df, name: df) -> Analysis:
+def analyze(docs: DataFrame, settings: Settings = Settings(), expansion_rounds: int | None = None, models: DataFrame | None = None, table: Callable = lambda df, name: df) -> Analysis:
     """docs(doc_id, text). `models` are shared model probabilities (no doc_id); without
     them every document mines its own."""
     frags = table(fragment_rows(docs, settings), "fragments")
