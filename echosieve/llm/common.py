@@ -60,6 +60,18 @@ def release(spark: SparkSession, label: str) -> None:
         delete_path(spark, base)
 
 
+def one_row_per_id(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows with an id, one for each: where an id repeats, the row that is least by its
+    other columns, null first. Only ids are shuffled unless some repeat."""
+    rows = rows.where(F.col(id_col).isNotNull())
+    again = rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if again.isEmpty():
+        return rows
+    rest = [c for c in rows.columns if c != id_col]
+    least = rows.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*rest)).alias("least")).select(id_col, "least.*")
+    return rows.join(again, id_col, "left_anti").unionByName(least.select(rows.columns))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, grouped, keep_ids, list_views
+from echosieve.llm.common import Scratch, grouped, keep_ids, list_views, one_row_per_id
 
 WINDOW, ITEMS, PROBES, LATENT = 80, 256, 32, 64
 SHARE, ANSWER = 0.6, 0.5
@@ -295,16 +295,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased runs of letters and digits. Null and empty texts and items
     give nothing, an item of one word is found wherever the word is; equal items under
-    several ids are all reported. The ids are keys; other columns are ignored."""
+    several ids are all reported. Of rows that repeat an id, of either table, the one with
+    the least text counts, rows without an id are left out; other columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    benchmark = one_row_per_id(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")))
     schema = "id long, item_id long, share double, first_word long, cosine double"
     n_items = benchmark.count()
     found = None
     blocks = max(1, -(-n_items // ITEMS))
     for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == b).select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).collect()
+        rows = benchmark.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
         items = {r[0]: w for r in rows if (w := words_of(r[1]))}
         vocabulary = {w: k for k, w in enumerate(sorted({w for x in items.values() for w in x}))}
         if not vocabulary:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, connected_components, grouped, list_views
+from echosieve.llm.common import Scratch, connected_components, grouped, list_views, one_row_per_id
 
 EPSILON, MISS, BLOCK, SEED = 5.5, 3e-5, 1024, 20
 
@@ -175,14 +175,14 @@ def _meet(threshold: float):
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, label: str = "embeddings") -> DataFrame:
-    """One row per row of vectors: (id_col, n_links, component_id, kept). Vectors of one
+    """One row per id of vectors: (id_col, n_links, component_id, kept). Vectors of one
     length link when their cosine in double precision is at least `threshold`; null,
     empty and zero vectors and such with null or non-finite components link with
-    nothing. The id is a key; other columns are ignored; an empty table gives an empty
-    result."""
+    nothing. Of rows that repeat an id the one with the least vector counts, rows without
+    an id are left out; other columns are ignored; an empty table gives an empty result."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, label)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = one_row_per_id(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
     usable = scratch.save(rows.mapInArrow(_read, "id long, digest binary, vec binary"), "usable")
     groups = usable.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     groups = scratch.save(groups, "groups")

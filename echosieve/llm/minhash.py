@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views
+from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views, one_row_per_id
 
 BANDS, ROWS, BLOCK, STAR = 24, 4, 1024, 256
 COORDS = BANDS * ROWS
@@ -228,12 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's set holds its distinct `width`-word shingles, or its whole word
     sequence when that is shorter. Documents link when 100 * intersection >=
     percent * union. Null and empty texts have n_shingles 0 and link with nothing;
-    equal texts are one group; rows that repeat an id must not occur (the id is a
-    key); other columns, whatever their names, are ignored; an empty table gives
-    an empty result."""
+    equal texts are one group. Of rows that repeat an id the one with the least text
+    counts, rows without an id are left out; other columns, whatever their names, are
+    ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     signed = scratch.save(base.mapInArrow(lambda it: _sign(it, width), "id long, n long, digest binary, bands array<long>, sig binary"), "signed")
     reps = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     members = scratch.save(signed.join(reps.select("id"), "id", "left_semi").select("id", "n", "bands", "sig"), "reps")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, grouped, keep_ids, parallelism
+from echosieve.llm.common import Scratch, grouped, keep_ids, one_row_per_id, parallelism
 
 GRAM, SHARD_BYTES, PART, QUARTERS, SALTS = 128, 1_000_000, 4096, 4, 64
 
@@ -402,12 +402,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes; text is kept without the halves of characters a cut may leave.
 
     Texts are UTF-8 bytes; null and empty ones have none and lose none. Equal texts
-    of `length` bytes or more are removed whole, in every row. The id is a key; other
-    columns are ignored; an empty table gives empty results. length must be at least
+    of `length` bytes or more are removed whole, in every row. Of rows that repeat an id the
+    one with the least text counts, rows without an id are left out; other columns are
+    ignored; an empty table gives empty results. length must be at least
     twice `gram`, a power of two."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     scanned = base.mapInArrow(_scan(length, gram), "id long, n_bytes long, sha string, inner binary, fp array<long>, ctx array<long>, at array<long>, many array<byte>")
     scanned = scratch.save(scanned, "scanned")
     seen = scanned.select("id", F.explode(F.arrays_zip("fp", "ctx", "at", "many")).alias("x")).select("id", "x.fp", "x.ctx", "x.at", "x.many")

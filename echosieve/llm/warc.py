@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, iter_groups
+from echosieve.llm.common import Scratch, iter_groups, one_row_per_id
 
 RECORDS_PER_FILE, CHUNK = 1000, 1 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -195,13 +195,18 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Payloads are html in UTF-8 (null: empty). Of equal payloads of at least `least`
     bytes the largest id is the response, the others revisit it; smaller ones are all
     responses. A response's size and digest come from the payload that was read; a
-    revisit's from the response it refers to. The id is a key; other columns are ignored."""
+    revisit's from the response it refers to. Of rows that repeat an id the one with the
+    least url and html counts, rows without an id are left out; other columns are ignored.
+    A record that was written and isn't on its archive's chain is an error."""
     spark = pages.sparkSession
     scratch = Scratch(spark, label)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = one_row_per_id(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")))
     path = scratch.path("archives")
     write_archives(record_types(rows, least), path)
     records = scratch.save(read_archives(spark, path, scratch), "records")
+    written, reached = rows.count(), records.count()
+    if written != reached:
+        raise RuntimeError(f"{written} records were written, but {reached} are on the archives' chains")
     responses = records.where("type = 'response'").select(F.col("page").alias("keeper"), F.col("size").alias("keeper_size"), F.col("body_digest").alias("keeper_digest"))
     wanted = records.where("type = 'revisit'").select("page", F.col("refers_to").alias("keeper"))
     # a response many pages revisit is one row; the join's many rows are the revisits

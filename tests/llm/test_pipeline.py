@@ -21,3 +21,24 @@ def test_stages_take_effect_and_keep_columns(spark):
     bad = sum(v == 0 for v in labels.values())
     left = {r["doc_id"] for r in docs.collect()}
     assert sum(labels[i] == 0 for i in labels if i in left) < 0.25 * bad
+
+
+def test_stages_on_edge_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing columns, no n_chars, and empty tables."""
+    d = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").limit(60)
+    own = " ".join(f"nothing{k} repeats{k}" for k in range(40))
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, own), (10**6 + 2, own), (None, None), (None, own[::-1])], "doc_id long, text string")
+    docs = plain.union(odd).selectExpr("doc_id", "text", "'c' AS cut", "1 AS id", "'l' AS label", "x'00' AS digest", "2.5 AS score", "0 AS kept")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for table in (docs, docs.where("false")):
+            got = stage(spark, table, d)
+            rows = got.collect()
+            if k < 4:
+                assert got.columns == docs.columns and got.schema == docs.schema or [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+                assert all((r["cut"], r["id"], r["kept"]) == ("c", 1, 0) for r in rows)
+            if table is docs and k > 0:
+                ids = [r["doc_id"] for r in rows]
+                assert ids.count(10**6) == ids.count(10**6 + 1) == 1 and ids.count(10**6 + 2) == 2 and ids.count(None) == 2, name
+            if table is not docs:
+                assert rows == []
