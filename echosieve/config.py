@@ -100,6 +100,11 @@ WEB = Settings()
 CLI = Settings(dialect="cli", scaffold="off", paragraph_radius=6, min_match_score=0.24)
 
 
+def scaffold_name(policy: str) -> str:
+    """The name of a policy; that of none is off."""
+    return {v: k for k, v in SCAFFOLDS.items()}.get(policy, "off")
+
+
 def parse_profiles(text: str) -> list[str]:
     """Names of a comma list; an unknown one is an error."""
     names = [x.strip() for x in text.split(",") if x.strip()]

@@ -1,7 +1,4 @@
-"""The cli dialect's tokenizer: Penn Treebank word splitting, then normalised tokens.
-
-The splitting rules are the published ones: punctuation and brackets stand alone, a
-final period too, and contractions come apart (do n't, we 'll, can not)."""
+"""The cli dialect's tokenizer: Penn Treebank word splitting, then normalised tokens."""
 
 from __future__ import annotations
 
@@ -12,20 +9,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_CLITICS = re.compile(r"(?i)([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(?= |$)")
-_JOINED = re.compile(r"(?i)\b(can)(not)\b|\b(d)('ye)\b|\b(gim|lem)(me)\b|\b(gon|wan)(na)\b|\b(got)(ta)\b|\b(more)('n)\b|(?<= )('t)(is|was)\b")
-_ALONE = re.compile(r"([^\w\s.'\-]|--|\.\.\.|[\[\](){}<>])")
+from echosieve.config import CLI_STOPWORDS
+
+# The published Treebank rules, in their order. Quotes that open, then
+# punctuation, brackets and dashes; after blanks are put around the text, quotes that
+# close with the clitics, and the contractions.
+_OPENING = ((r'^"', "`` "), (r'([ (\[{<])("|\'{2})', r"\1 `` "))
+_MARKS = (
+    (r"([:,])([^\d])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"\.\.\.", " ... "),
+    (r"[;@#$%&]", r" \g<0> "),
+    (r"([^.])(\.)([\])}>\"']*)\s*$", r"\1 \2\3 "),
+    (r"[?!]", r" \g<0> "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"[\]\[(){}<>]", r" \g<0> "),
+    (r"--", " -- "),
+)
+_CLOSING = (
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    (r"(?i)\b(can)(not)\b", r" \1 \2 "),
+    (r"(?i)\b(d)('ye)\b", r" \1 \2 "),
+    (r"(?i)\b(gim|lem)(me)\b", r" \1 \2 "),
+    (r"(?i)\b(gon)(na)\b", r" \1 \2 "),
+    (r"(?i)\b(got)(ta)\b", r" \1 \2 "),
+    (r"(?i)\b(more)('n)\b", r" \1 \2 "),
+    (r"(?i)\b(wan)(na)\s", r" \1 \2 "),
+    (r"(?i) ('t)(is|was)\b", r" \1 \2 "),
+)
 
 
 def treebank_words(text: str) -> list[str]:
-    t = re.sub(r'"', " '' ", " " + text + " ")
-    t = _ALONE.sub(r" \1 ", t)
-    t = re.sub(r"([^.])(\.)([\]\)}>\"']*)\s*$", r"\1 \2\3 ", t)
-    t = re.sub(r"([^'])' ", r"\1 ' ", t)
-    t = re.sub(r"\s+", " ", t)
-    t = _CLITICS.sub(r"\1 \2", t)
-    t = _JOINED.sub(lambda m: " " + " ".join(g for g in m.groups() if g) + " ", t)
-    return t.split()
+    for pattern, to in _OPENING + _MARKS:
+        text = re.sub(pattern, to, text)
+    text = " " + text + " "
+    for pattern, to in _CLOSING:
+        text = re.sub(pattern, to, text)
+    return text.split()
 
 
 def cli_words(text: str, excluded=()) -> list[str]:
@@ -44,3 +67,13 @@ def _cli_tokens(text: pd.Series, excluded: pd.Series) -> pd.Series:
 
 def cli_tokenizer(text: Column, excluded: Column) -> Column:
     return _cli_tokens(text, excluded)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _cli_names(phrases: pd.Series) -> pd.Series:
+    return pd.Series([list(dict.fromkeys(w for p in (x if x is not None else ()) for w in cli_words(p, CLI_STOPWORDS))) for x in phrases])
+
+
+def cli_names(phrases: Column) -> Column:
+    """Distinct words of an array of phrases, without stopwords."""
+    return _cli_names(phrases)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from echosieve.config import CLI_STOPWORDS, WEB_STOPWORDS
+from echosieve.config import WEB_STOPWORDS
 
+# The classes and patterns that the results depend on.
 WS = r"[ \t\n\r\f\x0B]"
 EDGE = r"[ \t\n\r\f\x0B\"'“”‘’*_(){}\[\]<>-]"
 LABEL = r"[A-Za-z][A-Za-z0-9 _.'’-]{0,48}"
@@ -53,12 +54,9 @@ def names_in(x, stopwords) -> Column:
     return F.array_except(F.array_distinct(every), F.array(*[F.lit(w) for w in stopwords]))
 
 
-def speaker_tokens(x, dialect: str = "web") -> Column:
-    """Words of the labels that begin lines and are followed by text. In the web dialect
-    the text must be on the label's line; in the other it may follow on a later one."""
-    after = r"[ \t\f\x0B]+[^ \t\n\r\f\x0B]" if dialect == "web" else WS
-    found = F.regexp_extract_all(col(x), F.lit(rf"(?:\A|\n)[ \t\r\f\x0B]*({LABEL}):{after}"), 1)
-    return names_in(found, WEB_STOPWORDS if dialect == "web" else CLI_STOPWORDS)
+def speaker_tokens(x) -> Column:
+    """Words of the labels that begin lines and are followed by text."""
+    return names_in(speaker_phrases(x), WEB_STOPWORDS)
 
 
 def character_tokens(x) -> Column:
@@ -67,6 +65,40 @@ def character_tokens(x) -> Column:
     return names_in(found, WEB_STOPWORDS)
 
 
+def character_phrases(x) -> Column:
+    """The phrases of characters: in the frontmatter, an inline value or list, or the lines
+    that follow up to a blank one or the next key; what stands in brackets is left out."""
+    parts = lambda v: F.transform(F.split(v, ","), lambda p: F.regexp_replace(strip(p), r"^[\"']+|[\"']+$", ""))
+    none = F.array().cast("array<string>")
+    state = lambda inside, done, out: F.struct(inside.alias("inside"), done.alias("done"), out.alias("out"))
+    yes, no = F.lit(True), F.lit(False)
+
+    def step(s, raw):
+        line = strip(raw)
+        value = strip(F.substring(line, F.lit(len("characters:") + 1), F.length(line)))
+        listed = value.startswith("[") & value.endswith("]")
+        bare = F.when(line.startswith("-"), strip(F.substring(line, F.lit(2), F.length(line)))).otherwise(line)
+        item = F.regexp_replace(strip(F.substring_index(bare, "(", 1)), ",+$", "")
+        key = line.rlike(rf"^[A-Za-z0-9_-]+:{WS}*") & ~line.startswith("-")
+        return (
+            F.when(s["done"], s)
+            .when(line == "", state(s["inside"], s["inside"], s["out"]))
+            .when(line.startswith("characters:"), F.when(listed, state(yes, yes, F.concat(s["out"], parts(F.substring(value, F.lit(2), F.length(value) - 2))))).when(value != "", state(yes, no, F.concat(s["out"], parts(value)))).otherwise(state(yes, no, s["out"])))
+            .when(s["inside"] & key, state(s["inside"], yes, s["out"]))
+            .when(s["inside"], state(s["inside"], no, F.concat(s["out"], F.array(item))))
+            .otherwise(s)
+        )
+
+    return F.aggregate(F.split(frontmatter(x), r"\r\n|[\r\n]"), state(no, no, none), step, lambda s: s["out"])
+
+
+def speaker_phrases(x, dialect: str = "web") -> Column:
+    """The labels that begin lines and are followed by text. In the web dialect the text
+    must be on the label's line; in the other a blank is enough."""
+    after = r"[ \t\f\x0B]+[^ \t\n\r\f\x0B]" if dialect == "web" else r"[ \t\f\x0B]"
+    return F.regexp_extract_all(col(x), F.lit(rf"(?:\A|\n)[ \t\r\f\x0B]*({LABEL}):{after}"), 1)
+
+
 def starts_capitalized(x) -> Column:
     return F.regexp_extract(col(x), "[A-Za-z]", 0).rlike("^[A-Z]$")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echosieve.functions import text as T
@@ -75,6 +76,12 @@ def pattern_flags(frags: DataFrame, dialect: str = "web") -> DataFrame:
 CLI_BONUS = (0.6, 0.5, 0.0, 0.4, 0.3)
 
 
+def top_flags(flags: DataFrame, top: int = 20) -> DataFrame:
+    """The flags of the highest score in every document, with place from 1."""
+    order = W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 6)), "idx")
+    return flags.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def reason_counts(flags: DataFrame) -> DataFrame:
     return flags.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from echosieve.functions import text as T
 
@@ -53,6 +57,54 @@ def removal_spans(rows: DataFrame) -> DataFrame:
     return rows.drop("_l", "_r", "_gone", "_gl", "_gr", "_la", "_rb")
 
 
+def searched(rows: DataFrame) -> DataFrame:
+    """rows(text, fragment, …) with source_start and source_end at the fragment's first place
+    in the text; rows whose fragment isn't there as it stands are left out."""
+    rows = rows.withColumn("source_start", F.expr("locate(fragment, text) - 1")).where("source_start >= 0")
+    return rows.withColumn("source_end", F.col("source_start") + F.length("fragment"))
+
+
+def widened(text: str, start: int, end: int) -> tuple[int, int]:
+    """removal_spans for one span of a Python text."""
+    left, right = len(text[:start].rstrip(BLANKS)), len(text) - len(text[end:].lstrip(BLANKS))
+    before, after = text[left - 1 : left] if left else "", text[right : right + 1]
+    eat = before != "" and before in T.SEPARATORS
+    if eat and before == ":" and re.fullmatch(T.LABEL, text[: left - 1].rpartition("\n")[2].strip(" \t\n\r\f\v")):
+        eat = False
+    left, right = left - eat, right + (not eat and after != "" and after in T.SEPARATORS)
+    for chars in (BLANKS, T.QUOTES):
+        left, right = len(text[:left].rstrip(chars)), len(text) - len(text[right:].lstrip(chars))
+    gone = text[left:right]
+    if sum(c in DOUBLE for c in gone) == 1:
+        if left < start and gone[0] in DOUBLE:
+            left = min(len(text) - len(text[left + 1 :].lstrip(BLANKS)), start)
+        elif right > end and gone[-1] in DOUBLE:
+            right = max(len(text[: right - 1].rstrip(BLANKS)), end)
+    return left, right
+
+
+@F.pandas_udf(StringType())
+def _cut_in_order(text: pd.Series, fragments: pd.Series) -> pd.Series:
+    def one(t: str, parts) -> str:
+        for fragment in parts if parts is not None else ():
+            at = t.find(fragment)
+            if at >= 0:
+                left, right = widened(t, at, at + len(fragment))
+                t = t[:left] + " @ " + t[right:]
+        return t
+
+    return pd.Series([one(t, p) for t, p in zip(text, fragments)])
+
+
+def apply_in_order(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text, rewritten): the fragments of rows(doc_id, para_index, idx, fragment) cut one
+    after another from the last to the first, each at its first place in the text as it is then."""
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("para_index")).alias("p"), (-F.col("idx")).alias("i"), "fragment"))).alias("parts"))
+    out = docs.select("doc_id", "text").where("text is not null").join(parts, "doc_id", "left")
+    cut = F.when(F.col("parts").isNull(), F.col("text")).otherwise(_cut_in_order("text", F.transform("parts", lambda x: x["fragment"])))
+    return out.withColumn("cut", cut).select("doc_id", "text", T.cleanup(T.edit_markers("cut")).alias("rewritten"))
+
+
 def severity(rows: DataFrame, score: str = "score") -> DataFrame:
     """Adds severity: score from 0.22 to 1 within (doc_id, method); equal scores are 1."""
     w = W.partitionBy("doc_id", "method")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echosieve.config import Settings
 from echosieve.functions import text as T
+from echosieve.functions.cli_tokens import cli_names
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -45,9 +46,13 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", number.alias("para_index"), "section", "start_line", "end_line", joined("stripped").alias("text"), T.strip(joined("raw")).alias("source"), "source_start")
 
 
-def excluded_tokens(docs: DataFrame) -> DataFrame:
+def excluded_tokens(docs: DataFrame, dialect: str = "web") -> DataFrame:
     """(doc_id, excluded): names from the frontmatter and from speaker labels of the whole text."""
-    return docs.select("doc_id", F.coalesce(F.array_union(T.character_tokens("text"), T.speaker_tokens("text")), F.array().cast("array<string>")).alias("excluded"))
+    if dialect == "cli":
+        names = cli_names(F.concat(T.character_phrases("text"), F.transform(T.speaker_phrases("text", "cli"), lambda p: F.regexp_replace(p, "[\"']", ""))))
+    else:
+        names = F.array_union(T.character_tokens("text"), T.speaker_tokens("text"))
+    return docs.select("doc_id", F.coalesce(names, F.array().cast("array<string>")).alias("excluded"))
 
 
 def split_source(parts: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def fragments(docs: DataFrame, settings: Settings = Settings(), tokens=None) ->
     rows = rows.withColumn("text", T.clean_fragment("piece")).where("text <> ''")
     rows = rows.where(~(F.col("text").rlike(rf"\A{T.LABEL}\z") & F.coalesce(F.col("next_char") == ":", F.lit(False))))
     rows = rows.withColumns({"source_end": F.col("start") + F.length("piece") - trail, "source_start": F.col("start") + lead})
-    rows = rows.join(excluded_tokens(docs), "doc_id").withColumn("tokens", tokens(F.col("text"), F.col("excluded")))
+    rows = rows.join(excluded_tokens(docs, settings.dialect), "doc_id").withColumn("tokens", tokens(F.col("text"), F.col("excluded")))
     rows = rows.where(F.size("tokens") >= settings.min_tokens)
     idx = F.row_number().over(W.partitionBy("doc_id").orderBy("para_index", "pos")) - 1
     return rows.select("doc_id", idx.alias("idx"), "para_index", "section", "start_line", "text", "source_start", "source_end", T.starts_capitalized("text").alias("starts_capitalized"), "tokens")

@@ -37,6 +37,22 @@ def score_rows(frags: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("badness", F.round(badness, PLACES)).withColumn("hint", hint).drop("seen", "first", "first_capital")
 
 
+def top_matches(found: DataFrame, top: int = 5) -> DataFrame:
+    """The best matches of every fragment, with place from 1."""
+    order = W.partitionBy("doc_id", "idx").orderBy(F.desc("weighted"), "distance", "other")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def top_hotspots(rows: DataFrame, top: int = 40, dialect: str = "web") -> DataFrame:
+    """The worst hotspots of every document, with place from 1."""
+    order = W.partitionBy("doc_id").orderBy(*[F.desc(k) for k in order_keys(dialect)])
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def order_keys(dialect: str) -> tuple[str, ...]:
+    return ("badness", "match_count", "idx") if dialect == "web" else ("badness", "match_count", "reusable_ratio", "para_index", "idx")
+
+
 def hotspots(frags: DataFrame, settings: Settings = Settings(), expansion_rounds: int | None = None) -> DataFrame:
     """Hotspot rows. The frontier is followed to its end; expansion_rounds=0 matches within
     the base radius only, one plan of joins."""
@@ -49,8 +65,7 @@ def selected_rows(rows: DataFrame, frags: DataFrame, profile: Profile | str = "m
     profile = PROFILES[profile] if isinstance(profile, str) else profile
     counts = frags.groupBy("doc_id").agg(F.count("*").alias("n_frags"))
     most = F.greatest(F.lit(1), F.floor(F.col("n_frags") * F.lit(profile.max_remove_ratio)).cast("int"))
-    keys = ("badness", "match_count", "idx") if dialect == "web" else ("badness", "match_count", "reusable_ratio", "para_index", "idx")
-    order = W.partitionBy("doc_id").orderBy(*[F.desc(k) for k in keys])
+    order = W.partitionBy("doc_id").orderBy(*[F.desc(k) for k in order_keys(dialect)])
     ranked = rows.join(counts, "doc_id").withColumn("most", most).withColumn("rank", F.row_number().over(order))
     cutoff = F.coalesce(F.max(F.when(F.col("rank") == F.col("most"), F.col("badness"))).over(W.partitionBy("doc_id")), F.lit(0.0))
     ranked = ranked.withColumn("cutoff", cutoff)

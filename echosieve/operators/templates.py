@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LENGTHS, LEAST, OVERLAP, MOST, SOFT = range(5, 10), 4, 0.72, 40, 0.84
+#: Ranks whose clashes are looked at together.
+BATCH = 64
 
 
 def masks() -> list[tuple[int, int]]:
@@ -67,9 +69,14 @@ def ranked_templates(counts: DataFrame, scope: list[str]) -> DataFrame:
     n = F.size("template")
     score = F.col("count") * (1 + F.least(F.col("slot_variety"), F.lit(24)) / 8) * (1 + F.col("slots") / 3) * ((n - F.col("slots")) / n) * (1 + F.least(F.col("sections"), F.lit(4)) / 8)
     rows = counts.where(F.col("slot_variety") > F.col("slots")).withColumn("text", F.array_join("template", " ")).withColumn("score", F.round(score, 6))
-    order = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))
-    rank = F.row_number().over(order.orderBy(F.desc("score"), F.desc("count"), F.desc("slot_variety"), F.desc(F.size("template")), "text"))
-    return rows.withColumn("rank", rank)
+    ties = [F.desc("count"), F.desc("slot_variety"), F.desc(F.size("template")), F.asc("text")]
+    if scope:
+        return rows.withColumn("rank", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("score"), *ties)))
+    # over a whole corpus only the distinct scores meet in one task
+    above = F.coalesce(F.sum("same").over(W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    scores = rows.groupBy("score").agg(F.count("*").alias("same")).select("score", above.alias("above"))
+    place = F.row_number().over(W.partitionBy("score").orderBy(*ties))
+    return rows.join(scores, "score").withColumn("rank", (F.col("above") + place).cast("int")).drop("above")
 
 
 def _greedy(rows) -> list:
@@ -84,32 +91,73 @@ def _greedy(rows) -> list:
     return [r for r, _ in kept]
 
 
+def _clashes(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b): templates of x(rank, place) whose footprints share OVERLAP of the smaller one
+    with those of y."""
+    size = lambda df, name: df.groupBy(F.col("rank").alias(name)).agg(F.count("*").alias(f"n_{name}"))
+    both = x.select(F.col("rank").alias("a"), "place").join(y.select(F.col("rank").alias("b"), "place"), "place").where("a <> b")
+    both = both.groupBy("a", "b").agg(F.count("*").alias("shared")).join(size(x, "a"), "a").join(size(y, "b"), "b")
+    return both.where(F.col("shared") / F.least("n_a", "n_b") >= OVERLAP).select("a", "b")
+
+
+def _greedy_joins(prints: DataFrame, batch: int = BATCH) -> list[int]:
+    """_greedy over prints(rank, place) of one scope of any size. Of the next `batch` ranks that
+    clash with no kept one, only the clashing pairs meet on the driver; footprints never do."""
+    kept: list[int] = []
+    rest = prints
+    while len(kept) < MOST:
+        ranks = sorted(r["rank"] for r in rest.select("rank").distinct().orderBy("rank").limit(batch).collect())
+        if not ranks:
+            break
+        part = rest.where(F.col("rank").isin(ranks))
+        pairs = {(r["a"], r["b"]) for r in _clashes(part, part).where("a < b").collect()}
+        new: list[int] = []
+        for r in ranks:
+            if len(kept) + len(new) < MOST and not any((k, r) in pairs for k in new):
+                new.append(r)
+        kept += new
+        rest = rest.where(F.col("rank") > ranks[-1])
+        gone = _clashes(prints.where(F.col("rank").isin(new)), rest).select(F.col("b").alias("rank")).distinct()
+        rest = rest.join(gone, "rank", "left_anti")
+    return kept
+
+
 def dedup_templates(ranked: DataFrame, occ: DataFrame, scope: list[str]) -> DataFrame:
     """The ranked templates that survive, at most MOST a scope, with model_rank from 1.
-    With no scope the rows come in order of rank and the walk ends at the last one kept."""
+    Documents are walked on their own; larger scopes by joins on the places they cover."""
     key = [*scope, "template"]
     places = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.xxhash64("doc_id", "idx", F.col("start") + k))
-    prints = occ.join(ranked.select(*key, "rank"), key).groupBy(*scope, "rank").agg(F.array_distinct(F.flatten(F.collect_list(places))).alias("footprint"))
-    if scope:
-        fields = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in scope)
+    covered = occ.join(ranked.select(*key, "rank"), key)
+    spark = ranked.sparkSession
+    if scope == ["doc_id"]:
+        prints = covered.groupBy(*scope, "rank").agg(F.array_distinct(F.flatten(F.collect_list(places))).alias("footprint"))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("rank")
             kept = _greedy(zip(pdf["rank"], pdf["footprint"]))
-            return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(kept) for c in scope}, "rank": kept})
+            return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(kept), "rank": kept})
 
-        kept = prints.groupBy(*scope).applyInPandas(run, f"{fields}, rank int")
+        kept = prints.groupBy(*scope).applyInPandas(run, f"doc_id {ranked.schema['doc_id'].dataType.simpleString()}, rank int")
     else:
-        ranks = _greedy((r["rank"], r["footprint"]) for r in prints.orderBy("rank").toLocalIterator())
-        kept = ranked.sparkSession.createDataFrame([(r,) for r in ranks], "rank int")
-    out = ranked.join(F.broadcast(kept) if not scope else kept, [*scope, "rank"])
-    order = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))
+        prints = covered.select(*scope, "rank", F.explode(places).alias("place")).distinct()
+        values = [tuple(r) for r in ranked.select(*scope).distinct().collect()] if scope else [()]
+        rows = []
+        for v in values:
+            own = prints
+            for c, x in zip(scope, v):
+                own = own.where(F.col(c) == F.lit(x))
+            rows += [(*v, r) for r in _greedy_joins(own.select("rank", "place"))]
+        fields = "".join(f"{c} {ranked.schema[c].dataType.simpleString()}, " for c in scope)
+        kept = F.broadcast(spark.createDataFrame(rows, fields + "rank int"))  # MOST rows a scope
+    out = ranked.join(kept, [*scope, "rank"])
+    order = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))  # MOST rows
     # cascades go by count, ties by rank
     return out.withColumn("model_rank", F.row_number().over(order.orderBy(F.desc("count"), "rank")))
 
 
 def hot_tokens(counts: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope…, token, n): fixed occurrences over templates, those of two or more."""
+    """(scope…, token, n): fixed occurrences, those of two or more, over the templates counted
+    twice or more (counts of least=2)."""
     fixed = counts.select(*scope, F.explode(F.filter("template", lambda t: t != "_")).alias("token"))
     return fixed.groupBy(*scope, "token").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
 
@@ -133,13 +181,19 @@ def soft_text(probs: DataFrame, scope: list[str]) -> DataFrame:
     return rows.select(*scope, "model_rank", F.array_join(F.transform("cells", lambda c: c["cell"]), " ").alias("soft_text"))
 
 
+def top_tokens(probs: DataFrame, scope: list[str], top: int = 5) -> DataFrame:
+    """The most frequent tokens of every position, ties by token, with place from 1."""
+    order = W.partitionBy(*scope, "model_rank", "pos").orderBy(F.desc("n"), "token")
+    return probs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def pattern_candidates(frags: DataFrame, probs: DataFrame, scope: list[str], min_score: float = 0.52) -> DataFrame:
     """(doc_id, model_rank, idx, para_index, start, score, matched, peak): the best window
     of every fragment for every model. A window is scored by the model cells its tokens
     meet, an equi-join on the token, so windows that meet nothing cost nothing."""
     words = frags.select("doc_id", "idx", "para_index", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("at", "token"))
     cells = probs.select(*scope, "model_rank", "length", "pos", "token", "prob")
-    hits = words.join(cells if scope else F.broadcast(cells), [*scope, "token"]).withColumn("start", F.col("at") - F.col("pos"))
+    hits = words.join(cells, [*scope, "token"]).withColumn("start", F.col("at") - F.col("pos"))
     hits = hits.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_tokens")))
     wins = hits.groupBy("doc_id", "model_rank", "idx", "para_index", "start", "length").agg(F.round(F.sum("prob") / F.col("length"), 9).alias("score"), F.count("*").alias("matched"), F.max("prob").alias("peak"))
     wins = wins.where((F.col("matched") >= F.greatest(F.lit(3), F.floor(F.col("length") * 0.68))) & (F.col("score") >= min_score))
@@ -147,6 +201,12 @@ def pattern_candidates(frags: DataFrame, probs: DataFrame, scope: list[str], min
     return wins.withColumn("best", best).where("best = 1").drop("best", "length")
 
 
+def top_candidates(cands: DataFrame, top: int = 20) -> DataFrame:
+    """The best candidates of every document, with place from 1."""
+    order = W.partitionBy("doc_id").orderBy(F.desc("score"), "idx")
+    return cands.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def select_candidates(cands: DataFrame, policy: str) -> DataFrame:
     """The candidates a policy removes. keep-N leaves the N best of a paragraph;
     threshold-dedup leaves the best of those over max(.58, the score at .72 of the order)."""

@@ -35,6 +35,12 @@ def talks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def chats(spark: SparkSession, d: str, many: int = 50) -> DataFrame:
+    """So many conversations in a row as one paragraph, a line per turn."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.expr(f"conv_id div {many}").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t")))).alias("t"))
+    return rows.select("doc_id", F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("text"))
+
+
 def books(spark: SparkSession, d: str) -> DataFrame:
     """Eight conversations in a row as one document, long enough for distances to count."""
     turn = F.concat(F.lit("# "), F.col("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
@@ -128,14 +134,14 @@ def ngram_counts(s, d):
     return D.ngram_counts(fragments(documents(s, d)))
 
 
-@add("phrase_counts_topk", O.query(O.DOCS, O.FRAGMENTS, f"SELECT phrase, count(*) AS n FROM (SELECT unnest({O.PHRASES}) AS phrase FROM fragments) GROUP BY phrase HAVING count(*) >= 4 ORDER BY n DESC, phrase LIMIT 40"))
+@add("phrase_counts_topk", O.query(O.TALKS, O.HOT, f"SELECT phrase, count(*) AS n FROM (SELECT unnest({O.PHRASES}) AS phrase FROM hot) GROUP BY phrase HAVING count(*) >= 4 ORDER BY n DESC, phrase LIMIT 40"))
 def phrase_counts_topk(s, d):
-    return D.repeated_phrases(fragments(documents(s, d)))
+    return D.repeated_phrases(H.hotspots(_kept(fragments(talks(s, d)))))
 
 
-@add("phrase_counts_cli", O.query(O.DOCS, O.FRAGMENTS, f"SELECT * FROM (SELECT phrase, count(*) AS n FROM (SELECT unnest(list_distinct({O.PHRASES})) AS phrase FROM fragments) GROUP BY phrase ORDER BY n DESC, phrase LIMIT 30) WHERE n >= 4"))
+@add("phrase_counts_cli", O.query(O.TALKS, O.HOT, f"SELECT * FROM (SELECT phrase, count(*) AS n FROM (SELECT unnest(list_distinct({O.PHRASES})) AS phrase FROM hot) GROUP BY phrase ORDER BY n DESC, phrase LIMIT 30) WHERE n >= 4"))
 def phrase_counts_cli(s, d):
-    return D.repeated_phrases(fragments(documents(s, d)), "cli")
+    return D.repeated_phrases(H.hotspots(_kept(fragments(talks(s, d)))), "cli")
 
 
 _FLAG = "SELECT doc_id, {i}, array_to_string(signatures, '|') AS signatures, array_to_string(reasons, '|') AS reasons, round(dominant_share, 9) AS dominant_share, round(unique_ratio, 9) AS unique_ratio, round(repeat_density, 9) AS repeat_density, round(score, 6) AS score FROM flags".format(i=_ints("idx", "repeated_windows", "repeated_mass"))
@@ -234,8 +240,8 @@ def wildcard_masks(s, d):
     return P.wildcard_masks(s)
 
 
-def _counts(s, d):
-    frags = _kept(fragments(talks(s, d)))
+def _counts(s, d, docs=talks):
+    frags = _kept(fragments(docs(s, d)))
     occ = _kept(P.occurrences(frags, []))
     return frags, occ, P.template_counts(occ, [])
 
@@ -250,15 +256,17 @@ def template_ranked(s, d):
     return _long(P.ranked_templates(_counts(s, d)[2], []), "rank", "count", "slot_variety").select("text", "rank", "count", "slot_variety", "score")
 
 
-@add("hot_tokens", O.query(O.TALKS, O.TEMPLATES, "SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(template, lambda t: t <> '_')) AS token FROM templates) GROUP BY token HAVING count(*) >= 2"))
+@add("hot_tokens", O.query(O.TALKS, O.TEMPLATES, "SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(template, lambda t: t <> '_')) AS token FROM (SELECT template FROM solid GROUP BY template HAVING count(*) >= 2)) GROUP BY token HAVING count(*) >= 2"))
 def hot_tokens(s, d):
-    return P.hot_tokens(_counts(s, d)[2], [])
+    occ = _kept(P.occurrences(_kept(fragments(talks(s, d))), [], 2))
+    counts = occ.groupBy("template").agg(F.count("*").alias("count")).where("count >= 2")
+    return P.hot_tokens(counts, [])
 
 
-@add("templates_dedup")
+@add("templates_dedup", O.query(O.TALKS, O.CHOSEN, f"SELECT {_ints('model_rank', 'rank', 'count')}, text, score FROM chosen"))
 def templates_dedup(s, d):
     _, occ, counts = _counts(s, d)
-    return P.dedup_templates(P.ranked_templates(counts, []), occ, []).select("model_rank", "rank", "count", "text", "score")
+    return _long(P.dedup_templates(_kept(P.ranked_templates(counts, [])), occ, []), "model_rank", "rank", "count").select("model_rank", "rank", "count", "text", "score")
 
 
 @add("template_counts_by_document")
@@ -267,11 +275,10 @@ def template_counts_by_document(s, d):
     return P.template_counts(P.occurrences(fragments(documents(s, d)), scope), scope)
 
 
-def _models(s, d):
-    """Probabilities of the five leading templates, without the greedy step."""
-    frags, occ, counts = _counts(s, d)
-    lead = P.ranked_templates(counts, []).where("rank <= 5").withColumn("model_rank", F.col("rank"))
-    return frags, P.model_probabilities(lead, occ, [])
+def _models(s, d, docs=talks):
+    """Probabilities of the templates that are chosen."""
+    frags, occ, counts = _counts(s, d, docs)
+    return frags, _kept(P.model_probabilities(P.dedup_templates(_kept(P.ranked_templates(counts, [])), occ, []), occ, []))
 
 
 @add("pattern_model_probs", O.query(O.TALKS, O.MODELS, f"SELECT {_ints('model_rank', 'pos', 'n')}, token, round(prob, 9) AS prob FROM probs"))
@@ -293,14 +300,14 @@ def pattern_candidates(s, d):
 
 for _p in ("keep-1", "keep-2", "threshold-dedup"):
 
-    @add(f"policy_{_p.replace('-', '_')}", O.query(O.TALKS, O.policy(_p), _CAND + "picked"))
+    @add(f"policy_{_p.replace('-', '_')}", O.query(O.CHATS, O.policy(_p), _CAND + "picked"))
     def _policy(s, d, p=_p):
-        return _cands(P.select_candidates(P.pattern_candidates(*_models(s, d), []), p))
+        return _cands(P.select_candidates(P.pattern_candidates(*_models(s, d, chats), []), p))
 
 
-@add("cascade_selection", O.query(O.TALKS, O.policy("keep-1"), "SELECT doc_id, idx::BIGINT AS idx, min(model_rank)::BIGINT AS model_rank FROM picked GROUP BY doc_id, idx"))
+@add("cascade_selection", O.query(O.CHATS, O.policy("keep-1"), "SELECT doc_id, idx::BIGINT AS idx, min(model_rank)::BIGINT AS model_rank FROM picked GROUP BY doc_id, idx"))
 def cascade_selection(s, d):
-    rows = P.cascade(P.select_candidates(P.pattern_candidates(*_models(s, d), []), "keep-1"))
+    rows = P.cascade(P.select_candidates(P.pattern_candidates(*_models(s, d, chats), []), "keep-1"))
     return _long(rows, "idx", "model_rank").select("doc_id", "idx", "model_rank")
 
 
@@ -382,9 +389,85 @@ def batch_jobs(s, d):
     return sinks.batch_jobs(documents(s, d).withColumn("name", F.col("doc_id").cast("string"))).select("doc_id", "hash", "size", "status")
 
 
-@add("result_frontmatter")
+@add("top_matches", O.query(O.TALKS, O.matched(), f"SELECT * FROM (SELECT doc_id, {_ints('idx', 'other', 'distance')}, row_number() OVER (PARTITION BY doc_id, idx ORDER BY weighted DESC, distance, other) AS place FROM matches) WHERE place <= 5"))
+def top_matches(s, d):
+    rows = H.top_matches(H.frontier_matches(_kept(fragments(talks(s, d))), WEB))
+    return _long(rows, "idx", "other", "distance", "place").select("doc_id", "idx", "other", "distance", "place")
+
+
+@add("top_hotspots", O.query(O.TALKS, O.HOT, f"SELECT * FROM (SELECT doc_id, {_ints('idx', 'match_count')}, row_number() OVER (PARTITION BY doc_id ORDER BY badness DESC, match_count DESC, idx DESC) AS place FROM hot) WHERE place <= 40"))
+def top_hotspots(s, d):
+    rows = H.top_hotspots(H.hotspots(_kept(fragments(talks(s, d)))))
+    return _long(rows, "idx", "match_count", "place").select("doc_id", "idx", "match_count", "place")
+
+
+@add("top_flags", O.query(O.DOCS, O.FLAGS, f"SELECT * FROM (SELECT doc_id, {_ints('idx')}, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, idx) AS place FROM flags) WHERE place <= 20"))
+def top_flags(s, d):
+    return _long(D.top_flags(D.pattern_flags(fragments(documents(s, d))), 20), "idx", "place").select("doc_id", "idx", "place")
+
+
+@add("top_template_tokens", O.query(O.TALKS, O.MODELS, f"SELECT * FROM (SELECT {_ints('model_rank', 'pos', 'n')}, token, row_number() OVER (PARTITION BY model_rank, pos ORDER BY n DESC, token) AS place FROM probs) WHERE place <= 5"))
+def top_template_tokens(s, d):
+    return _long(P.top_tokens(_models(s, d)[1], []), "model_rank", "pos", "n", "place").select("model_rank", "pos", "n", "token", "place")
+
+
+@add(
+    "soft_templates",
+    O.query(
+        O.TALKS,
+        O.MODELS,
+        """SELECT model_rank::BIGINT AS model_rank, string_agg(cell, ' ' ORDER BY pos) AS soft_text FROM (
+SELECT model_rank, pos, CASE WHEN max(prob) >= 0.84e0 THEN arg_min(token, place) ELSE '{' || array_to_string(list(token ORDER BY place) FILTER (place <= 3), '/') || '}' END AS cell
+FROM (SELECT *, row_number() OVER (PARTITION BY model_rank, pos ORDER BY n DESC, token) AS place FROM probs) GROUP BY model_rank, pos) GROUP BY model_rank""",
+    ),
+)
+def soft_templates(s, d):
+    return _long(P.soft_text(_models(s, d)[1], []), "model_rank").select("model_rank", "soft_text")
+
+
+@add("bakeoff_candidates_topk", O.query(O.CHATS, O.CANDIDATES, f"SELECT doc_id, {_ints('idx', 'start', 'matched')}, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS place FROM cands WHERE model_rank = 1) WHERE place <= 20"))
+def bakeoff_candidates_topk(s, d):
+    frags, probs = _models(s, d, chats)
+    rows = P.top_candidates(P.pattern_candidates(frags, probs.where("model_rank = 1"), []))
+    return _long(rows, "idx", "start", "matched", "place").select("doc_id", "idx", "start", "matched", F.round("score", 6).alias("score"), "place")
+
+
+_THEN = "2020-01-01T00:00:00.000Z"
+
+
+@add(
+    "result_frontmatter",
+    O.query(
+        O.TALKS,
+        O.METRICS,
+        f"""SELECT doc_id, md5('---' || chr(10) || 'echosieve: {{"tool":"echosieve.v1","mode":"repetition removal","file":"' || doc_id || '","input_sha256":"' || sha256(text) || '","processed_at":"{_THEN}","local_pass":"med","scaffold_pass":"off","settings":"' || replace('{Settings(scaffold="off").to_json()}', '"', chr(92) || '"') || '","words":{{"original":' || original_words || ',"kept":' || kept_words || ',"stripped":' || stripped_words || '}},"removals":{{"local":' || local_removed || ',"scaffold":0,"total":' || removed_fragments || '}}}}' || chr(10) || '---' || chr(10) || chr(10) || rewritten) AS h FROM doc_metrics JOIN applied USING (doc_id)""",
+    ),
+)
 def result_frontmatter(s, d):
-    return sinks.with_frontmatter(analyze(_kept(talks(s, d)), table=_kept), talks(s, d), WEB)
+    settings = Settings(scaffold="off")
+    docs = _kept(talks(s, d))
+    return sinks.with_frontmatter(analyze(docs, settings, table=_kept), docs, settings, _THEN).select("doc_id", F.md5(F.col("output").cast("binary")).alias("h"))
+
+
+@add("job_updates", "SELECT doc_id::VARCHAR AS id, sha256(text) AS hash, CASE WHEN doc_id % 3 = 0 THEN 'complete' ELSE 'queued' END AS status, CASE WHEN doc_id % 3 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS progress FROM documents")
+def job_updates(s, d):
+    jobs = sinks.batch_jobs(documents(s, d).withColumn("name", F.col("doc_id").cast("string"))).withColumn("id", F.col("name"))
+    done = documents(s, d).where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("complete").alias("status"), F.lit(100.0).alias("progress"))
+    strangers = done.limit(1).withColumn("id", F.lit("none of them"))
+    return sinks.update_jobs(jobs, done.union(strangers)).select("id", "hash", "status", "progress")
+
+
+@add("cli_words_documents")
+def cli_words_documents(s, d):
+    from echosieve.functions.cli_tokens import cli_tokenizer
+
+    return documents(s, d).select("doc_id", F.size(cli_tokenizer(F.col("text"), F.array().cast("array<string>"))).cast("long").alias("n"))
+
+
+@add("refloors_by_profile")
+def refloors_by_profile(s, d):
+    frags = _kept(fragments(talks(s, d)))
+    return sinks.refloors(talks(s, d), frags, _kept(H.hotspots(frags)), ["low", "med", "high"]).drop("rewritten")
 
 
 @add("analyze_own_models")
@@ -392,9 +475,16 @@ def analyze_own_models(s, d):
     return analyze(_kept(talks(s, d)), table=_kept).metrics
 
 
-@add("batch_shared_models")
-def batch_shared_models(s, d):
-    return batch(_kept(talks(s, d)), table=_kept).metrics
+def _batched(s, d, scaffold):
+    done = batch(_kept(chats(s, d, 3)), Settings(scaffold=scaffold), table=_kept).metrics
+    return _long(done, *_MET).select("doc_id", *_MET, "kept_pct")
+
+
+for _p, _mode in (("threshold-dedup", "light"), ("keep-2", "medium"), ("keep-1", "hard")):
+
+    @add("batch_shared_models" if _mode == "light" else f"batch_shared_models_{_mode}", O.query(O.NOTES, O.batch(_p), f"SELECT doc_id, {_ints(*_MET)}, kept_pct FROM doc_metrics"))
+    def _batch(s, d, mode=_mode):
+        return _batched(s, d, mode)
 
 
 @add("batch_split_models")

@@ -11,6 +11,8 @@ NL = "chr(10)"
 DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 TALKS = f"docs AS (SELECT conv_id AS doc_id, string_agg('# ' || role || {NL} || {NL} || coalesce(text, ''), {NL} || {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
+NOTES = f"docs AS (SELECT (conv_id // 3)::BIGINT AS doc_id, string_agg(coalesce(text, ''), {NL} ORDER BY conv_id, turn) AS text FROM conversations GROUP BY ALL)"
+CHATS = f"docs AS (SELECT (conv_id // 50)::BIGINT AS doc_id, string_agg(coalesce(text, ''), {NL} ORDER BY conv_id, turn) AS text FROM conversations GROUP BY ALL)"
 BOOKS = f"docs AS (SELECT (conv_id // 8)::BIGINT AS doc_id, string_agg('# ' || role || {NL} || {NL} || coalesce(text, ''), {NL} || {NL} ORDER BY conv_id, turn) AS text FROM conversations GROUP BY ALL)"
 
 
@@ -188,8 +190,10 @@ def _ahead(at, chars):
 
 _BL, _QU, _DQ, _SE = "' ' || chr(9)", "'\"''“”‘’'", "'\"“”'", f"'{SEP}'"
 
-SPANS = rf"""{selection("med")},
-s0 AS (SELECT s.doc_id, s.idx, s.badness, s.source_start, s.source_end, d.text FROM selected s JOIN docs d ON d.doc_id = s.doc_id),
+LOCAL = f"""{selection("med")},
+taken AS (SELECT doc_id, idx, 'local' AS method, badness AS score, source_start, source_end FROM selected)"""
+
+_SPANS = rf"""s0 AS (SELECT s.doc_id, s.idx, s.method, s.score, s.source_start, s.source_end, d.text FROM taken s JOIN docs d ON d.doc_id = s.doc_id),
 s1 AS (SELECT *, {_back("source_start", _BL)} AS l, {_ahead("source_end", _BL)} AS r FROM s0),
 s2 AS (SELECT *, CASE WHEN l > 0 THEN substring(text, l, 1) ELSE '' END AS cl, substring(text, r + 1, 1) AS cr FROM s1),
 s3 AS (SELECT *, cl <> '' AND instr({_SE}, cl) > 0 AND NOT (cl = ':' AND regexp_matches({strip(r"regexp_extract(left(text, l - 1), '[^\n]*\z')")}, '\A{LABEL}\z')) AS hl, cr <> '' AND instr({_SE}, cr) > 0 AS hr FROM s2),
@@ -199,13 +203,15 @@ s6 AS (SELECT * EXCLUDE (l, r), {_back("l", _QU)} AS l, {_ahead("r", _QU)} AS r
 s7 AS (SELECT *, substring(text, l + 1, r - l) AS gone FROM s6),
 s8 AS (SELECT *, length(gone) - length(translate(gone, {_DQ}, '')) = 1 AS lone, length(gone) > 0 AND instr({_DQ}, left(gone, 1)) > 0 AND l < source_start AS ql, length(gone) > 0 AND instr({_DQ}, right(gone, 1)) > 0 AND r > source_end AS qr FROM s7),
 s9 AS (SELECT *, l + (lone AND ql)::INT AS l1, r - (lone AND NOT ql AND qr)::INT AS r1 FROM s8),
-spans AS (SELECT doc_id, idx, badness, CASE WHEN lone AND ql THEN least({_ahead("l1", _BL)}, source_start) ELSE l1 END AS "left", CASE WHEN lone AND NOT ql AND qr THEN greatest({_back("r1", _BL)}, source_end) ELSE r1 END AS "right" FROM s9)"""
+spans AS (SELECT doc_id, idx, method, score, CASE WHEN lone AND ql THEN least({_ahead("l1", _BL)}, source_start) ELSE l1 END AS "left", CASE WHEN lone AND NOT ql AND qr THEN greatest({_back("r1", _BL)}, source_end) ELSE r1 END AS "right" FROM s9)"""
+
+_MERGED = """graded AS (SELECT doc_id, idx, "left", "right", method, round(0.22e0 + 0.78e0 * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0e0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 9) AS severity FROM spans WINDOW w AS (PARTITION BY doc_id, method)),
+reached AS (SELECT *, max("right") OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER o AS place FROM graded WINDOW o AS (PARTITION BY doc_id ORDER BY "left", "right", method, severity DESC)),
+islands AS (SELECT *, sum((reach IS NULL OR "left" > reach)::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS island FROM reached),
+merged AS (SELECT doc_id, min("left") AS "left", max("right") AS "right", arg_max(method, severity * 1e6 - place * 1e-6) AS method, max(severity) AS severity FROM islands GROUP BY doc_id, island)"""
 
-MERGED = f"""{SPANS},
-graded AS (SELECT doc_id, idx, "left", "right", 'local' AS method, round(0.22e0 + 0.78e0 * CASE WHEN max(badness) OVER w = min(badness) OVER w THEN 1.0e0 ELSE (badness - min(badness) OVER w) / (max(badness) OVER w - min(badness) OVER w) END, 9) AS severity FROM spans WINDOW w AS (PARTITION BY doc_id)),
-reached AS (SELECT *, max("right") OVER (PARTITION BY doc_id ORDER BY "left", "right", severity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM graded),
-islands AS (SELECT *, sum((reach IS NULL OR "left" > reach)::INT) OVER (PARTITION BY doc_id ORDER BY "left", "right", severity DESC ROWS UNBOUNDED PRECEDING) AS island FROM reached),
-merged AS (SELECT doc_id, min("left") AS "left", max("right") AS "right", 'local' AS method, max(severity) AS severity FROM islands GROUP BY doc_id, island)"""
+SPANS = f"{LOCAL},\n{_SPANS}"
+MERGED = f"{SPANS},\n{_MERGED}"
 
 CLUSTER = r"@(?:[ \t,.;!?—–\"''“”‘’]*@)+"
 PUNCT = r"[,.;!?—–\"''“”‘’]+"
@@ -224,54 +230,95 @@ def cleanup(x):
     return sub(x, r"(#{1,6}[^\n]+)\n([^\n])", r"\1" + nl + nl + r"\2")
 
 
-APPLIED = f"""{MERGED},
-kept AS (SELECT doc_id, "left", substring(text, prev + 1, "left" - prev) AS piece FROM (SELECT m.doc_id, m."left", d.text, coalesce(lag(m."right") OVER (PARTITION BY m.doc_id ORDER BY m."left"), 0) AS prev FROM merged m JOIN docs d ON d.doc_id = m.doc_id)),
+_APPLIED = f"""kept AS (SELECT doc_id, "left", substring(text, prev + 1, "left" - prev) AS piece FROM (SELECT m.doc_id, m."left", d.text, coalesce(lag(m."right") OVER (PARTITION BY m.doc_id ORDER BY m."left"), 0) AS prev FROM merged m JOIN docs d ON d.doc_id = m.doc_id)),
 tails AS (SELECT doc_id, max("right") AS cut FROM merged GROUP BY doc_id),
 joined AS (SELECT doc_id, string_agg(piece, ' @ ' ORDER BY "left") AS body FROM kept GROUP BY doc_id),
 rough AS (SELECT d.doc_id, d.text, CASE WHEN t.cut IS NULL THEN d.text ELSE j.body || ' @ ' || substring(d.text, t.cut + 1) END AS cut_text FROM docs d LEFT JOIN tails t ON t.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id),
 applied AS (SELECT doc_id, text, {cleanup(markers("cut_text"))} AS rewritten FROM rough)"""
 
-METRICS = f"""{APPLIED},
-metrics AS (SELECT a.doc_id, {words("a.text")} AS original_words, {words("a.rewritten")} AS kept_words, coalesce(f.n, 0) AS fragments, coalesce(h.n, 0) AS near_matched, coalesce(m.n, 0) AS removed_fragments
-  FROM applied a LEFT JOIN (SELECT doc_id, count(*) AS n FROM fragments GROUP BY 1) f ON f.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM hot GROUP BY 1) h ON h.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM merged GROUP BY 1) m ON m.doc_id = a.doc_id),
-doc_metrics AS (SELECT *, removed_fragments AS local_removed, 0 AS scaffold_removed, greatest(0, original_words - kept_words) AS stripped_words, round(kept_words / greatest(1, original_words)::DOUBLE * 100, 6) AS kept_pct FROM metrics)"""
+APPLIED = f"{MERGED},\n{_APPLIED}"
+
+_METRICS = f"""metrics AS (SELECT a.doc_id, {words("a.text")} AS original_words, {words("a.rewritten")} AS kept_words, coalesce(f.n, 0) AS fragments, coalesce(h.n, 0) AS near_matched, coalesce(m.n, 0) AS removed_fragments, coalesce(m.near, 0) AS local_removed, coalesce(m.n - m.near, 0) AS scaffold_removed
+  FROM applied a LEFT JOIN (SELECT doc_id, count(*) AS n FROM fragments GROUP BY 1) f ON f.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM hot GROUP BY 1) h ON h.doc_id = a.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (method = 'local') AS near FROM merged GROUP BY 1) m ON m.doc_id = a.doc_id),
+doc_metrics AS (SELECT *, greatest(0, original_words - kept_words) AS stripped_words, round(kept_words / greatest(1, original_words)::DOUBLE * 100, 6) AS kept_pct FROM metrics)"""
+
+METRICS = f"{APPLIED},\n{_METRICS}"
 
 MASKS = """
 bits AS (SELECT len AS length, m AS mask, bit_count(m) AS k FROM (SELECT unnest(range(5, 10)) AS len), (SELECT unnest(range(2, 512, 2)) AS m) WHERE m < (1 << len)),
 masks AS (SELECT length::INT AS length, mask::INT AS mask FROM bits WHERE k <= least(3, greatest(1, length - 4)))"""
 
-TEMPLATES = f"""{FRAGMENTS}, {MASKS},
+_TEMPLATES = f"""{MASKS},
 starts AS (SELECT doc_id, idx, section, tokens, unnest(range(0, len(tokens) - 4)) AS start FROM fragments WHERE len(tokens) >= 5),
 windows AS (SELECT s.doc_id, s.idx, s.section, s.start, m.length, m.mask, list_slice(tokens, start + 1, start + m.length) AS win FROM starts s JOIN masks m ON s.start + m.length <= len(s.tokens)),
 occ AS (SELECT *, list_transform(win, lambda t, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN '_' ELSE t END) AS template FROM windows),
 solid AS (SELECT * FROM occ WHERE len(list_distinct(list_filter(template, lambda t: t <> '_'))) >= 3),
-frequent AS (SELECT template, count(*) AS n FROM solid GROUP BY template HAVING count(*) >= 4),
-held AS (SELECT o.*, f.n FROM solid o JOIN frequent f ON o.template = f.template),
+frequent AS MATERIALIZED (SELECT template, count(*) AS n FROM solid GROUP BY template HAVING count(*) >= 4),
+held AS MATERIALIZED (SELECT o.*, f.n FROM solid o JOIN frequent f ON o.template = f.template),
 slotted AS (SELECT template, slot, token FROM (SELECT template, unnest(list_filter(range(1, len(template) + 1), lambda i: template[i] = '_')) AS slot, win FROM held) q, LATERAL (SELECT win[slot] AS token) GROUP BY ALL),
 variety AS (SELECT template, count(*) AS slot_variety, count(DISTINCT slot) AS slots FROM slotted GROUP BY template),
 parts_of AS (SELECT template, count(DISTINCT section) AS sections FROM held GROUP BY template),
 templates AS (SELECT f.template, f.n AS count, s.sections, v.slot_variety, v.slots FROM frequent f JOIN variety v ON v.template = f.template JOIN parts_of s ON s.template = f.template),
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, count DESC, slot_variety DESC, len(template) DESC, text) AS rank FROM (SELECT *, array_to_string(template, ' ') AS text,
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, count DESC, slot_variety DESC, len(template) DESC, text) AS rank FROM (SELECT *, array_to_string(template, ' ') AS text,
   round(count * (1 + least(slot_variety, 24) / 8.0e0) * (1 + slots / 3.0e0) * ((len(template) - slots) / len(template)::DOUBLE) * (1 + least(sections, 4) / 8.0e0), 6) AS score FROM templates WHERE slot_variety > slots))"""
 
-# models without the greedy step: the five templates of highest rank
-MODELS = f"""{TEMPLATES},
-cells AS (SELECT r.rank AS model_rank, h.length, r.count AS source_count, h.win, unnest(range(1, h.length + 1)) AS p FROM held h JOIN ranked r ON r.template = h.template AND r.rank <= 5),
+TEMPLATES = f"{FRAGMENTS},\n{_TEMPLATES}"
+
+# the greedy choice: every step takes the best rank left and drops those that clash with it
+_CHOSEN = """prints AS MATERIALIZED (SELECT DISTINCT r.rank, h.doc_id, h.idx, unnest(range(h.start, h.start + h.length)) AS place FROM held h JOIN ranked r ON r.template = h.template),
+extents AS MATERIALIZED (SELECT rank, count(*) AS n FROM prints GROUP BY rank),
+choice(step, rank, taken) AS (
+  SELECT 0, rank, (SELECT min(rank) FROM ranked) FROM ranked
+  UNION ALL
+  (WITH gone AS (SELECT b.rank FROM prints a JOIN prints b USING (doc_id, idx, place) JOIN extents x ON x.rank = a.rank JOIN extents y ON y.rank = b.rank
+      WHERE a.rank = (SELECT min(rank) FROM choice) GROUP BY b.rank, x.n, y.n HAVING count(*) / least(x.n, y.n)::DOUBLE >= 0.72e0),
+    left_over AS (SELECT step, rank FROM choice WHERE rank <> taken AND rank NOT IN (SELECT rank FROM gone))
+   SELECT step + 1, rank, (SELECT min(rank) FROM left_over) FROM left_over WHERE step < 39)),
+chosen AS (SELECT r.*, row_number() OVER (ORDER BY r.count DESC, r.rank) AS model_rank FROM ranked r WHERE r.rank IN (SELECT taken FROM choice))"""
+
+CHOSEN = f"{TEMPLATES},\n{_CHOSEN}"
+
+_MODELS = """cells AS (SELECT r.model_rank, h.length, r.count AS source_count, h.win, unnest(range(1, h.length + 1)) AS p FROM held h JOIN chosen r ON r.template = h.template),
 probs AS (SELECT *, n / source_count::DOUBLE AS prob FROM (SELECT model_rank, length, source_count, p - 1 AS pos, win[p] AS token, count(*) AS n FROM cells GROUP BY ALL))"""
 
-CANDIDATES = f"""{MODELS},
-words AS (SELECT doc_id, idx, para_index, len(tokens) AS n_tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS spot FROM fragments),
+MODELS = f"{CHOSEN},\n{_MODELS}"
+
+_CANDIDATES = """words AS (SELECT doc_id, idx, para_index, len(tokens) AS n_tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS spot FROM fragments),
 wins AS (SELECT * EXCLUDE (total), round(total / length, 9) AS score FROM (SELECT doc_id, model_rank, idx, para_index, spot - pos AS start, length, sum(prob) AS total, count(*) AS matched, max(prob) AS peak FROM words JOIN probs USING (token) WHERE spot - pos >= 0 AND spot - pos + length <= n_tokens GROUP BY ALL)),
 cands AS (SELECT * EXCLUDE (b, length) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank, idx ORDER BY score DESC, matched DESC, start) AS b FROM wins WHERE matched >= greatest(3, floor(length * 0.68e0)) AND score >= 0.52e0) WHERE b = 1)"""
 
 
-def policy(name):
+CANDIDATES = f"{MODELS},\n{_CANDIDATES}"
+
+
+def _picked(name):
     if name.startswith("keep-"):
-        return f"{CANDIDATES}, picked AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank, para_index ORDER BY score DESC, idx) AS k FROM cands) WHERE k > {name[5:]})"
-    return f"""{CANDIDATES}, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank ORDER BY score, idx) AS o, count(*) OVER (PARTITION BY doc_id, model_rank) AS c FROM cands),
+        return f"picked AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank, para_index ORDER BY score DESC, idx) AS k FROM cands) WHERE k > {name[5:]})"
+    return """ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank ORDER BY score, idx) AS o, count(*) OVER (PARTITION BY doc_id, model_rank) AS c FROM cands),
 limits AS (SELECT *, greatest(0.58e0, max(CASE WHEN o = floor(c * 0.72e0) + 1 THEN score END) OVER (PARTITION BY doc_id, model_rank)) AS t FROM ordered),
 picked AS (SELECT * EXCLUDE (k, o, c, t) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, model_rank, para_index ORDER BY score DESC, idx) AS k FROM limits WHERE score >= t) WHERE k > 1)"""
 
 
+def policy(name):
+    return f"{CANDIDATES},\n{_picked(name)}"
+
+
+def batch(name):
+    """Metrics of the pass with models of the whole corpus: local and scaffold removals together."""
+    return f"""{selection("med")},
+{_TEMPLATES},
+{_CHOSEN},
+{_MODELS},
+{_CANDIDATES},
+{_picked(name)},
+first_models AS (SELECT doc_id, idx, arg_min(score, model_rank) AS score FROM picked GROUP BY doc_id, idx),
+taken AS (SELECT doc_id, idx, 'local' AS method, badness AS score, source_start, source_end FROM selected
+  UNION ALL SELECT m.doc_id, m.idx, 'scaffold', m.score, f.source_start, f.source_end FROM first_models m JOIN fragments f ON f.doc_id = m.doc_id AND f.idx = m.idx),
+{_SPANS},
+{_MERGED},
+{_APPLIED},
+{_METRICS}"""
+
+
 def query(docs, ctes, select):
     return f"WITH RECURSIVE {docs}, {ctes.strip()} {select}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,18 @@ def mine_models(frags: DataFrame, scope: list[str], table: Callable = lambda df,
     return templates.model_probabilities(chosen, occ, scope)
 
 
-def spans_of(docs: DataFrame, frags: DataFrame, local: DataFrame, scaffold: DataFrame | None) -> DataFrame:
-    """Merged spans of the local and the scaffold removals."""
+def spans_of(docs: DataFrame, frags: DataFrame, local: DataFrame, scaffold: DataFrame | None, dialect: str = "web") -> DataFrame:
+    """Merged spans of the local and the scaffold removals. In the cli dialect a fragment is
+    cut at its first place in the text, and not at all where it doesn't stand as it is."""
     rows = local.select("doc_id", "idx", F.lit("local").alias("method"), F.col("badness").alias("score"))
     if scaffold is not None:
         rows = rows.unionByName(scaffold.select("doc_id", "idx", F.lit("scaffold").alias("method"), "score"))
-    rows = edits.severity(rows).join(frags.select("doc_id", "idx", "source_start", "source_end"), ["doc_id", "idx"])
-    spans = edits.removal_spans(rows.join(docs.select("doc_id", "text"), "doc_id"))
+    if dialect == "cli":
+        rows = rows.join(frags.select("doc_id", "idx", F.col("text").alias("fragment")), ["doc_id", "idx"]).join(docs.select("doc_id", "text"), "doc_id")
+        rows = edits.severity(edits.searched(rows))
+    else:
+        rows = edits.severity(rows).join(frags.select("doc_id", "idx", "source_start", "source_end"), ["doc_id", "idx"]).join(docs.select("doc_id", "text"), "doc_id")
+    spans = edits.removal_spans(rows)
     return edits.merged_spans(spans.select("doc_id", "left", "right", "method", "severity"))
 
 
@@ -71,7 +77,7 @@ def analyze(docs: DataFrame, settings: Settings = Settings(), expansion_rounds:
         models = mine_models(frags, scope, table) if models is None else models
         candidates = table(templates.pattern_candidates(frags, models, scope, settings.pattern_min_score), "candidates")
         scaffold = templates.cascade(templates.select_candidates(candidates, settings.policy))
-    spans = table(spans_of(docs, frags, local, scaffold), "spans")
+    spans = table(spans_of(docs, frags, local, scaffold, settings.dialect), "spans")
     applied = edits.apply_spans(docs, spans)
     metrics = edits.document_metrics(applied, spans, frags, hot, settings.dialect)
     return Analysis(frags, hot, local, flags, models, candidates, scaffold, spans, applied, metrics)
@@ -88,17 +94,25 @@ def batch(docs: DataFrame, settings: Settings = Settings(), split: int = 0, cros
 def split_groups(frags: DataFrame, groups: int, crossover: bool = False) -> DataFrame:
     """(doc_id, group): documents in order go to the group with the fewest tokens, the
     first of equal ones; with crossover a group also gets the last of the one before.
-    Order-dependent over one number per document, so the driver assigns them."""
-    sizes = frags.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n")).orderBy("doc_id")
-    totals, out, last = [0] * groups, [], [None] * groups
-    for r in sizes.toLocalIterator():
-        g = totals.index(min(totals))
-        totals[g] += r["n"]
-        last[g] = r["doc_id"]
-        out.append((r["doc_id"], g))
-    if crossover:
-        out += [(last[g - 1], g) for g in range(1, groups) if last[g - 1] is not None]
-    return frags.sparkSession.createDataFrame(out, f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, group int")
+    The order decides, so one task walks the documents; it holds a number for each group."""
+    sizes = frags.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n")).select("doc_id", "n")
+    schema = f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, group int"
+
+    def walk(batches):
+        totals, last = [0] * groups, [None] * groups
+        for pdf in batches:
+            out = []
+            for doc, n in zip(pdf["doc_id"], pdf["n"]):
+                g = totals.index(min(totals))
+                totals[g] += n
+                last[g] = doc
+                out.append(g)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "group": out})
+        if crossover:
+            more = [(last[g - 1], g) for g in range(1, groups) if last[g - 1] is not None]
+            yield pd.DataFrame(more, columns=["doc_id", "group"])
+
+    return sizes.repartition(1).sortWithinPartitions("doc_id").mapInPandas(walk, schema)
 
 
 def split_models(frags: DataFrame, groups: int, crossover: bool = False, table: Callable = lambda df, name: df, top: int = 5) -> DataFrame:

@@ -17,6 +17,15 @@ def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> Data
     return rows.select(name.alias("doc_id"), F.col("value").alias("text"), name.alias("path"))
 
 
+def read_checked(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """(doc_id, text, error): files as read_markdown gives them; one that is not UTF-8 has
+    an error instead of a text."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    text = F.col("content").cast("string")
+    ok = F.is_valid_utf8(text)
+    return rows.select(F.col("path").alias("doc_id"), F.when(ok, text).alias("text"), F.when(~ok, F.lit("not UTF-8")).alias("error"))
+
+
 def read_book(spark: SparkSession, book: str | None = None, file: str | None = None, root: str = "content") -> DataFrame:
     """One document, of a book's slug or a path: exactly one of both must be given."""
     if (book is None) == (file is None):

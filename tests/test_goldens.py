@@ -5,13 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from echosieve.config import CLI, PROFILES, Settings, parse_profiles
+from echosieve.config import CLI, PROFILES, Settings, parse_profiles, scaffold_name
 from echosieve.functions import text as T
 from echosieve.functions.cli_tokens import cli_words
 from echosieve.operators import diagnostics, edits, hotspots, similarity, templates
-from echosieve.operators.fragments import fragments, paragraphs
-from echosieve.plans.pipeline import analyze, batch, spans_of, split_groups
-from echosieve.sources import readers, sinks
+from echosieve.operators.fragments import excluded_tokens, fragments, paragraphs
+from echosieve.plans.pipeline import analyze, batch, mine_models, spans_of, split_groups
+from echosieve.sources import readers, reports, sinks
 
 
 def docs(spark, *texts):
@@ -158,8 +158,20 @@ def test_whole_pass(spark):
     assert hotspots.selected_rows(a.hotspots, a.fragments, "none").count() == 0
 
 
+def framed(seed, n=12):
+    """Sentences of one frame whose slot varies."""
+    rng = random.Random(seed)
+    return ", ".join(f"we walked along the w{rng.randrange(60)} bank at dawn" + ("" if k % 3 else f" with w{rng.randrange(60)}") for k in range(n)) + "."
+
+
+def test_verbatim_repeats_are_no_template(spark):
+    """Windows of one sentence have as many variants as slots, so none is ranked."""
+    counts = templates.template_counts(templates.occurrences(fragments(docs(spark, CHORUS * 9)), []), [])
+    assert counts.count() > 0 and counts.where("slot_variety > slots").count() == 0
+
+
 def test_batch_and_splits(spark):
-    d = docs(spark, *[prose(k) for k in range(4)])
+    d = docs(spark, *[prose(k) + framed(k) for k in range(4)])
     b = batch(d, Settings(scaffold="medium"))
     assert b.models.count() > 0 and b.metrics.count() == 4
     g = [(r["doc_id"], r["group"]) for r in split_groups(fragments(d), 2, crossover=True).collect()]
@@ -229,7 +241,7 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_metrics(a.metrics, str(tmp_path / "m"), "med")
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 2
     assert sinks.metrics_report(a.metrics).count() == 3
-    assert sinks.pattern_report(a).count() >= 1
+    assert reports.pattern_report(a).count() >= 1
     jobs = sinks.batch_jobs(d.withColumn("name", F.col("path")))
     sinks.write_history(jobs, str(tmp_path / "h"))
     (tmp_path / "h" / "zz.json").write_text("{broken\n")
@@ -249,3 +261,102 @@ def test_stream(spark, tmp_path):
     q = rewrite_stream(read_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), Settings(scaffold="off"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def greedy(prints):
+    kept = []
+    for rank, places in sorted(prints.items()):
+        if len(kept) < templates.MOST and all(len(places & prints[k]) / max(1, min(len(places), len(prints[k]))) < templates.OVERLAP for k in kept):
+            kept.append(rank)
+    return kept
+
+
+def test_choice_by_joins_equals_the_walk(spark, monkeypatch):
+    rng = random.Random(4)
+    prints = {r: set(range(a := rng.randrange(60), a + rng.randrange(3, 25))) for r in range(1, 120)}
+    df = spark.createDataFrame([(r, p) for r, s in prints.items() for p in s], "rank int, place long")
+    assert templates._greedy_joins(df, 7) == greedy(prints) == templates._greedy(sorted(prints.items()))
+    monkeypatch.setattr(templates, "MOST", 3)
+    assert templates._greedy_joins(df, 7) == greedy(prints)
+
+
+def test_ranks_are_those_of_one_order(spark):
+    frags = fragments(docs(spark, *[framed(k) for k in range(5)]))
+    rows = templates.ranked_templates(templates.template_counts(templates.occurrences(frags, []), []), []).collect()
+    order = sorted(rows, key=lambda r: (-r["score"], -r["count"], -r["slot_variety"], -len(r["template"]), r["text"]))
+    assert [r["rank"] for r in order] == list(range(1, len(rows) + 1)) and len(rows) > 40
+
+
+def test_cli_names_and_treebank(spark):
+    text = "---\ntitle: x\ncharacters:\n- Ann Lee (tall)\n  Bob,\nmood: dark\n---\nZoe Q: hello there friend\nalone:\nTom: \n"
+    inline = "---\ncharacters: ['Mia', \"O'Hara\", the]\nx: y\n---\nbody"
+    rows = docs(spark, text, inline, "no frontmatter", None)
+    got = {r["doc_id"]: set(r["excluded"]) for r in excluded_tokens(rows, "cli").collect()}
+    # labels are looked for in the whole text, so keys of the frontmatter count
+    assert got == {0: {"ann", "lee", "bob", "zoe", "q", "tom", "title", "mood"}, 1: {"mia", "o'hara", "characters", "x"}, 2: set(), 3: set()}
+    assert cli_words("don’t stop and/or 50+50, 3,000 (we'll) cannot") == ["don’t", "stop", "and/or", "50+50", "3,000", "we", "ll", "can", "not"]
+    assert cli_words("'Tis gonna end... \"now\"?") == ["t", "is", "gon", "na", "end", "now"]
+
+
+def test_one_cut_equals_the_native_span(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab \t,.;:\"“”'’\n") for _ in range(40)) for _ in range(300)]
+    rows = [(i, t, a, a + rng.randrange(1, 6)) for i, t in enumerate(texts) for a in [rng.randrange(0, 34)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source_start int, source_end int")
+    got = {r["doc_id"]: (r["left"], r["right"]) for r in edits.removal_spans(df).collect()}
+    assert got == {i: edits.widened(t, a, b) for i, t, a, b in rows}
+
+
+def test_cuts_in_order_and_searched(spark):
+    d = docs(spark, "the cat sat, the cat sat, a dog ran.")
+    rows = spark.createDataFrame([(0, 0, 0, "the cat sat"), (0, 0, 1, "the cat sat"), (0, 0, 2, "not there")], "doc_id long, para_index int, idx int, fragment string")
+    assert [r["rewritten"] for r in edits.apply_in_order(d, rows).collect()] == ["@ a dog ran."] or edits.apply_in_order(d, rows).first()["rewritten"].strip().startswith("@")
+    found = edits.searched(rows.join(d, "doc_id")).collect()
+    assert {(r["idx"], r["source_start"], r["source_end"]) for r in found} == {(0, 0, 11), (1, 0, 11)}
+    a = analyze(docs(spark, prose(3)), Settings(dialect="cli", scaffold="off", paragraph_radius=6))
+    assert a.spans.count() > 0 and " @ " in a.applied.first()["rewritten"]
+
+
+def test_reports_driver_and_errors(spark, tmp_path):
+    from echosieve.plans.driver import outcomes, run_files
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.md").write_text(prose(1) + framed(1, 30))
+    (src / "b.md").write_text(prose(2))
+    (src / "bad.md").write_bytes(b"\xff\xfe broken")
+    done, seconds = run_files(spark, str(src), str(tmp_path / "out"), Settings(scaffold="light"), "low,high", report=True, bakeoff=True)
+    assert {"parse", "fragments", "hotspots", "metrics"} <= set(seconds) and done.metrics.count() == 2
+    out = spark.read.json(str(tmp_path / "out" / "texts")).collect()
+    assert len(out) == 2 and all(r["text"].startswith("---\nechosieve: ") for r in out)
+    assert spark.read.json(str(tmp_path / "out" / "errors")).count() == 1
+    assert {r["profile"] for r in spark.read.json(str(tmp_path / "out" / "profiles")).collect()} == {"low", "high"}
+    m = spark.read.option("header", True).csv(str(tmp_path / "out" / "metrics"))
+    assert m.count() == 2 and "flags" in m.columns
+    text = {r["doc_id"].rpartition("/")[2]: r["report"] for r in spark.read.json(str(tmp_path / "out" / "reports")).collect()}["a.md"]
+    for title in ("Diffuse Scaffold Templates", "Short Phrase Diagnostics", "Inside-Fragment Pattern Flags", "Fragment Hotspots", "- near: raw="):
+        assert title in text, title
+    files = readers.read_checked(spark, str(src))
+    assert {r["status"] for r in outcomes(files, done.metrics).collect()} == {"complete", "failed"}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        run_files(spark, str(tmp_path / "none"), str(tmp_path / "out2"))
+
+
+def test_bakeoff_report(spark):
+    d = docs(spark, prose(1) + framed(1, 30), "nothing here")
+    frags = fragments(d)
+    probs = mine_models(frags, ["doc_id"]).where("model_rank = 1")
+    cands = templates.pattern_candidates(frags, probs, ["doc_id"])
+    outputs = reports.bakeoff_outputs(d, Settings())
+    rows = reports.bakeoff_report(outputs, probs, cands, frags).collect()
+    assert [r["doc_id"] for r in rows] == [0] and outputs.count() == 3
+    assert all(x in rows[0]["report"] for x in ("## Position Probabilities", "`keep-1`: removed", "score="))
+
+
+def test_job_updates(spark):
+    jobs = spark.createDataFrame([("a", "queued", 1), ("b", "queued", 2)], "id string, status string, n int")
+    new = spark.createDataFrame([("a", "running", "1"), ("a", "complete", "2"), ("z", "complete", "3")], "id string, status string, finished_at string")
+    got = sorted(map(tuple, sinks.update_jobs(jobs, new).collect()))
+    assert got == [("a", "complete", 1, "2"), ("b", "queued", 2, None)]
+    assert scaffold_name("keep-1") == "hard" and scaffold_name("other") == "off"
