@@ -28,11 +28,11 @@ from echosieve.llm.minhash import words_of
 
 LEXICON, SYMBOLS, CLASSES, STATES, BLOCK = 200_000, 16_384, 256, 8, 512
 #: Rounds of Baum-Welch at most, and the gain in log10 likelihood a token that ends them.
-ROUNDS, GAIN = 8, 1e-4
+ROUNDS, GAIN = 6, 1e-4
 #: Tokens of the unigram that every state has emitted beforehand.
 PRIOR = 2000.0
 #: Tokens a task sorts by text length, and tokens whose messages it holds at once.
-HELD, CELLS = 4_000_000, 400_000
+HELD, CELLS = 4_000_000, 600_000
 END = b""  # no word is empty
 
 
@@ -269,14 +269,7 @@ def _expectation(model):
 
         def work() -> float:
             held.sort(key=len, reverse=True)
-            gain, a = 0.0, 0
-            while a < len(held):
-                b, cells = a + 1, len(held[a])
-                while b < len(held) and cells + len(held[b]) <= CELLS:
-                    cells += len(held[b])
-                    b += 1
-                gain += hmm.expect(held[a:b], emit, move, start)
-                a = b
+            gain = hmm.expect(held, emit, move, start)
             held.clear()
             return gain
 
