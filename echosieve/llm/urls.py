@@ -2,11 +2,13 @@
 
 Per host a tree of path templates is grown level by level over pre-aggregated shaped
 paths: digits become `#` at once; a segment stays literal where it is frequent under
-its parent and becomes `*` otherwise; siblings whose continuations and labels are
-statistically alike merge into one wildcard branch. A template is rejected when its
-share of bad labels, smoothed towards the corpus's, is over a half and enough labels
-support it. Everything is aggregation and equi-joins, so a host of any size is spread
-over all tasks."""
+its parent and becomes `*` otherwise; siblings whose continuations are alike merge into
+one wildcard branch unless their labels differ significantly, so labels reach siblings
+without any. A branch with fewer urls than a literal needs is wildcards to its end, so
+levels go on only as deep as paths are frequent. A template is rejected when its share of
+bad labels, smoothed towards a half, is over a half and enough labels support it.
+Everything is aggregation and equi-joins, so a host of any size is spread over all
+tasks; a branch has at most 1 / SHARE literal segments."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from echosieve.llm.common import Scratch
 
 #: A literal needs this many urls and share of its parent; a rejection this many labels.
-SUPPORT, SHARE, LABELS, SMOOTHING, LEVELS = 20, 0.01, 5, 10.0, 6
+SUPPORT, SHARE, LABELS, SMOOTHING = 20, 0.01, 5, 10.0
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -52,32 +54,41 @@ def _class(bad: Column, good: Column) -> Column:
 
 
 def grow_templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """shapes(host, shape, n, bad, good), one row per pair; adds template. A template
-    has a token per level: a literal, `*`, or `{}` for merged siblings; what lies deeper
-    than LEVELS is one token `**`, `$` ends a shorter path."""
-    t = shapes.withColumn("seg", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        here = F.when(F.size("seg") > level, F.get("seg", F.lit(level))).otherwise("$")
-        deeper = F.concat_ws("/", F.transform(F.slice("seg", level + 2, 99), lambda x: F.regexp_replace(x, "[^#.]+", "a")))
-        t = t.withColumn("here", here).withColumn("deeper", F.coalesce(deeper, F.lit("")))
+    """shapes(host, shape, n, bad, good), one row per pair; adds template. A template has a
+    token per segment, a literal, `*`, or `{}` for merged siblings, and ends in `$`."""
+    live = shapes.withColumn("seg", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit(""))
+    done, level = None, 0
+    while True:
+        total = live.groupBy("host", "template").agg(F.sum("n").alias("total"))
+        rows = live.join(total, ["host", "template"]).withColumn("here", F.get("seg", F.lit(level)))
+        rest = F.transform(F.slice("seg", level + 2, F.greatest(F.size("seg"), F.lit(1))), lambda x: F.regexp_replace(x, "[^#.]+", "a"))
+        rows = rows.withColumn("deeper", F.when(F.col("total") >= SUPPORT, F.concat_ws("/", rest)))
         node = ["host", "template", "here"]
-        kids = t.groupBy(*node, "deeper").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        kids = scratch.save(kids.groupBy(*node).agg(
+        kids = rows.where(F.col("total") >= SUPPORT).groupBy(*node, "total", "deeper").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        kids = scratch.save(kids.groupBy(*node, "total").agg(
             *[F.sum(c).alias(c) for c in ("n", "bad", "good")],
             # continuations as quarters of the branch, the profile siblings are compared by
             F.max_by("deeper", F.struct("n", "deeper")).alias("main"),
             F.round(F.max("n") / F.sum("n") * 4).cast("int").alias("quarter"),
-        ), "kids")
-        total = kids.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        kids = kids.join(total, ["host", "template"]).withColumn("literal", (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("total")) | (F.col("here") == "$"))
-        kids = kids.withColumn("kind", _class(F.col("bad"), F.col("good"))).withColumn("labelled", F.col("bad") + F.col("good") > 0)
-        alike = ["host", "template", "main", "quarter", "kind", "labelled"]
-        twins = kids.where("literal and here <> '$'").groupBy(*alike).agg(F.count("*").alias("twins"))
-        kids = kids.join(twins, alike, "left")
-        token = F.when(~F.col("literal"), "*").when((F.col("twins") > 1) & (F.col("here") != "$"), F.concat(F.lit("{"), "main", F.lit(":"), "quarter", F.lit(":"), "kind", F.lit(":"), "labelled", F.lit("}"))).otherwise(F.col("here"))
-        t = t.join(kids.select(*node, token.alias("token")), node).withColumn("template", F.concat("template", F.lit("/"), "token")).drop("here", "deeper", "token")
-        t = scratch.save(t, "level")  # each level is read several times by the next
-    return t.withColumn("template", F.when(F.size("seg") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("seg")
+        ).where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("total"))), "kids")
+        kids = kids.withColumn("kind", _class(F.col("bad"), F.col("good")))
+        alike = ["host", "template", "main", "quarter"]
+        groups = kids.groupBy(*alike).agg(F.count("*").alias("twins"), F.min("kind").alias("least"), F.max("kind").alias("most"))
+        same = kids.groupBy(*alike, "kind").agg(F.count("*").alias("same"))
+        mixed = (F.col("least") < 0) & (F.col("most") > 0)
+        profile = F.concat_ws(":", "main", "quarter")
+        token = F.when(mixed & (F.col("same") > 1), F.concat(F.lit("{"), profile, F.lit(":"), "kind", F.lit("}"))).when(~mixed & (F.col("twins") > 1), F.concat(F.lit("{"), profile, F.lit("}"))).otherwise(F.col("here"))
+        literal = kids.join(groups, alike).join(same, [*alike, "kind"]).select(*node, token.alias("token"))
+        grown = rows.join(literal, node, "left").withColumn("left_over", F.size("seg") - level)
+        small = F.col("total") < SUPPORT
+        tail = F.when(small, F.concat(F.expr("repeat('/*', left_over)"), F.lit("/$"))).otherwise(F.concat(F.lit("/"), F.coalesce("token", F.lit("*")), F.when(F.col("left_over") == 1, "/$").otherwise("")))
+        grown = grown.withColumn("over", small | (F.col("left_over") == 1)).withColumn("template", F.concat("template", tail)).drop("here", "deeper", "token", "total", "left_over")
+        grown = scratch.save(grown, "level")  # each level is read several times by the next
+        ended = grown.where("over").drop("seg", "over")
+        done = ended if done is None else done.unionByName(ended)
+        live, level = grown.where("not over").drop("over"), level + 1
+        if live.isEmpty():
+            return done
 
 
 def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_col: str = "url", label: str = "urls") -> DataFrame:
@@ -90,10 +101,8 @@ def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_co
     scratch = Scratch(pages.sparkSession, label)
     shapes = scratch.save(rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")), "shapes")
     grown = grow_templates(shapes, scratch)
-    prior = shapes.agg(((F.sum("bad") + 1) / (F.sum("bad") + F.sum("good") + 2)).alias("prior"))
     sums = grown.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
-    sums = sums.join(F.broadcast(prior))  # one row
-    sums = sums.withColumn("purity", (F.col("t_bad") + SMOOTHING * F.col("prior")) / (F.col("t_bad") + F.col("t_good") + SMOOTHING))
+    sums = sums.withColumn("purity", (F.col("t_bad") + SMOOTHING / 2) / (F.col("t_bad") + F.col("t_good") + SMOOTHING))
     sums = sums.withColumn("rejected", (F.col("purity") > 0.5) & (F.col("t_bad") + F.col("t_good") >= LABELS))
     known = grown.select("host", "shape", "template").join(sums, ["host", "template"]).select("host", "shape", "template", "purity", "rejected")
     return rows.join(known, ["host", "shape"]).select(id_col, "host", "path", "template", "purity", "rejected")

@@ -35,43 +35,50 @@ def brute(pages):
         if v:
             lab[h, re.sub("[0-9]+", "#", p)][v == "allow"] += 1
     seg = {k: re.sub("^/", "", k[1]).split("/") for k in shapes}
-    temp = dict.fromkeys(shapes, "")
-    for level in range(urls.LEVELS):
+    temp, live, level = dict.fromkeys(shapes, ""), set(shapes), 0
+    while live:
+        total = collections.Counter()
         kids = collections.defaultdict(lambda: [0, 0, 0, collections.Counter()])
-        for k in shapes:
-            here = seg[k][level] if len(seg[k]) > level else "$"
-            x = kids[k[0], temp[k], here]
+        for k in live:
+            total[k[0], temp[k]] += shapes[k]
+            x = kids[k[0], temp[k], seg[k][level]]
             x[0] += shapes[k]
             x[1] += lab[k][0]
             x[2] += lab[k][1]
             x[3]["/".join(re.sub("[^#.]+", "a", s) for s in seg[k][level + 1 :])] += shapes[k]
-        total = collections.Counter()
-        for (h, t, _), x in kids.items():
-            total[h, t] += x[0]
-        sign, token = {}, {}
+        sign = {}
         for (h, t, here), x in kids.items():
-            if here == "$":
-                token[h, t, here] = "$"
-            elif x[0] >= urls.SUPPORT and x[0] >= urls.SHARE * total[h, t]:
+            if x[0] >= urls.SUPPORT and x[0] >= urls.SHARE * total[h, t]:
                 main = max(x[3].items(), key=lambda y: (y[1], y[0]))
-                sign[h, t, here] = (main[0], int(main[1] / x[0] * 4 + 0.5), wilson(x[1], x[2]), x[1] + x[2] > 0)
-            else:
-                token[h, t, here] = "*"
-        twins = collections.Counter((h, t, s) for (h, t, _), s in sign.items())
-        for (h, t, here), s in sign.items():
-            token[h, t, here] = here if twins[h, t, s] == 1 else "{" + repr(s) + "}"
-        temp = {k: temp[k] + "/" + token[k[0], temp[k], seg[k][level] if len(seg[k]) > level else "$"] for k in shapes}
-    temp = {k: t + ("/**" if len(seg[k]) > urls.LEVELS else "") for k, t in temp.items()}
+                sign[h, t, here] = ((main[0], int(main[1] / x[0] * 4 + 0.5)), wilson(x[1], x[2]))
+        kinds = collections.defaultdict(list)
+        for (h, t, _), (p, k) in sign.items():
+            kinds[h, t, p].append(k)
+        ended = set()
+        for k in live:
+            h, t, here = node = k[0], temp[k], seg[k][level]
+            if total[h, t] < urls.SUPPORT:
+                temp[k] = t + "/*" * (len(seg[k]) - level) + "/$"
+                ended.add(k)
+                continue
+            token = "*"
+            if node in sign:
+                p, kind = sign[node]
+                of = kinds[h, t, p]
+                mixed = min(of) < 0 < max(of)
+                token = repr((p, kind)) if mixed and of.count(kind) > 1 else repr(p) if not mixed and len(of) > 1 else here
+            temp[k] = t + "/" + token + ("/$" if len(seg[k]) == level + 1 else "")
+            if len(seg[k]) == level + 1:
+                ended.add(k)
+        live, level = live - ended, level + 1
     sums = collections.defaultdict(lambda: [0, 0])
     for k in shapes:
         sums[k[0], temp[k]][0] += lab[k][0]
         sums[k[0], temp[k]][1] += lab[k][1]
-    b, g = sum(x[0] for x in lab.values()), sum(x[1] for x in lab.values())
-    prior = (b + 1) / (b + g + 2)
     out = {}
     for i, (h, p, r, v) in rows.items():
         x = sums[h, temp[h, re.sub("[0-9]+", "#", p)]]
-        bad = (x[0] + urls.SMOOTHING * prior) / (sum(x) + urls.SMOOTHING) > 0.5 and sum(x) >= urls.LABELS
+        bad = (x[0] + urls.SMOOTHING / 2) / (sum(x) + urls.SMOOTHING) > 0.5 and sum(x) >= urls.LABELS
         out[i] = (h, p, r, v or ("block" if bad else "allow"))
     return out
 
@@ -83,11 +90,28 @@ def test_query_matches_brute_force(spark):
     assert got == want
 
 
+def test_labels_reach_siblings_and_deep_paths(spark):
+    """Alike siblings pool their labels, differing ones stay apart, and no level is cut off."""
+    deep = "/".join(f"s{k}" for k in range(12))
+    rows = [(k, f"http://a.org/{w}/{k}") for k, w in enumerate(["one"] * 30 + ["two"] * 30)]  # two has no label
+    rows += [(100 + k, f"http://b.org/{w}/{k}") for k, w in enumerate(["good"] * 40 + ["bad"] * 40)]
+    rows += [(200 + k, f"http://c.org/{deep}/{w}/x") for k, w in enumerate(["p"] * 30 + ["q.r"] * 30)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    label = F.when(F.col("path").startswith("/one") | F.col("path").startswith("/bad") | F.col("path").contains("/q.r/"), 1).when(F.col("path").startswith("/good") | F.col("path").contains("/p/"), 0)
+    got = {r["page_id"]: r for r in judge_urls(df, label).collect()}
+    assert {got[k]["rejected"] for k in range(60)} == {True} and len({got[k]["template"] for k in range(60)}) == 1
+    assert {got[100 + k]["rejected"] for k in range(40)} == {False} and {got[140 + k]["rejected"] for k in range(40)} == {True}
+    assert {got[200 + k]["rejected"] for k in range(30)} == {False} and {got[230 + k]["rejected"] for k in range(30)} == {True}
+    assert got[200]["template"].count("/") == 15
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.COM"), (5, "http://a.com?x=/y"), (6, "x://y://z/q"), (7, "http://WWW.Example.com/en/1#a/b"), (8, "http://example.com/en/"), (9, "http://xexample.com/en/"), (10, "http://net/es/1"), (11, "http://h\u00c9.net/\nfr/")]
     rows += [(100 + k, f"http://s.net/{'es' if k % 3 else 'en'}/a/b/c/d/e/f/g/{k}") for k in range(90)] + [(300 + k, f"http://t.org/{w}/{k}.html") for k in range(60) for w in ("x",)] + [(400, "http://t.org/" + "y/" * 5000)]
+    rows += rows[20:22]  # repeated rows give repeated rows
     df = spark.createDataFrame([(i, u, "h", 0) for i, u in rows], "page_id long, url string, host string, n int")
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
     judged = judge_urls(df, F.when(verdict == "block", 1).when(verdict == "allow", 0)).withColumn("rule", rule).withColumn("v", F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")))
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["v"]) for r in judged.collect()} == brute(rows)
+    assert judged.count() == len(rows)
     assert judge_urls(df.where("false"), F.lit(None).cast("int")).count() == 0
