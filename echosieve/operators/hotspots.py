@@ -127,7 +127,12 @@ def walk_frontier(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
             a, b = key
             overlap, two, three = jac(sets[a], sets[b]), jac(grams[2][a], grams[2][b]), jac(grams[3][a], grams[3][b])
             size = 1 - abs(len(tokens[a]) - len(tokens[b])) / max(len(tokens[a]), len(tokens[b]))
-            score = weights[0] * overlap + weights[1] * sequence(tokens[a], tokens[b]) + weights[2] * two + weights[3] * three + weights[4] * size
+            score = weights[0] * overlap + weights[2] * two + weights[3] * three + weights[4] * size
+            # the sequence part is at most the share of common occurrences
+            both = sets[a] & sets[b]
+            most = min(sum(t in both for t in tokens[a]), sum(t in both for t in tokens[b])) * 2 / (len(tokens[a]) + len(tokens[b]))
+            if score + weights[1] * most >= settings.min_match_score - 1e-9:
+                score = weights[0] * overlap + weights[1] * sequence(tokens[a], tokens[b]) + weights[2] * two + weights[3] * three + weights[4] * size
             swap = ("i" in sets[a] and "you" in sets[b] or "you" in sets[a] and "i" in sets[b]) and overlap >= 0.35
             known[key] = (score, len(sets[a] & sets[b]), two, swap)
         return known[key]

@@ -10,13 +10,14 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LENGTHS, LEAST, OVERLAP, MOST, SOFT = range(5, 10), 4, 0.72, 40, 0.84
 #: Ranks whose clashes are looked at together.
-BATCH = 64
+BATCH = 256
 
 
 def masks() -> list[tuple[int, int]]:
@@ -103,22 +104,24 @@ def _clashes(x: DataFrame, y: DataFrame) -> DataFrame:
 def _greedy_joins(prints: DataFrame, batch: int = BATCH) -> list[int]:
     """_greedy over prints(rank, place) of one scope of any size. Of the next `batch` ranks that
     clash with no kept one, only the clashing pairs meet on the driver; footprints never do."""
+    prints = prints.persist(StorageLevel.MEMORY_AND_DISK)
+    free = prints.select("rank").distinct()
     kept: list[int] = []
-    rest = prints
     while len(kept) < MOST:
-        ranks = sorted(r["rank"] for r in rest.select("rank").distinct().orderBy("rank").limit(batch).collect())
-        if not ranks:
-            break
-        part = rest.where(F.col("rank").isin(ranks))
-        pairs = {(r["a"], r["b"]) for r in _clashes(part, part).where("a < b").collect()}
+        ranks = sorted(r["rank"] for r in free.orderBy("rank").limit(batch).collect())
+        part = prints.where(F.col("rank").between(ranks[0], ranks[-1]) & F.col("rank").isin(ranks)) if ranks else None
+        pairs = {(r["a"], r["b"]) for r in _clashes(part, part).where("a < b").collect()} if ranks else set()
         new: list[int] = []
         for r in ranks:
             if len(kept) + len(new) < MOST and not any((k, r) in pairs for k in new):
                 new.append(r)
         kept += new
-        rest = rest.where(F.col("rank") > ranks[-1])
-        gone = _clashes(prints.where(F.col("rank").isin(new)), rest).select(F.col("b").alias("rank")).distinct()
-        rest = rest.join(gone, "rank", "left_anti")
+        if len(ranks) < batch:
+            break
+        after = prints.where(F.col("rank") > ranks[-1])
+        gone = _clashes(prints.where(F.col("rank").isin(kept)), after).select(F.col("b").alias("rank"))
+        free = after.select("rank").distinct().join(gone, "rank", "left_anti")
+    prints.unpersist()
     return kept
 
 

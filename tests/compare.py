@@ -35,6 +35,6 @@ def differences(spark, con, query, sql, sf_dir):
     order = [names.index(c) for c in cols]
     want = sorted(tuple(plain(r[k]) for k in order) for r in rel.fetchall())
     if got == want:
-        return ""
+        return "" if got else "no rows on either side"
     a, b = set(got) - set(want), set(want) - set(got)
     return f"rows {len(got)} and {len(want)}; only Spark {sorted(a)[:2]}; only DuckDB {sorted(b)[:2]}"
