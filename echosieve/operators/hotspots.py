@@ -81,7 +81,7 @@ def frontier_matches(frags: DataFrame, settings: Settings) -> DataFrame:
     """matches() with the frontier walk: tokens of the best matches bring in further
     candidates, at radii that double up to the growth limit, until none is new. The
     stop rule depends on rejected candidates, so each document is walked in order."""
-    schema = "doc_id long, idx int, other int, distance int, shared int, score double, weighted double, other_tokens array<string>"
+    schema = f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, idx int, other int, distance int, shared int, score double, weighted double, other_tokens array<string>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return walk_frontier(pdf.sort_values("idx"), settings)
