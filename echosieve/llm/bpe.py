@@ -19,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import tidy
+
 #: Texts and bytes of text answered at a time, and words remembered by each of two generations.
-SLICE, SLICE_BYTES, GENERATION = 2048, 2_000_000, 150_000
+SLICE, SLICE_BYTES, GENERATION = 2048, 1_000_000, 100_000
 #: Bytes of the words contracted at a time; longer words than LONG go alone, STEPS rows at a time.
-FRESH, LONG, STEPS = 500_000, 64, 1_000_000
+FRESH, LONG, STEPS = 250_000, 64, 1_000_000
 
 # A row is a token, its place in its word, and the token that follows it (-1 at the end).
 # A round contracts every word's leftmost pair of minimum rank: the pair's second row
@@ -102,7 +104,7 @@ class Coder:
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())})
         # in memory only: what a query holds is bounded by FRESH and STEPS
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -260,7 +262,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 yield answer(c, ids, words, ends)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids string, decoded binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, n_tokens long, ids string, decoded binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

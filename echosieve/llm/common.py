@@ -3,6 +3,7 @@ Arrow batches and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -72,6 +73,23 @@ def one_row_per_id(rows: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.join(again, id_col, "left_anti").unionByName(least.select(rows.columns))
 
 
+def tidy(run):
+    """run(batches) for mapInArrow, after which the worker gives memory it holds unused back
+    to the machine: workers are kept from stage to stage."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not glibc
+
+    return tidied
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -112,7 +130,7 @@ def grouped(df: DataFrame, keys: list[str], func, schema: str, partitions: int |
         for group in iter_groups(batches, keys):
             yield from func(group)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def list_views(column) -> tuple[np.ndarray, np.ndarray]:
@@ -219,4 +237,4 @@ def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
                 yield b.select(names).filter(pa.array(ok))
 
     spotted = rows.select("*", *[F.pmod(F.xxhash64(id_col, F.lit(k)), F.lit(bits)).alias(f"_spot{k}") for k in range(4)])
-    return spotted.mapInArrow(run, rows.schema)
+    return spotted.mapInArrow(tidy(run), rows.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, grouped, keep_ids, list_views, one_row_per_id
+from echosieve.llm.common import Scratch, grouped, keep_ids, list_views, one_row_per_id, tidy
 
 WINDOW, ITEMS, PROBES, LATENT = 80, 256, 32, 64
 SHARE, ANSWER = 0.6, 0.5
@@ -278,7 +278,7 @@ def _space(spark: SparkSession, hits: DataFrame, index: dict, weights: np.ndarra
     q /= np.maximum(np.sqrt((q * q).sum(axis=0)), 1e-12)
     start = np.concatenate([q, np.random.default_rng(7).normal(size=(len(index), PROBES)) / math.sqrt(max(1, len(index)))], axis=1).astype(np.float32)
     shared = spark.sparkContext.broadcast((weights.astype(np.float32), start))  # vocabulary of a block x its passages
-    sums = grouped(hits.mapInArrow(_krylov(shared), "block int, sums binary"), ["block"], _sum, "block int, sums binary").collect()
+    sums = grouped(hits.mapInArrow(tidy(_krylov(shared)), "block int, sums binary"), ["block"], _sum, "block int, sums binary").collect()
     y = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(sums, key=lambda r: r["block"])]).reshape(len(index), -1) if sums else np.zeros_like(start, np.float64)
     shared.unpersist()
     u, s, _ = np.linalg.svd(y, full_matrices=False)
@@ -312,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not vocabulary:
             continue
         shared = spark.sparkContext.broadcast(vocabulary)
-        counts = base.select("text").mapInArrow(_frequency(shared), "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+        counts = base.select("text").mapInArrow(tidy(_frequency(shared)), "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
         df, n = np.zeros(len(vocabulary)), 0
         for r in counts:
             if r["word"] < 0:
@@ -320,14 +320,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             else:
                 df[r["word"]] = r["df"]
         weights = np.log((n + 1.0) / (df + 1.0)) + 1.0
-        hits = scratch.save(base.mapInArrow(_hits(shared), "id long, places array<int>, words array<int>"), "hits")
+        hits = scratch.save(base.mapInArrow(tidy(_hits(shared)), "id long, places array<int>, words array<int>"), "hits")
         basis, queries = _space(spark, hits, vocabulary, weights, list(items.values()))
         model = spark.sparkContext.broadcast((vocabulary, weights.astype(np.float32), basis, queries, {i: k for k, i in enumerate(items)}))
         limits = spark.sparkContext.broadcast((bound(list(items.values()), vocabulary, df), np.array(list(items), np.int64)))
-        near = scratch.save(hits.mapInArrow(_search(limits), "id long, item long, lo long, hi long"), "near")
+        near = scratch.save(hits.mapInArrow(tidy(_search(limits)), "id long, item long, lo long, hi long"), "near")
         regions = scratch.save(near.groupBy("id").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")
         texts = spark.sparkContext.broadcast(items)
-        got = keep_ids(base, regions).join(regions.hint("merge"), "id").mapInArrow(_decide(texts, model), schema)
+        got = keep_ids(base, regions).join(regions.hint("merge"), "id").mapInArrow(tidy(_decide(texts, model)), schema)
         got = scratch.save(got, "found")
         scratch.drop(hits)
         found = got if found is None else found.union(got)

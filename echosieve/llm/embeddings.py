@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, connected_components, grouped, list_views, one_row_per_id
+from echosieve.llm.common import Scratch, connected_components, grouped, list_views, one_row_per_id, tidy
 
 EPSILON, MISS, BLOCK, SEED = 5.5, 3e-5, 1024, 20
 
@@ -183,12 +183,12 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     spark = vectors.sparkSession
     scratch = Scratch(spark, label)
     rows = one_row_per_id(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
-    usable = scratch.save(rows.mapInArrow(_read, "id long, digest binary, vec binary"), "usable")
+    usable = scratch.save(rows.mapInArrow(tidy(_read), "id long, digest binary, vec binary"), "usable")
     groups = usable.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     groups = scratch.save(groups, "groups")
     tables, bits = plan_tables(groups.count(), threshold)
     one = groups.select("id", "copies").join(usable.select("id", "vec"), "id")
-    signed = scratch.save(one.mapInArrow(_sign(tables, bits), "id long, copies long, vec binary, code binary, factor double, keys array<long>"), "signed")
+    signed = scratch.save(one.mapInArrow(tidy(_sign(tables, bits)), "id long, copies long, vec binary, code binary, factor double, keys array<long>"), "signed")
     slots = signed.select("id", F.posexplode("keys").alias("slot", "bucket"))
     live = slots.groupBy("bucket", "slot").agg(F.count("*").alias("size")).where("size > 1").select("bucket", "slot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     placed = slots.join(live, ["bucket", "slot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, grouped
+from echosieve.llm.common import Scratch, grouped, tidy
 from echosieve.llm.minhash import words_of
 
 LEXICON, SYMBOLS, CLASSES, STATES, BLOCK = 200_000, 16_384, 256, 8, 512
@@ -302,7 +302,7 @@ def baum_welch(spark: SparkSession, encoded: DataFrame, unigram: np.ndarray, tok
     hmm, path = first_guess(unigram), []
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(hmm)  # symbols x states doubles, whatever the corpus
-        parts = encoded.where("train").select("syms").mapInArrow(_expectation(shared), "block int, counts binary")
+        parts = encoded.where("train").select("syms").mapInArrow(tidy(_expectation(shared)), "block int, counts binary")
         rows = {r["block"]: np.frombuffer(r["counts"], np.float64) for r in grouped(parts, ["block"], _add, "block int, counts binary").collect()}
         shared.unpersist()
         if not rows:
@@ -342,14 +342,14 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = rows.where("train").select("text").mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = rows.where("train").select("text").mapInArrow(tidy(_count), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
     ending = F.crc32(F.expr(f"substring(token, greatest(length(token) - 2, 1), 3)"))
     counts = scratch.save(counts.withColumn("class", F.pmod(ending, F.lit(CLASSES)).cast("int")), "counts")
     lex = build_lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)  # LEXICON words at most
     # `row` tells rows of one id apart; it is fixed once the table is written
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    encoded = rows.mapInArrow(_encode(shared), "id long, train boolean, row long, n_tokens long, known long, base double, within double, syms binary, rest array<struct<token:binary,n:long>>")
+    encoded = rows.mapInArrow(tidy(_encode(shared)), "id long, train boolean, row long, n_tokens long, known long, base double, within double, syms binary, rest array<struct<token:binary,n:long>>")
     encoded = scratch.save(encoded, "encoded")
     unigram = np.zeros(lex.symbols)
     unigram[:CLASSES] = 10.0**lex.class_size
@@ -358,7 +358,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     unigram[lex.symbol[own]] = c[own]
     unigram = np.maximum(unigram, 1e-3)
     model = spark.sparkContext.broadcast(baum_welch(spark, encoded, unigram / unigram.sum(), lex.total)[0])
-    hmm = encoded.select("row", "syms").mapInArrow(_score(model), "row long, hmm double")
+    hmm = encoded.select("row", "syms").mapInArrow(tidy(_score(model)), "row long, hmm double")
     # words outside the lexicon meet their counts
     rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.token", "r.n").join(counts.select("token", "c", "class"), "token", "left")
     sizes = F.array(*[F.lit(float(x)) for x in lex.class_size])

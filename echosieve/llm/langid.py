@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import tidy
+
 BUCKETS, ORDERS, PER_LANGUAGE = 1 << 16, (1, 2, 3), 2000
 #: N-grams are looked at in runs of so many characters, so memory doesn't follow the text.
 RUN = 1 << 18
@@ -130,7 +132,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)
-    rows = labelled.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = labelled.select("text").mapInArrow(tidy(_frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(BUCKETS), 0
     for r in rows:
         if r["bucket"] < 0:
@@ -142,7 +144,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     keep = F.lit(False)
     for r in found:
         keep = keep | ((F.col("lang") == r["lang"]) & (unit < per_language / r["count"]))
-    sample = labelled.where(keep).select("lang", "text").mapInArrow(_sparse, "lang string, idx binary, tf binary").collect()
+    sample = labelled.where(keep).select("lang", "text").mapInArrow(tidy(_sparse), "lang string, idx binary, tf binary").collect()
     code = {x: k for k, x in enumerate(languages)}
     sample = [(np.frombuffer(r["idx"], np.uint16).astype(np.int64), np.frombuffer(r["tf"], np.float32).astype(np.float64), code[r["lang"]]) for r in sample]
     # a fifth is held back for the temperature, unless there is too little to learn from
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), letter.alias("letter"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views, one_row_per_id
+from echosieve.llm.common import Forest, Scratch, connected_components, grouped, keep_ids, list_views, one_row_per_id, tidy
 
 BANDS, ROWS, BLOCK, STAR = 24, 4, 1024, 256
 COORDS = BANDS * ROWS
@@ -125,7 +125,7 @@ def _attach(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), _pieces(flat, [len(s) for s in sets], pa.int64())], names=["id", "shingles"])
 
-    return keep_ids(docs, wanted).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return keep_ids(docs, wanted).select("id", "text").mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
     base = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    signed = scratch.save(base.mapInArrow(lambda it: _sign(it, width), "id long, n long, digest binary, bands array<long>, sig binary"), "signed")
+    signed = scratch.save(base.mapInArrow(tidy(lambda it: _sign(it, width)), "id long, n long, digest binary, bands array<long>, sig binary"), "signed")
     reps = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     members = scratch.save(signed.join(reps.select("id"), "id", "left_semi").select("id", "n", "bands", "sig"), "reps")
     slots = members.select("id", F.posexplode("bands").alias("band", "key"))
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars.join(about, "id")
         .join(about.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
         .where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-        .mapInArrow(_close(AGREE), "hub long, id long")
+        .mapInArrow(tidy(_close(AGREE)), "hub long, id long")
     )
     stars = scratch.save(stars, "stars")
     wanted = stars.select("id").union(stars.select(F.col("hub").alias("id"))).distinct()

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import tidy
+
 BINS, SAMPLE = 10, 16_000
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
@@ -205,7 +207,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Crf | None:
     most, chosen by a hash of the id, and all of them where there are fewer."""
     n = labelled.count()
     unit = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    got = labelled.where(unit < sample / max(1, n)).select("text", F.col("label").cast("int").alias("label")).mapInArrow(_collect_features, "f binary, w binary, label int").collect()
+    got = labelled.where(unit < sample / max(1, n)).select("text", F.col("label").cast("int").alias("label")).mapInArrow(tidy(_collect_features), "f binary, w binary, label int").collect()
     return fit([(np.frombuffer(r["f"], np.float32).reshape(-1, len(FEATURES)), np.frombuffer(r["w"], np.float32).astype(float), r["label"]) for r in got])
 
 
@@ -221,7 +223,7 @@ def score_quality(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x.as_py()) if m else 0.5 for x in batch.column(1)], pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Crf | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -234,7 +236,7 @@ def keep_good(docs: DataFrame, model: Crf | None, text_col: str = "text", least:
         for batch in batches:
             yield batch.filter(pa.array([m is None or m.score(x.as_py()) >= least for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, grouped, keep_ids, one_row_per_id, parallelism
+from echosieve.llm.common import Scratch, grouped, keep_ids, one_row_per_id, parallelism, tidy
 
 GRAM, SHARD_BYTES, PART, QUARTERS, SALTS = 128, 1_000_000, 4096, 4, 64
 
@@ -409,7 +409,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
     base = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    scanned = base.mapInArrow(_scan(length, gram), "id long, n_bytes long, sha string, inner binary, fp array<long>, ctx array<long>, at array<long>, many array<byte>")
+    scanned = base.mapInArrow(tidy(_scan(length, gram)), "id long, n_bytes long, sha string, inner binary, fp array<long>, ctx array<long>, at array<long>, many array<byte>")
     scanned = scratch.save(scanned, "scanned")
     seen = scanned.select("id", F.explode(F.arrays_zip("fp", "ctx", "at", "many")).alias("x")).select("id", "x.fp", "x.ctx", "x.at", "x.many")
     contexts = seen.groupBy("fp", "ctx").agg(F.sum(F.col("many") + 1).alias("n"), F.min(F.struct("id", "at")).alias("one"))
@@ -422,7 +422,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # different contexts of one anchor: shards of suffix arrays
     mixed = contexts.where("kinds > 1")
     wants = scratch.save(mixed.groupBy("id").agg(F.collect_list(F.struct("fp", "ctx", "at")).alias("wants")), "wants")
-    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(_cut(length, gram), "fp long, ctx long, before int, bytes binary, id long, from long, quarters array<struct<q:int,key:long,ext:long>>")
+    pieces = keep_ids(base, wants).join(wants, "id").mapInArrow(tidy(_cut(length, gram)), "fp long, ctx long, before int, bytes binary, id long, from long, quarters array<struct<q:int,key:long,ext:long>>")
     pieces = scratch.save(pieces, "pieces")
     # contexts alike around a quarter's core repeat all its strings; others that share
     # the core may repeat some, which their suffixes tell
@@ -452,7 +452,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = local.join(hits, "id", "left").where("spans is not null or length(inner) > 0")
     touched = touched.withColumn("spans", F.transform("spans", lambda x: F.struct(x["lo"].alias("lo"), F.least(x["hi"], F.col("n_bytes")).alias("hi"))))
     touched = scratch.save(touched.drop("n_bytes"), "touched")
-    changed = keep_ids(base, touched).join(touched, "id").mapInArrow(_strip, "id long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, spans array<struct<lo:long,hi:long>>")
+    changed = keep_ids(base, touched).join(touched, "id").mapInArrow(tidy(_strip), "id long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, spans array<struct<lo:long,hi:long>>")
     return scanned.select("id", "n_bytes", "sha"), changed
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import Scratch, iter_groups, one_row_per_id
+from echosieve.llm.common import Scratch, iter_groups, one_row_per_id, tidy
 
 RECORDS_PER_FILE, CHUNK = 1000, 1 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -153,7 +153,7 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch, chunk: int =
     """The true records of all archives under path (plain or gzipped as a whole):
     (file, at, page, type, url, digest, full_size, refers_to, size, body_digest)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = scratch.save(files.mapInArrow(_candidates(chunk), _SCHEMA), "candidates")
+    found = scratch.save(files.mapInArrow(tidy(_candidates(chunk)), _SCHEMA), "candidates")
     # pointer jumping over the places where chains enter chunks: reached doubles its
     # steps each round, from the file's start
     jump = found.select("file", F.col("at"), F.col("exit").alias("to")).where("to > at")
@@ -184,7 +184,7 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch, chunk: int =
                 yield from group.select(_NAMES).take(pa.array(keep)).combine_chunks().to_batches()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chains = rows.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk").mapInArrow(follow, _SCHEMA)
+    chains = rows.repartition(n, "file", "chunk").sortWithinPartitions("file", "chunk").mapInArrow(tidy(follow), _SCHEMA)
     return chains.drop("chunk", "next", "exit")
 
 
