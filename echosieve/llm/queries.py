@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from echosieve.llm import codes, manifest
 from echosieve.llm.bpe import op5_bpe
+from echosieve.llm.codes import op13_codes
 from echosieve.llm.decontaminate import op10_decontaminate
 from echosieve.llm.embeddings import op1_embeddings
 from echosieve.llm.hmm import op9_hmm
 from echosieve.llm.langid import op2_langid
+from echosieve.llm.manifest import op11_manifest
 from echosieve.llm.minhash import op7_minhash
 from echosieve.llm.quality import op3_quality
 from echosieve.llm.suffix import op4_suffix
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_hmm": op9_hmm,
     "op10_decontaminate": op10_decontaminate,
+    "op11_manifest": op11_manifest,
+    "op13_codes": op13_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_manifest": manifest.ORACLE, "op13_codes": codes.ORACLE}
