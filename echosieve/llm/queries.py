@@ -11,6 +11,7 @@ from echosieve.llm.hmm import op9_hmm
 from echosieve.llm.langid import op2_langid
 from echosieve.llm.manifest import op11_manifest
 from echosieve.llm.minhash import op7_minhash
+from echosieve.llm.pii import op12_pii
 from echosieve.llm.quality import op3_quality
 from echosieve.llm.suffix import op4_suffix
 from echosieve.llm.urls import op6_urls
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_hmm": op9_hmm,
     "op10_decontaminate": op10_decontaminate,
     "op11_manifest": op11_manifest,
+    "op12_pii": op12_pii,
     "op13_codes": op13_codes,
 }
 
