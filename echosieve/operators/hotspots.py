@@ -23,7 +23,7 @@ def score_rows(frags: DataFrame, found: DataFrame) -> DataFrame:
     sums = found.groupBy("doc_id", "idx").agg(
         F.count("*").alias("match_count"),
         F.round(F.sum("weighted"), PLACES).alias("density"),
-        F.array_distinct(F.flatten(F.collect_set("other_tokens"))).alias("seen"),
+        F.array_distinct(F.flatten(F.collect_set("common"))).alias("seen"),
         F.min("other").alias("first"),
         F.min(F.when(F.col("other_capital"), F.col("other"))).alias("first_capital"),
     )
@@ -81,7 +81,7 @@ def frontier_matches(frags: DataFrame, settings: Settings) -> DataFrame:
     """matches() with the frontier walk: tokens of the best matches bring in further
     candidates, at radii that double up to the growth limit, until none is new. The
     stop rule depends on rejected candidates, so each document is walked in order."""
-    schema = f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, idx int, other int, distance int, shared int, score double, weighted double, other_tokens array<string>"
+    schema = f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, idx int, other int, distance int, shared int, score double, weighted double, common array<string>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return walk_frontier(pdf.sort_values("idx"), settings)
@@ -173,6 +173,6 @@ def walk_frontier(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
             frontier |= set(bridge)
             boost *= 2
             collect(new)
-        out += [(doc, i, j, d, shared, score, w, list(sets[j])) for j, (w, d, shared, score) in found.items()]
-    cols = ["doc_id", "idx", "other", "distance", "shared", "score", "weighted", "other_tokens"]
+        out += [(doc, i, j, d, shared, score, w, list(sets[i] & sets[j])) for j, (w, d, shared, score) in found.items()]
+    cols = ["doc_id", "idx", "other", "distance", "shared", "score", "weighted", "common"]
     return pd.DataFrame(out, columns=cols)

@@ -3,14 +3,17 @@
 Candidates share a token that is not too common in their document and lie within a
 radius of paragraphs. All joins are on doc_id and a token or an index, so they stay
 within the documents' partitions; pairs are kept once (a < b) where the metric is
-symmetric."""
+symmetric. Where only pairs of a least score are wanted, similar_pairs() joins on the
+rarest tokens alone, as many as such a pair must share one of, and drops pairs by sizes
+and counts before any token list is moved."""
 
 from __future__ import annotations
 
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -41,6 +44,62 @@ def candidate_pairs(frags: DataFrame, settings: Settings = Settings(), radius: i
     return a.join(b, ["doc_id", "token"]).where(near).select("doc_id", "a", "b", F.abs(F.col("pa") - F.col("pb")).alias("distance")).distinct()
 
 
+#: Longer fragments are taken to need no more shared tokens than one of this length.
+LONG = 256
+
+
+def least_shared(n: int, bound: float, weights) -> int:
+    """How many tokens a fragment of n tokens, all different, must share with any other one for
+    a score of `bound`. With o shared, a partner of m tokens gives at most o/n of overlap,
+    (o-1)/(n-1) of bigrams, (o-2)/(n-2) of trigrams and 2o/(n+m) of sequence; the sum with
+    the size part is largest where m is o or n, as it is convex between and falls beyond."""
+    raw, seq, two, three, size = weights
+    for o in range(1, n):
+        fixed = raw * o / n + two * (o - 1) / max(n - 1, 1) + three * max(o - 2, 0) / max(n - 2, 1)
+        if fixed + max(seq * o / n + size, seq * 2 * o / (n + o) + size * o / n) >= bound - 1e-9:
+            return o
+    return max(1, n)
+
+
+def similar_pairs(frags: DataFrame, settings: Settings = Settings(), radius: int | None = None, bound: float | None = None) -> DataFrame:
+    """Those of candidate_pairs() that may have a score of `bound` (min_match_score), and no
+    pair that has it is left out. Tokens of a document are ordered from rare to common. A
+    fragment that must share k of its rare tokens is joined on all but its k - 1 commonest.
+    What a pair shares is at most what its joined tokens show, what either leaves out of the
+    join, and the too common tokens both hold; sizes and that count bound its score."""
+    bound = settings.min_match_score if bound is None else bound
+    radius = settings.paragraph_radius if radius is None else radius
+    raw, seq, two, three, size = [F.lit(float(w)) for w in WEIGHTS[settings.dialect]]
+    grams = lambda n: F.size(F.array_distinct(T.ngrams("tokens", n)))
+    sets = frags.select("doc_id", "idx", "para_index", F.size("tokens").alias("n"), grams(2).alias("g2"), grams(3).alias("g3"), F.array_distinct("tokens").alias("set"))
+    sets = sets.select("*", F.size("set").alias("d"), F.explode("set").alias("token")).drop("set")
+    often = token_postings(frags).where("n > 1").withColumnRenamed("n", "df")
+    rare = F.col("df") <= settings.max_candidates_per_token
+    own = W.partitionBy("doc_id", "idx")
+    index = sets.join(often, ["doc_id", "token"]).withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("r", F.count_if(rare).over(own)).withColumn("f", F.count_if(~rare).over(own)).where(rare)
+    table = F.array(*[F.lit(least_shared(n, bound, WEIGHTS[settings.dialect])) for n in range(LONG + 1)])
+    least = F.when(F.col("n") == F.col("d"), F.get(table, F.least(F.col("n"), F.lit(LONG)))).otherwise(1)
+    index = index.withColumn("out", F.greatest(least - F.col("f"), F.lit(1)) - 1).where(F.col("place") <= F.col("r") - F.col("out"))
+    carried = ["para_index", "n", "d", "g2", "g3", "f", "out"]
+    side = lambda x: index.select("doc_id", "token", F.col("idx").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in carried])
+    distance = F.abs(F.col("para_index_a") - F.col("para_index_b"))
+    met = side("a").join(side("b"), ["doc_id", "token"]).where((F.col("a") < F.col("b")) & (distance <= radius))
+    keys = ["doc_id", "a", "b", *[f"{c}_{x}" for x in "ab" for c in carried]]
+    pairs = met.groupBy(*keys).agg(F.count("*").alias("met"))
+    col = {f"{c}{x}": F.col(f"{c}_{x}") for x in "ab" for c in carried}
+    o = F.least(F.col("met") + col["outa"] + col["outb"] + F.least(col["fa"], col["fb"]), col["da"], col["db"])
+    plain = (col["na"] == col["da"]) | (col["nb"] == col["db"])
+    ratio = lambda s, x, y: s / F.greatest(x + y - s, F.lit(1))
+
+    def common(g, less):  # shared n-grams: of a fragment without repeats at most o - less
+        most = F.least(col[f"{g}a"], col[f"{g}b"])
+        return ratio(F.when(plain, F.least(most, F.greatest(o - less, F.lit(0)))).otherwise(most), col[f"{g}a"], col[f"{g}b"])
+
+    along = F.least(o + col["na"] - col["da"], o + col["nb"] - col["db"], col["na"], col["nb"])
+    most = raw * ratio(o, col["da"], col["db"]) + seq * 2 * along / (col["na"] + col["nb"]) + two * common("g2", 1) + three * common("g3", 2) + size * F.least(col["na"], col["nb"]) / F.greatest(col["na"], col["nb"])
+    return pairs.where(most >= bound - 1e-9).select("doc_id", "a", "b", distance.alias("distance"))
+
+
 @F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (len a + len b), by bit-parallel rows, so long fragments cost words of bits."""
@@ -103,13 +162,15 @@ def pair_similarity(frags: DataFrame, pairs: DataFrame, settings: Settings = Set
 
 
 def matches(frags: DataFrame, settings: Settings = Settings(), radius: int | None = None) -> DataFrame:
-    """(doc_id, idx, other, distance, shared, score, weighted, other_tokens), both ways."""
-    pairs = candidate_pairs(frags, settings, radius)
+    """(doc_id, idx, other, distance, shared, score, weighted, common), both ways; common are
+    the tokens that both have."""
+    pairs = similar_pairs(frags, settings, radius)
     if settings.dialect == "cli":  # its sequence ratio depends on the order
-        pairs = pairs.union(pairs.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+        pairs = pairs.select("doc_id", "distance", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("doc_id", "p.a", "p.b", "distance")
     rows = pair_similarity(frags, pairs, settings, bound=settings.min_match_score)
     rows = rows.where(((F.col("shared") >= settings.min_shared) | (F.col("bigram") > 0)) & (F.col("score") >= settings.min_match_score))
     adjusted = F.greatest(F.lit(0.0), F.col("score") - F.when(F.col("exchange"), 0.12).otherwise(0.0))
-    rows = rows.withColumn("weighted", adjusted / (F.col("distance") + 1))
-    way = lambda x, y: rows.select("doc_id", F.col(x).alias("idx"), F.col(y).alias("other"), "distance", "shared", "score", "weighted", F.col(f"set_{y}").alias("other_tokens"))
-    return way("a", "b") if settings.dialect == "cli" else way("a", "b").union(way("b", "a"))
+    rows = rows.withColumn("weighted", adjusted / (F.col("distance") + 1)).withColumn("common", F.array_intersect("set_a", "set_b"))
+    way = lambda x, y: F.struct(F.col(x).alias("idx"), F.col(y).alias("other"))
+    ways = F.array(way("a", "b")) if settings.dialect == "cli" else F.array(way("a", "b"), way("b", "a"))
+    return rows.withColumn("way", F.explode(ways)).select("doc_id", "way.idx", "way.other", "distance", "shared", "score", "weighted", "common")
