@@ -76,9 +76,11 @@ def pattern_flags(frags: DataFrame, dialect: str = "web") -> DataFrame:
 CLI_BONUS = (0.6, 0.5, 0.0, 0.4, 0.3)
 
 
-def top_flags(flags: DataFrame, top: int = 20) -> DataFrame:
-    """The flags of the highest score in every document, with place from 1."""
-    order = W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 6)), "idx")
+def top_flags(flags: DataFrame, top: int = 20, dialect: str = "web") -> DataFrame:
+    """The flags of the highest score in every document, with place from 1; of equal scores the
+    denser repeats, then web's first and cli's last fragment."""
+    last = [F.asc("idx")] if dialect == "web" else [F.desc("para_index"), F.desc("idx")]
+    order = W.partitionBy("doc_id").orderBy(F.desc(F.round("score", 6)), F.desc(F.round("repeat_density", 9)), *last)
     return flags.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 

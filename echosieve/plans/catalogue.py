@@ -5,6 +5,8 @@ are sections, so that paragraph distances count."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +50,24 @@ def books(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("text"))
 
 
+_held: list[DataFrame] = []
+
+
 def _kept(df: DataFrame, name: str = "") -> DataFrame:
-    """Rows that several branches of one query read; spilled to disk, recomputed if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Rows that several branches of one query read; spilled to disk, recomputed if lost, and
+    given back when the next query is asked for."""
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Give back what earlier queries kept. Their results stay right, as plans are recomputed."""
+    while _held:
+        try:
+            _held.pop().unpersist()
+        except Exception as e:  # of a session that was stopped: nothing is held there
+            if "stopped" not in str(e).lower() and "connect" not in str(e).lower():
+                raise
 
 
 def _long(df: DataFrame, *cols: str) -> DataFrame:
@@ -67,7 +84,12 @@ ORACLE: dict[str, str] = {}
 
 def add(name, sql=None):
     def put(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def query(s, d):
+            release()
+            return f(s, d)
+
+        QUERIES[name] = query
         if sql:
             ORACLE[name] = sql
         return f
@@ -401,7 +423,7 @@ def top_hotspots(s, d):
     return _long(rows, "idx", "match_count", "place").select("doc_id", "idx", "match_count", "place")
 
 
-@add("top_flags", O.query(O.DOCS, O.FLAGS, f"SELECT * FROM (SELECT doc_id, {_ints('idx')}, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, idx) AS place FROM flags) WHERE place <= 20"))
+@add("top_flags", O.query(O.DOCS, O.FLAGS, f"SELECT * FROM (SELECT doc_id, {_ints('idx')}, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, round(repeat_density, 9) DESC, idx) AS place FROM flags) WHERE place <= 20"))
 def top_flags(s, d):
     return _long(D.top_flags(D.pattern_flags(fragments(documents(s, d))), 20), "idx", "place").select("doc_id", "idx", "place")
 
@@ -494,7 +516,7 @@ def batch_split_models(s, d):
 
 @add("bakeoff")
 def bakeoff(s, d):
-    return sinks.bakeoff(talks(s, d), WEB)
+    return sinks.bakeoff(_kept(talks(s, d)), WEB, _kept)
 
 
 @add("cli_hotspots")

@@ -57,7 +57,7 @@ def spans_of(docs: DataFrame, frags: DataFrame, local: DataFrame, scaffold: Data
         rows = rows.unionByName(scaffold.select("doc_id", "idx", F.lit("scaffold").alias("method"), "score"))
     if dialect == "cli":
         rows = rows.join(frags.select("doc_id", "idx", F.col("text").alias("fragment")), ["doc_id", "idx"]).join(docs.select("doc_id", "text"), "doc_id")
-        rows = edits.severity(edits.searched(rows))
+        rows = edits.searched(rows).withColumn("severity", F.col("score"))  # badness and score as they are
     else:
         rows = edits.severity(rows).join(frags.select("doc_id", "idx", "source_start", "source_end"), ["doc_id", "idx"]).join(docs.select("doc_id", "text"), "doc_id")
     spans = edits.removal_spans(rows)

@@ -52,7 +52,7 @@ def pattern_report(done, settings: Settings = Settings(), top: int = 40, probs:
     shape = F.format_string("- shape: repeat=%.2f, reuse=%d, diversity=%.2f, dominant=%.2f", "repeat_density", "repeated_mass", "unique_ratio", "dominant_share")
     sample = F.when(F.size("signatures") > 0, F.concat(F.lit("\n- repeated windows: "), F.array_join(F.transform(F.slice("signatures", 1, 6), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", "))).otherwise("")
     flag = F.concat(F.format_string("### %d. `%s` (%s)\n", "place", "section", F.array_join("reasons", ", ")), shape, F.lit("\n- fragment: "), snippet("text"), sample, F.lit("\n"))
-    texts.append(("Inside-Fragment Pattern Flags", _lines(diagnostics.top_flags(done.flags, top), ["doc_id"], [F.col("place")], flag, "flags"), "flags"))
+    texts.append(("Inside-Fragment Pattern Flags", _lines(diagnostics.top_flags(done.flags, top, settings.dialect), ["doc_id"], [F.col("place")], flag, "flags"), "flags"))
     worst = hotspots.top_hotspots(hot, top, d)
     # only the pairs that are shown are compared in detail
     found = hotspots.frontier_matches(frags.join(worst.select("doc_id").distinct(), "doc_id", "left_semi"), settings)

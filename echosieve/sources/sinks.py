@@ -117,14 +117,15 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     return metrics.select(line.alias("line"), F.lit(0).alias("part")).union(total).orderBy("part", "line").select("line")
 
 
-def bakeoff(docs: DataFrame, settings: Settings) -> DataFrame:
+def bakeoff(docs: DataFrame, settings: Settings, table: Callable = lambda df, name: df) -> DataFrame:
     """(doc_id, policy, removed, markers, kept_words): the corpus's leading model under
-    every policy, side by side."""
+    every policy, side by side. Fragments, the model and its candidates are made once with
+    `table`, as in analyze()."""
     from echosieve.plans.pipeline import fragment_rows, mine_models, spans_of
 
-    frags = fragment_rows(docs, settings)
-    model = mine_models(frags, []).where("model_rank = 1")
-    cands = templates.pattern_candidates(frags, model, [], settings.pattern_min_score)
+    frags = table(fragment_rows(docs, settings), "bakeoff-fragments")
+    model = table(mine_models(frags, [], table).where("model_rank = 1"), "bakeoff-model")
+    cands = table(templates.pattern_candidates(frags, model, [], settings.pattern_min_score), "bakeoff-candidates")
     none = frags.select("doc_id", "idx", F.lit(0.0).alias("badness")).where("false")
     out = None
     for policy in ("keep-1", "keep-2", "threshold-dedup"):
