@@ -72,22 +72,36 @@ def write_archives(rows: DataFrame, path: str, records_per_file: int = RECORDS_P
     rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """(fields, start of the block, successor) of a candidate, or None if it has no whole header."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    raw = data[at : end + 2]
-    m = _LENGTH.search(raw)
-    if not m:
-        return None
-    fields = {}
-    for line in raw.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if colon:
-            fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    start = end + 4
-    return fields, start, start + int(m[1]) + 4
+_FIELDS = (b"x-page-id", b"warc-type", b"warc-target-uri", b"warc-payload-digest", b"x-payload-length", b"x-refers-to-page")
+
+
+def _headers(data: bytes, first: int, last: int) -> list[tuple[int, dict[str, str], int, int]]:
+    """(offset, fields, start of the block, successor) of every candidate from first to before
+    last that has a whole header. Candidates may share a blank line, when magic stands inside
+    a header; it is looked for once, and each line is parsed once, from the last candidate back."""
+    spots = [(m.start(), m.end()) for m in _MAGIC.finditer(data, first, min(len(data), last + 9)) if m.start() < last]
+    ends, end = [], -2
+    for at, _ in spots:
+        if end != -1 and end < at:
+            end = data.find(b"\r\n\r\n", at)
+        ends.append(end)
+    out, fields, length, below = [], {}, None, -1
+    for k in range(len(spots) - 1, -1, -1):
+        (at, lines), end = spots[k], ends[k]
+        if end < 0:
+            continue
+        if end != below:
+            fields, length, below, stop = {}, None, end, end + 2
+        own = {}
+        for line in data[lines:stop].split(b"\r\n"):
+            name, colon, value = line.partition(b":")
+            if colon and name.strip().lower() in _FIELDS:
+                own[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
+        m = _LENGTH.search(data, lines - 2, stop)
+        fields, length, stop = own | fields, int(m[1]) if m else length, lines
+        if length is not None:
+            out.append((at, fields, end + 4, end + 4 + length + 4))
+    return out[::-1]
 
 
 def _candidates(chunk: int):
@@ -102,14 +116,7 @@ def _candidates(chunk: int):
                 name = batch.column(0)[row].as_py()
                 for first in range(0, max(1, len(data)), chunk):
                     offs, nexts, recs = [], [], []
-                    for m in _MAGIC.finditer(data, first, min(len(data), first + chunk + 9)):
-                        at = m.start()
-                        if at >= first + chunk:
-                            break
-                        got = _header(data, at)
-                        if got is None:
-                            continue
-                        fields, start, after = got
+                    for at, fields, start, after in _headers(data, first, first + chunk):
                         sound = after <= len(data) and data[after - 4 : after] == b"\r\n\r\n"
                         offs.append(at)
                         nexts.append(after if sound else -1)

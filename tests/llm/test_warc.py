@@ -1,9 +1,12 @@
 import collections
 import gzip
 import hashlib
+import random
+import re
+import time
 
 from echosieve.llm.common import Scratch
-from echosieve.llm.warc import archive_pages, read_archives
+from echosieve.llm.warc import _headers, archive_pages, read_archives
 
 
 def brute(rows):
@@ -55,3 +58,34 @@ def test_header_of_any_length(spark):
     rows = [(k, f"<p>{k}</p>", "http://x/" + "a" * (3 << 20 if k == 4 else 5)) for k in range(12)]
     df = spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1)
     assert got(archive_pages(df)) == brute([r[:2] for r in rows])
+
+
+def test_magic_lines_by_the_million(spark):
+    lines = "WARC/1.1\r\n" * 1_000_000  # 10 MB that are one long header
+    rows = [(1, lines), (2, lines + "Content-Length: 3\r\n\r\nabc\r\n\r\n"), (3, "x: WARC/1.1\r\n" * 50_000), (4, "plain")]
+    df = spark.createDataFrame([(i, h, "u") for i, h in rows], "page_id long, html string, url string")
+    began = time.time()
+    assert got(archive_pages(df)) == brute(rows)
+    assert time.time() - began < 60
+
+
+def test_headers_equal_a_plain_reading():
+    rng = random.Random(3)
+    pieces = [b"WARC/1.1\r\n", b"WARC/1.0\r\n", b"Content-Length: 4\r\n", b"content-length:  12 \r\n", b"X-Page-ID: 7\r\n", b"X-Page-ID: 8\r\n", b"\r\n", b"\r", b"a: b\r\n", b"x", b"WARC-Type: WARC/1.1\r\n"]
+    for _ in range(400):
+        data = b"".join(rng.choices(pieces, k=40))
+        want = []
+        for m in re.finditer(rb"WARC/1\.[01]\r\n", data):
+            end = data.find(b"\r\n\r\n", m.start())
+            raw = data[m.start() : end + 2]
+            n = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n)", raw)
+            if end >= 0 and n:
+                fields = {}
+                for line in raw.split(b"\r\n")[1:]:
+                    name, colon, value = line.partition(b":")
+                    if colon and name.strip().lower() in (b"x-page-id", b"warc-type"):
+                        fields[name.strip().lower().decode()] = value.strip().decode()
+                want.append((m.start(), fields, end + 4, end + 8 + int(n[1])))
+        assert _headers(data, 0, len(data)) == want
+        half = len(data) // 2
+        assert _headers(data, 0, half) + _headers(data, half, len(data)) == want
