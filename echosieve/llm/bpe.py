@@ -5,13 +5,15 @@ not yet known go to DuckDB as token-position rows; a recursive query joins neigh
 with the merge table and contracts each word's leftmost pair of minimum rank until
 none is left; ordered aggregation gives the ids and, joined with the vocabulary, the
 decoded bytes. A text's ids are its words' ids one after another, and so its bytes; of
-words that decode to themselves only the ids are remembered."""
+words that decode to themselves only the ids are remembered. Long words are contracted
+as overlapping blocks, which are joined where they agree."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ from echosieve.llm.common import tidy
 
 #: Texts and bytes of text answered at a time, and words remembered by each of two generations.
 SLICE, SLICE_BYTES, GENERATION = 2048, 1_000_000, 100_000
-#: Bytes of the words contracted at a time; longer words than LONG go alone, STEPS rows at a time.
-FRESH, LONG, STEPS = 250_000, 64, 1_000_000
+#: Bytes of the words contracted at a time; longer words than LONG go as blocks.
+FRESH, LONG = 250_000, 64
+#: Bytes of a block, a new one every STRIDE; blocks grown over WIDE go alone, STEPS rows at a time.
+BLOCK, STRIDE, WIDE, STEPS = 128, 64, 1024, 1_000_000
 
 # A row is a token, its place in its word, and the token that follows it (-1 at the end).
 # A round contracts every word's leftmost pair of minimum rank: the pair's second row
@@ -50,7 +54,7 @@ SELECT list({'word': s.word, 'id': s.tok, 'piece': v.piece} ORDER BY (s.word::BI
 FROM step s JOIN vocabulary v ON v.id = s.tok WHERE NOT s.live
 """
 
-# One long word. All its pairs of the minimum rank contract in a round, leftmost first
+# One wide block. All its pairs of the minimum rank contract in a round, leftmost first
 # and never overlapping, up to the first whose merged token makes a pair of a smaller
 # rank with a neighbour, which would have to go before the next.
 _CONTRACT_LONG = """
@@ -79,10 +83,11 @@ WITH RECURSIVE step(round, pos, tok, live) AS (
     FROM p LEFT JOIN chosen h ON h.k = p.k LEFT JOIN chosen g ON g.k = p.k - 1
     WHERE g.k IS NULL)
 )
-SELECT s.pos, s.tok, s.live, v.piece FROM step s JOIN vocabulary v ON v.id = s.tok
-WHERE NOT s.live OR s.round = $rounds ORDER BY s.pos
+SELECT pos, tok, live FROM step WHERE NOT live OR round = $rounds ORDER BY pos
 """
 
+_DECODE = "SELECT f.word, list(v.piece ORDER BY f.pos) AS pieces FROM fresh f JOIN vocabulary v ON v.id = f.tok GROUP BY f.word ORDER BY f.word"
+
 
 class Coder:
     """Encodes and decodes words with the ranks of a .tiktoken file."""
@@ -95,6 +100,8 @@ class Coder:
             ranks = {base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}
         self.generation = generation
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of an id
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -115,12 +122,14 @@ class Coder:
         self.odd: dict[str, bytes] = {}  # what words decode to that don't decode to themselves
 
     def _learn(self, words: list[str]) -> None:
-        part, size = [], 0
+        part, size, long, room = [], 0, [], 0
         for w in words:
             if len(w) * 4 > LONG and len(w.encode()) > LONG:
-                self.known[w], decoded = self._long(w.encode())
-                if decoded != w.encode():
-                    self.odd[w] = decoded
+                long.append(w)
+                room += len(w)
+                if room >= FRESH:
+                    self._long(long)
+                    long, room = [], 0
                 continue
             part.append(w)
             size += len(w)
@@ -129,32 +138,115 @@ class Coder:
                 part, size = [], 0
         if part:
             self._short(part)
+        if long:
+            self._long(long)
+
+    def _contract(self, tok: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+        """Where the tokens of every span of tok end, and (word, id, piece) of the tokens."""
+        n = ends - starts
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        tok = tok[starts[word] + pos]
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[np.cumsum(n) - 1] = -1
+        toks = self._run(_CONTRACT, pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt})).column("toks").combine_chunks()
+        toks = (toks.chunk(0) if isinstance(toks, pa.ChunkedArray) else toks).flatten()
+        return np.cumsum(np.bincount(toks.field(0).to_numpy(), minlength=len(n))), toks
 
     def _short(self, words: list[str]) -> None:
         raw = pa.array(words, pa.string())
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[: len(words) + 1]
         tok = self.byte_ids[np.frombuffer(raw.buffers()[2], np.uint8)[: offsets[-1]]]
-        nxt = np.append(tok[1:], np.int32(-1))
-        nxt[offsets[1:] - 1] = -1
-        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets))
-        out = self._run(_CONTRACT, pa.table({"word": word, "pos": np.arange(len(tok), dtype=np.int32) - offsets[word], "tok": tok, "nxt": nxt}))
-        toks = out.column("toks").combine_chunks()
-        toks = (toks.chunk(0) if isinstance(toks, pa.ChunkedArray) else toks).flatten()
-        of = np.cumsum(np.bincount(toks.field(0).to_numpy(), minlength=len(words)))
+        of, toks = self._contract(tok, offsets[:-1], offsets[1:])
         of = pa.array(np.append(0, of).astype(np.int32))
         self.known.update(zip(words, pc.binary_join(pa.ListArray.from_arrays(of, toks.field(1).cast(pa.string())), " ").to_pylist()))
         decoded = pc.binary_join(pa.ListArray.from_arrays(of, toks.field(2)), b"")
         for k in np.flatnonzero(pc.not_equal(decoded, raw.cast(pa.binary())).to_numpy(zero_copy_only=False)).tolist():
             self.odd[words[k]] = decoded[k].as_py()
 
-    def _long(self, raw: bytes) -> tuple[str, bytes]:
-        tok = self.byte_ids[np.frombuffer(raw, np.uint8)]
+    def _long(self, words: list[str]) -> None:
+        raws = [w.encode() for w in words]
+        ids = self._blocks(raws)
+        word = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        flat = np.concatenate(ids)
+        pieces = self._run(_DECODE, pa.table({"word": word, "pos": np.arange(len(flat), dtype=np.int32), "tok": flat})).column("pieces")
+        for w, raw, own, decoded in zip(words, raws, ids, pieces):
+            self.known[w] = " ".join(map(str, own.tolist()))
+            decoded = b"".join(decoded.as_py())
+            if decoded != raw:
+                self.odd[w] = decoded
+
+    def _blocks(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The ids of every word, from blocks contracted as words of their own. Neighbours
+        are joined at a token that both have at the same place, so any two tokens that
+        follow each other in the result do so in a block. That makes the result exact: until
+        a first contraction across the end of one of its tokens the word's tokens grow as
+        in the block that has both sides, where that contraction would have come too.
+        Neighbours that share no token become one block, with as much beside them as they
+        had grown already, and are contracted anew."""
+        tok = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+        spans, at = [], 0  # word, start, end
+        for k, raw in enumerate(raws):
+            end = at + len(raw)
+            spans += [(k, s, min(s + BLOCK, end)) for s in range(at, max(end - STRIDE, at + 1), STRIDE)]
+            at = end
+        keys: dict[tuple, np.ndarray] = {}  # of a span: start << 32 | id of its tokens
+        while True:
+            self._contract_spans(tok, [s for s in spans if s not in keys], keys)
+            joints, merge = [], np.zeros(len(spans), bool)
+            for j, (a, b) in enumerate(pairwise(spans)):
+                joints.append(-1)
+                if a[0] == b[0]:
+                    left, right = keys[a], keys[b]
+                    same = np.intersect1d(left[np.searchsorted(left, b[1] << 32) :], right[: np.searchsorted(right, a[2] << 32)], assume_unique=True)
+                    if same.size:
+                        joints[-1] = int(same[0])
+                    else:
+                        grown = (a[2] - a[1] + b[2] - b[1]) // BLOCK - 2
+                        merge[max(0, j - max(0, grown)) : j + max(0, grown) + 1] = True
+            if not merge.any():
+                break
+            wider = [spans[0]]
+            for j, s in enumerate(spans[1:]):
+                if merge[j] and s[0] == wider[-1][0]:
+                    wider[-1] = (s[0], wider[-1][1], s[2])
+                else:
+                    wider.append(s)
+            kept = set(wider)
+            spans, keys = wider, {s: x for s, x in keys.items() if s in kept}
+        out, after = [[] for _ in raws], -1
+        for s, joint in zip(spans, [*joints, -1]):
+            own = keys[s]
+            own = own[np.searchsorted(own, after, "right") : np.searchsorted(own, joint, "right") if joint >= 0 else None]
+            out[s[0]].append((own & 0xFFFFFFFF).astype(np.int32))
+            after = joint
+        return [np.concatenate(x) for x in out]
+
+    def _contract_spans(self, tok: np.ndarray, spans: list[tuple], keys: dict) -> None:
+        part, size = [], 0
+        for k, s in enumerate(spans):
+            if s[2] - s[1] > WIDE:
+                ids = self._whole(tok[s[1] : s[2]])
+                n = self.length[ids]
+                keys[s] = (s[1] + np.cumsum(n) - n) << 32 | ids
+            else:
+                part.append(s)
+                size += s[2] - s[1]
+            if part and (size >= FRESH or k == len(spans) - 1):
+                of, toks = self._contract(tok, np.array([x[1] for x in part]), np.array([x[2] for x in part]))
+                ids = toks.field(1).to_numpy().astype(np.int64)
+                for x, own in zip(part, np.split(ids, of[:-1])):
+                    n = self.length[own]
+                    keys[x] = (x[1] + np.cumsum(n) - n) << 32 | own
+                part, size = [], 0
+
+    def _whole(self, tok: np.ndarray) -> np.ndarray:
         while True:
             fresh = pa.table({"pos": np.arange(len(tok), dtype=np.int32), "tok": tok})
             out = self._run(_CONTRACT_LONG, fresh, {"rounds": max(1, STEPS // len(tok))})
             tok = out.column("tok").to_numpy()
             if not out.column("live")[0].as_py():
-                return " ".join(map(str, tok.tolist())), b"".join(out.column("piece").to_pylist())
+                return tok.astype(np.int64)
 
     def _run(self, sql: str, fresh: pa.Table, values: dict | None = None) -> pa.Table:
         self.db.register("fresh", fresh)

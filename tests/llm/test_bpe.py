@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -56,16 +57,31 @@ def test_forgotten_words_come_back():
         assert ids.to_pylist() == [c.known[w] for w in words] and decoded.to_pylist() == [w.encode() for w in words]
 
 
-def test_long_words_in_several_queries(reference, monkeypatch):
+@pytest.mark.parametrize("block, stride, wide", [(128, 64, 1024), (12, 6, 24), (8, 4, 8)])
+def test_long_words_join_from_blocks(reference, monkeypatch, block, stride, wide):
+    """Small blocks often share no token, so that they grow and go alone in several queries."""
     from echosieve.llm import bpe
 
-    monkeypatch.setattr(bpe, "STEPS", 2000)
-    c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    word = "".join(random.Random(3).choice("abcdefghtheing") for _ in range(700))
-    c.encode(pa.array([word, "x" * 65, "y" * 64]))
+    for name, value in (("BLOCK", block), ("STRIDE", stride), ("WIDE", wide), ("STEPS", 2000)):
+        monkeypatch.setattr(bpe, name, value)
+    c, rng = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(3)
+    words = ["".join(rng.choice(x) for _ in range(rng.randrange(65, 700))) for x in ("abcdefghtheing", "aab", "a", "-=", "é日ab") for _ in range(4)]
+    words += ["x" * 65, "y" * 64, "-" * 300, "the" * 90, "=" * 129 + "-" * 192]
+    words += ["internationalization" * 9, "a" * 127 + "b" * 130]
+    c._learn(words)
     assert not c.odd
-    for w, ids in c.known.items():
-        assert ids == " ".join(map(str, reference.encode_ordinary(w)))
+    for w in words:
+        assert c.known[w] == " ".join(map(str, reference._core_bpe.encode_single_piece(w.encode()))), w
+
+
+def test_a_word_of_a_million_letters(reference):
+    """Ends within a minute (a few seconds here); contracted as a whole it took hours."""
+    rng, start = random.Random(8), time.monotonic()
+    word = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(1_000_000))
+    c = Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    c._learn([word])
+    spent = time.monotonic() - start
+    assert c.known[word] == " ".join(map(str, reference.encode_ordinary(word))) and spent < 60
 
 
 def test_repeated_rows_and_other_columns(spark):
