@@ -5,7 +5,9 @@ paths: digits become `#` at once; a segment stays literal where it is frequent u
 its parent and becomes `*` otherwise; siblings whose continuations are alike merge into
 one wildcard branch unless their labels differ significantly, so labels reach siblings
 without any. A branch with fewer urls than a literal needs is wildcards to its end, so
-levels go on only as deep as paths are frequent. A template is rejected when its share of
+levels go on only as deep as paths are frequent. Levels that a branch walks undivided, all
+its urls with one literal or none with a frequent one, are taken in one step, so steps
+follow the divisions of the tree and not its depth. A template is rejected when its share of
 bad labels, smoothed towards a half, is over a half and enough labels support it.
 Everything is aggregation and equi-joins, so a host of any size is spread over all
 tasks; a branch has at most 1 / SHARE literal segments."""
@@ -53,18 +55,48 @@ def _class(bad: Column, good: Column) -> Column:
     return F.when(n == 0, 0).when(mid - half > 0.5, 1).when(mid + half < 0.5, -1).otherwise(0)
 
 
+def walk_undivided(live: DataFrame) -> DataFrame:
+    """live(host, template, seg, n, …) with the levels taken that all urls of a branch walk
+    together; adds over. seg is what is left of a path; of a branch whose urls end at
+    different levels the longer ones go on until fewer than SUPPORT are left."""
+    branch = ["host", "template"]
+    words = live.select(*branch, "n", F.posexplode("seg").alias("at", "word"))
+    words = words.groupBy(*branch, "at", "word").agg(F.sum("n").alias("n"))
+    levels = words.groupBy(*branch, "at").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("word", "n").alias("word"))
+    small = F.col("total") < SUPPORT
+    token = F.when(small, None).when(F.col("most") == F.col("total"), F.col("word")).when((F.col("most") < SUPPORT) | (F.col("most") < SHARE * F.col("total")), "*")
+    levels = levels.select(*branch, "at", small.alias("small"), token.alias("token"))
+    path = F.array_sort(F.collect_list(F.struct("at", "token", "small")))  # a level of the branch each
+    ways = levels.groupBy(*branch).agg(path.alias("path"), F.min(F.when(F.col("token").isNull(), F.col("at"))).alias("stop"))
+    ways = ways.withColumn("stop", F.coalesce("stop", F.size("path"))).withColumn("ends", F.coalesce(F.get("path", F.col("stop"))["small"], F.lit(False)))
+    ways = ways.select(*branch, "stop", "ends", F.transform(F.slice("path", 1, F.col("stop")), lambda x: x["token"]).alias("tokens"))
+    rows = live.join(ways, branch)
+    size = F.size("seg")
+    walked = F.concat("template", F.array_join(F.transform(F.slice("tokens", 1, F.least(size, F.col("stop"))), lambda t: F.concat(F.lit("/"), t)), ""))
+    rest = F.when(size <= F.col("stop"), "/$").when(F.col("ends"), F.concat(F.expr("repeat('/*', size(seg) - stop)"), F.lit("/$"))).otherwise("")
+    rows = rows.withColumn("template", F.concat(walked, rest)).withColumn("over", (size <= F.col("stop")) | F.col("ends"))
+    return rows.withColumn("seg", F.slice("seg", F.col("stop") + 1, F.greatest(size, F.lit(1)))).drop("stop", "ends", "tokens")
+
+
 def grow_templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """shapes(host, shape, n, bad, good), one row per pair; adds template. A template has a
-    token per segment, a literal, `*`, or `{}` for merged siblings, and ends in `$`."""
+    token per segment, a literal, `*`, or `{}` for merged siblings, and ends in `$`. A step
+    takes every branch to its next division and divides it there."""
     live = shapes.withColumn("seg", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit(""))
-    done, level = None, 0
+    done = None
     while True:
+        walked = scratch.save(walk_undivided(live), "walked")  # read several times below
+        ended = walked.where("over").drop("seg", "over")
+        done = ended if done is None else done.unionByName(ended)
+        live = walked.where("not over").drop("over")
+        if live.isEmpty():
+            return done
         total = live.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        rows = live.join(total, ["host", "template"]).withColumn("here", F.get("seg", F.lit(level)))
-        rest = F.transform(F.slice("seg", level + 2, F.greatest(F.size("seg"), F.lit(1))), lambda x: F.regexp_replace(x, "[^#.]+", "a"))
-        rows = rows.withColumn("deeper", F.when(F.col("total") >= SUPPORT, F.concat_ws("/", rest)))
+        rows = live.join(total, ["host", "template"]).withColumn("here", F.get("seg", F.lit(0)))
+        rest = F.transform(F.slice("seg", 2, F.greatest(F.size("seg"), F.lit(1))), lambda x: F.regexp_replace(x, "[^#.]+", "a"))
+        rows = rows.withColumn("deeper", F.concat_ws("/", rest))
         node = ["host", "template", "here"]
-        kids = rows.where(F.col("total") >= SUPPORT).groupBy(*node, "total", "deeper").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        kids = rows.groupBy(*node, "total", "deeper").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
         kids = scratch.save(kids.groupBy(*node, "total").agg(
             *[F.sum(c).alias(c) for c in ("n", "bad", "good")],
             # continuations as quarters of the branch, the profile siblings are compared by
@@ -79,16 +111,12 @@ def grow_templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         profile = F.concat_ws(":", "main", "quarter")
         token = F.when(mixed & (F.col("same") > 1), F.concat(F.lit("{"), profile, F.lit(":"), "kind", F.lit("}"))).when(~mixed & (F.col("twins") > 1), F.concat(F.lit("{"), profile, F.lit("}"))).otherwise(F.col("here"))
         literal = kids.join(groups, alike).join(same, [*alike, "kind"]).select(*node, token.alias("token"))
-        grown = rows.join(literal, node, "left").withColumn("left_over", F.size("seg") - level)
-        small = F.col("total") < SUPPORT
-        tail = F.when(small, F.concat(F.expr("repeat('/*', left_over)"), F.lit("/$"))).otherwise(F.concat(F.lit("/"), F.coalesce("token", F.lit("*")), F.when(F.col("left_over") == 1, "/$").otherwise("")))
-        grown = grown.withColumn("over", small | (F.col("left_over") == 1)).withColumn("template", F.concat("template", tail)).drop("here", "deeper", "token", "total", "left_over")
-        grown = scratch.save(grown, "level")  # each level is read several times by the next
-        ended = grown.where("over").drop("seg", "over")
-        done = ended if done is None else done.unionByName(ended)
-        live, level = grown.where("not over").drop("over"), level + 1
-        if live.isEmpty():
-            return done
+        grown = rows.join(literal, node, "left").withColumn("last", F.size("seg") == 1)
+        tail = F.concat(F.lit("/"), F.coalesce("token", F.lit("*")), F.when(F.col("last"), "/$").otherwise(""))
+        grown = grown.withColumn("template", F.concat("template", tail)).withColumn("seg", F.slice("seg", 2, F.greatest(F.size("seg"), F.lit(1))))
+        grown = grown.drop("here", "deeper", "token", "total")
+        done = done.unionByName(grown.where("last").drop("seg", "last"))
+        live = grown.where("not last").drop("last")
 
 
 def judge_urls(pages: DataFrame, labels: Column, id_col: str = "page_id", url_col: str = "url", label: str = "urls") -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -105,6 +106,27 @@ def test_labels_reach_siblings_and_deep_paths(spark):
     assert got[200]["template"].count("/") == 15
 
 
+def test_long_paths_that_support_has(spark):
+    """Steps follow the divisions: 25 urls of 500 segments, alike, different at every level
+    or of different lengths, and branches that divide at a few levels."""
+    same = "/".join(f"d{'x' * (k % 7)}" for k in range(500))
+    rows = [f"http://example.com/{same}/{'abcdefghijklmnopqrstuvwxy'[k]}" for k in range(25)]
+    rows += ["http://b.net/fr/" + "/".join(f"{'abcdefghijklmnopqrstuvwxy'[k]}{'x' * (j % 5)}" for j in range(500)) for k in range(25)]
+    rows += ["http://c.org/q" + "/q" * (440 + 3 * k) for k in range(40)]
+    rows += [f"http://d.net/{'es' if k % 2 else 'x'}/a/b/{'p' if k % 3 else 'r.s'}/c/{k % 4}/e/{'uvw'[k % 3]}" for k in range(240)]
+    rows += [f"http://e.net/{'es' if k % 2 else 'fr'}/*/{'*' if k % 3 else k}/$" for k in range(120)] + ["http://f.org", "http://f.org/", "http://f.org//", "http://f.org/a//b"] * 8
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rule, verdict = matching_rule(F.col("host"), F.col("path"))
+    bad = F.when(verdict == "block", 1).when(verdict == "allow", 0)
+    start = time.monotonic()
+    assert judge_urls(df.where("page_id < 50"), bad).count() == 50
+    assert time.monotonic() - start < 30
+    judged = judge_urls(df, bad).withColumn("rule", rule).withColumn("v", F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["v"]) for r in judged.collect()}
+    assert got == brute(rows)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.COM"), (5, "http://a.com?x=/y"), (6, "x://y://z/q"), (7, "http://WWW.Example.com/en/1#a/b"), (8, "http://example.com/en/"), (9, "http://xexample.com/en/"), (10, "http://net/es/1"), (11, "http://h\u00c9.net/\nfr/")]
     rows += [(100 + k, f"http://s.net/{'es' if k % 3 else 'en'}/a/b/c/d/e/f/g/{k}") for k in range(90)] + [(300 + k, f"http://t.org/{w}/{k}.html") for k in range(60) for w in ("x",)] + [(400, "http://t.org/" + "y/" * 5000)]
