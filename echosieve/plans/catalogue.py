@@ -257,9 +257,12 @@ for _p in ("low", "med", "high"):
         return _long(H.selected_rows(H.hotspots(frags), frags, p), "idx", "rank", "pick").select("doc_id", "idx", "rank", "pick")
 
 
-@add("wildcard_masks", f"WITH {O.MASKS.strip()} SELECT length, mask FROM masks")
+@add("wildcard_masks", O.query(O.TALKS, f"{O.FRAGMENTS},\n{O.MASKS.strip()}", f"SELECT length, mask, {_ints('windows')} FROM (SELECT length, mask, sum(len(tokens) - length + 1) AS windows FROM masks JOIN fragments ON len(tokens) >= length GROUP BY ALL)"))
 def wildcard_masks(s, d):
-    return P.wildcard_masks(s)
+    n = F.size("tokens")
+    windows = fragments(talks(s, d)).where(n >= min(P.LENGTHS)).select(n.alias("n"), F.explode(F.sequence(F.lit(min(P.LENGTHS)), F.least(n, F.lit(max(P.LENGTHS))))).alias("length"))
+    windows = windows.groupBy("length").agg(F.sum(F.col("n") - F.col("length") + 1).alias("windows"))
+    return P.wildcard_masks(s).join(windows, "length").select("length", "mask", "windows")
 
 
 def _counts(s, d, docs=talks):
