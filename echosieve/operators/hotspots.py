@@ -13,6 +13,8 @@ from echosieve.operators.similarity import matches
 
 #: Sums of doubles depend on their order; thresholds and ranks see this many places.
 PLACES = 9
+#: Fragments whose frontiers one group walks, and the pairs and n-gram sets it remembers.
+UNIT, REMEMBERED = 8192, 1 << 20
 
 
 def score_rows(frags: DataFrame, found: DataFrame) -> DataFrame:
@@ -77,33 +79,59 @@ def selected_rows(rows: DataFrame, frags: DataFrame, profile: Profile | str = "m
     return ranked.where(ok).withColumn("pick", pick).where(F.col("pick") <= F.col("most")).select("doc_id", "idx", "badness", "rank", "pick")
 
 
-def frontier_matches(frags: DataFrame, settings: Settings) -> DataFrame:
+def frontier_matches(frags: DataFrame, settings: Settings, unit: int = UNIT) -> DataFrame:
     """matches() with the frontier walk: tokens of the best matches bring in further
-    candidates, at radii that double up to the growth limit, until none is new. The
-    stop rule depends on rejected candidates, so each document is walked in order."""
+    candidates, at radii that double up to the growth limit, until none is new. A fragment's
+    walk needs the fragments within the widest radius and no other one's walk, so every
+    `unit` fragments of a document are a task's group, beside the halo they can reach."""
     schema = f"doc_id {frags.schema['doc_id'].dataType.simpleString()}, idx int, other int, distance int, shared int, score double, weighted double, common array<string>"
+    rows = walk_units(frags, settings, unit).repartition("doc_id", "unit")  # or a document's units stay in one task
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return walk_frontier(pdf.sort_values("idx"), settings)
 
-    return frags.select("doc_id", "idx", "para_index", "tokens").groupBy("doc_id").applyInPandas(run, schema)
+    return rows.groupBy("doc_id", "unit").applyInPandas(run, schema)
+
+
+def walk_units(frags: DataFrame, settings: Settings, unit: int = UNIT) -> DataFrame:
+    """(doc_id, unit, idx, para_index, tokens, often, walks): the fragments that a unit walks
+    and, with walks false, those within the widest radius of one of them. often are the tokens
+    of a fragment that more than max_candidates_per_token fragments of its document hold."""
+    reach = settings.paragraph_radius * max(1, settings.growth)
+    doc = W.partitionBy("doc_id")
+    near = doc.orderBy("para_index").rangeBetween(-reach, reach)
+    own = F.floor(F.col("idx") / unit).cast("int")
+    rows = frags.select("doc_id", "idx", "para_index", "tokens", own.alias("own"))
+    rows = rows.withColumns({"first": F.min("own").over(near), "last": F.max("own").over(near), "n": F.count("*").over(doc)})
+    index = rows.where(F.col("n") > settings.max_candidates_per_token).select("doc_id", "idx", F.explode(F.array_distinct("tokens")).alias("token"))
+    over = index.groupBy("doc_id", "token").agg(F.count("*").alias("df")).where(F.col("df") > settings.max_candidates_per_token).select("doc_id", "token")
+    often = index.join(over, ["doc_id", "token"], "left_semi").groupBy("doc_id", "idx").agg(F.collect_set("token").alias("often"))
+    rows = rows.join(often, ["doc_id", "idx"], "left").withColumn("unit", F.explode(F.sequence("first", "last")))
+    return rows.select("doc_id", "unit", "idx", "para_index", "tokens", "often", (F.col("unit") == F.col("own")).alias("walks"))
 
 
 def walk_frontier(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """The walks of one unit's rows, in the order of idx. Pairs and n-grams are remembered up
+    to a bound, so memory follows the unit and its halo."""
     import difflib
+    import sys
+    from functools import lru_cache
 
     doc = pdf["doc_id"].iloc[0]
-    tokens = [list(t) for t in pdf["tokens"]]
-    para = pdf["para_index"].to_numpy()
+    idx, para, walks = pdf["idx"].to_numpy(), pdf["para_index"].to_numpy(), pdf["walks"].to_numpy()
+    tokens = [[sys.intern(t) for t in row] for row in pdf["tokens"]]
     sets = [set(t) for t in tokens]
-    grams = {n: [{tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in tokens] for n in (2, 3)}
     postings: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        for t in s:
+    for i, often in enumerate(pdf["often"]):
+        for t in sets[i].difference(often) if often is not None else sets[i]:
             postings.setdefault(t, []).append(i)
-    postings = {t: np.array(v) for t, v in postings.items() if len(v) <= settings.max_candidates_per_token}
+    postings = {t: np.array(v) for t, v in postings.items()}
     weights = WEIGHTS[settings.dialect]
-    known: dict[tuple[int, int], tuple] = {}
+
+    @lru_cache(REMEMBERED)
+    def grams(i, n):
+        t = tokens[i]
+        return {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
 
     def jac(x, y):
         both = len(x & y)
@@ -121,24 +149,24 @@ def walk_frontier(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
             v = ((v + u) | (v - u)) & full
         return 2 * (len(x) - v.bit_count()) / (len(x) + len(y))
 
+    @lru_cache(REMEMBERED)
+    def scored(a, b):
+        overlap, two, three = jac(sets[a], sets[b]), jac(grams(a, 2), grams(b, 2)), jac(grams(a, 3), grams(b, 3))
+        size = 1 - abs(len(tokens[a]) - len(tokens[b])) / max(len(tokens[a]), len(tokens[b]))
+        score = weights[0] * overlap + weights[2] * two + weights[3] * three + weights[4] * size
+        # the sequence part is at most the share of common occurrences
+        both = sets[a] & sets[b]
+        most = min(sum(t in both for t in tokens[a]), sum(t in both for t in tokens[b])) * 2 / (len(tokens[a]) + len(tokens[b]))
+        if score + weights[1] * most >= settings.min_match_score - 1e-9:
+            score = weights[0] * overlap + weights[1] * sequence(tokens[a], tokens[b]) + weights[2] * two + weights[3] * three + weights[4] * size
+        swap = ("i" in sets[a] and "you" in sets[b] or "you" in sets[a] and "i" in sets[b]) and overlap >= 0.35
+        return score, len(both), two, swap
+
     def compare(i, j):
-        key = (i, j) if settings.dialect == "cli" or i < j else (j, i)
-        if key not in known:
-            a, b = key
-            overlap, two, three = jac(sets[a], sets[b]), jac(grams[2][a], grams[2][b]), jac(grams[3][a], grams[3][b])
-            size = 1 - abs(len(tokens[a]) - len(tokens[b])) / max(len(tokens[a]), len(tokens[b]))
-            score = weights[0] * overlap + weights[2] * two + weights[3] * three + weights[4] * size
-            # the sequence part is at most the share of common occurrences
-            both = sets[a] & sets[b]
-            most = min(sum(t in both for t in tokens[a]), sum(t in both for t in tokens[b])) * 2 / (len(tokens[a]) + len(tokens[b]))
-            if score + weights[1] * most >= settings.min_match_score - 1e-9:
-                score = weights[0] * overlap + weights[1] * sequence(tokens[a], tokens[b]) + weights[2] * two + weights[3] * three + weights[4] * size
-            swap = ("i" in sets[a] and "you" in sets[b] or "you" in sets[a] and "i" in sets[b]) and overlap >= 0.35
-            known[key] = (score, len(sets[a] & sets[b]), two, swap)
-        return known[key]
+        return scored(i, j) if settings.dialect == "cli" or i < j else scored(j, i)
 
     out = []
-    for i in range(len(tokens)):
+    for i in np.flatnonzero(walks).tolist():
         found: dict[int, tuple] = {}
 
         def reach(words, radius):
@@ -173,6 +201,6 @@ def walk_frontier(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
             frontier |= set(bridge)
             boost *= 2
             collect(new)
-        out += [(doc, i, j, d, shared, score, w, list(sets[i] & sets[j])) for j, (w, d, shared, score) in found.items()]
+        out += [(doc, idx[i], idx[j], d, shared, score, w, list(sets[i] & sets[j])) for j, (w, d, shared, score) in found.items()]
     cols = ["doc_id", "idx", "other", "distance", "shared", "score", "weighted", "common"]
     return pd.DataFrame(out, columns=cols)
