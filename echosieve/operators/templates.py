@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 LENGTHS, LEAST, OVERLAP, MOST, SOFT = range(5, 10), 4, 0.72, 40, 0.84
 #: Ranks whose clashes are looked at together.
 BATCH = 256
+#: Ranges that a corpus's templates are ranked in, and the rows that their cuts are taken from.
+RANGES, SAMPLE = 128, 8192
 
 
 def masks() -> list[tuple[int, int]]:
@@ -73,11 +75,26 @@ def ranked_templates(counts: DataFrame, scope: list[str]) -> DataFrame:
     ties = [F.desc("count"), F.desc("slot_variety"), F.desc(F.size("template")), F.asc("text")]
     if scope:
         return rows.withColumn("rank", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("score"), *ties)))
-    # over a whole corpus only the distinct scores meet in one task
-    above = F.coalesce(F.sum("same").over(W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    scores = rows.groupBy("score").agg(F.count("*").alias("same")).select("score", above.alias("above"))
-    place = F.row_number().over(W.partitionBy("score").orderBy(*ties))
-    return rows.join(scores, "score").withColumn("rank", (F.col("above") + place).cast("int")).drop("above")
+    return _ranked_by_ranges(rows)
+
+
+def _ranked_by_ranges(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
+    """rows with their rank by score, ties as in ranked_templates(); two ranges or more. The order is cut at
+    quantiles of the `sample` rows least by a hash, so a range is a task's share even where
+    most scores are equal; ranks are places in a range after the sizes of those before it.
+    Cuts and sizes are scalar subqueries of at most `ranges` values. Any cuts give the same
+    ranks, and these don't change when a task is run again."""
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("count")).alias("c"), (-F.col("slot_variety")).alias("v"), (-F.size("template")).alias("n"), "text")
+    rows = rows.withColumn("order", order)
+    some = rows.select("order", F.xxhash64("text").alias("h")).orderBy("h", "order").limit(sample).agg(F.array_sort(F.collect_list("order")).alias("o"))
+    steps = F.sequence(F.lit(1), F.lit(ranges - 1))
+    cuts = some.select(F.transform(steps, lambda i: F.get("o", F.floor(i * F.size("o") / ranges).cast("int"))).alias("cuts"))
+    rows = rows.withColumn("cuts", cuts.scalar()).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("order")))).drop("cuts")
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("range", "n")).alias("sizes"))
+    before = lambda k: F.aggregate(F.filter("sizes", lambda x: x["range"] < k), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    above = sizes.select(F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), before).alias("above"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("order"))
+    return rows.withColumn("rank", (F.get(above.scalar(), F.col("range")) + place).cast("int")).drop("order", "range")
 
 
 def _greedy(rows) -> list:
