@@ -118,26 +118,27 @@ def _clashes(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.where(F.col("shared") / F.least("n_a", "n_b") >= OVERLAP).select("a", "b")
 
 
-def _inner_clashes(x: DataFrame) -> DataFrame:
-    """_clashes within x, a < b. Places under the same templates are counted together first, so
-    a much-covered stretch of text gives its pairs once."""
-    size = lambda name: x.groupBy(F.col("rank").alias(name)).agg(F.count("*").alias(f"n_{name}"))
-    sets = x.groupBy("place").agg(F.array_sort(F.collect_set("rank")).alias("ranks")).where(F.size("ranks") > 1).groupBy("ranks").agg(F.count("*").alias("n"))
-    both = sets.select("ranks", "n", F.explode("ranks").alias("a")).select("a", "n", F.explode("ranks").alias("b")).where("a < b")
-    both = both.groupBy("a", "b").agg(F.sum("n").alias("shared")).join(size("a"), "a").join(size("b"), "b")
-    return both.where(F.col("shared") / F.least("n_a", "n_b") >= OVERLAP).select("a", "b")
+def _shared_places(x: DataFrame) -> DataFrame:
+    """(a, b, shared) with a <= b: how many places two templates of x(rank, place) both cover;
+    of one and itself, its own places. Places under the same templates are counted together
+    first, so a much-covered stretch of text gives its pairs once."""
+    sets = x.groupBy("place").agg(F.array_sort(F.collect_set("rank")).alias("ranks")).groupBy("ranks").agg(F.count("*").alias("n"))
+    both = sets.select("ranks", "n", F.explode("ranks").alias("a")).select("a", "n", F.explode("ranks").alias("b")).where("a <= b")
+    return both.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def _greedy_joins(prints: DataFrame, batch: int = BATCH) -> list[int]:
     """_greedy over prints(rank, place) of one scope of any size. Of the next `batch` ranks that
-    clash with no kept one, only the clashing pairs meet on the driver; footprints never do."""
+    clash with no kept one, only pairs with their counts meet on the driver, 32,896 at most of
+    256 ranks; footprints never do."""
     prints = prints.persist(StorageLevel.MEMORY_AND_DISK)
     free = prints.select("rank").distinct()
     kept: list[int] = []
     while len(kept) < MOST:
         ranks = sorted(r["rank"] for r in free.orderBy("rank").limit(batch).collect())
         part = prints.where(F.col("rank").between(ranks[0], ranks[-1]) & F.col("rank").isin(ranks)) if ranks else None
-        pairs = {(r["a"], r["b"]) for r in _inner_clashes(part).collect()} if ranks else set()
+        shared = {(r["a"], r["b"]): r["shared"] for r in _shared_places(part).collect()} if ranks else {}
+        pairs = {(a, b) for (a, b), n in shared.items() if a < b and n / min(shared[a, a], shared[b, b]) >= OVERLAP}
         new: list[int] = []
         for r in ranks:
             if len(kept) + len(new) < MOST and not any((k, r) in pairs for k in new):
