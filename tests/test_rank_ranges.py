@@ -25,10 +25,10 @@ def test_ranks_equal_one_order(spark, ranges, sample):
     assert {r["text"]: r["rank"] for r in one} == {r["text"]: r["rank"] for r in got}
 
 
-def test_no_task_holds_a_third_of_equal_scores(spark):
-    rows = P.ranked_templates(counts(spark, 3000), [])
-    plan = rows._jdf.queryExecution().toString()
-    assert "SinglePartition" not in plan.split("Physical Plan")[1].split("Subquery")[0]
+def test_rows_are_ranked_within_ranges(spark):
+    plan = P.ranked_templates(counts(spark, 300), [])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "row_number()" in x and "Window" in x]
+    assert windows and all("[range#" in x for x in windows)
 
 
 def test_empty(spark):
