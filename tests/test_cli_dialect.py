@@ -29,3 +29,19 @@ def test_flags_of_equal_scores(spark):
     flags = spark.createDataFrame(rows, "doc_id long, idx int, para_index int, score double, repeat_density double")
     order = lambda dialect: [r["idx"] for r in D.top_flags(flags, 9, dialect).orderBy("place").collect()]
     assert order("web") == [3, 1, 0, 2, 4] and order("cli") == [3, 1, 4, 2, 0]
+
+
+def test_words_are_counted_a_text_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    from echosieve.functions.cli_tokens import _cli_count
+
+    texts = pd.Series(["it can't be, said w%d. " % k * 400 for k in range(60)] + [None, ""])
+    tracemalloc.start()
+    counts = _cli_count.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [2400] * 60 + [0, 0]
+    assert peak < 2_000_000  # all 144,000 tokens at once take more than 8 MB
